@@ -22,7 +22,8 @@ def read_documents(spark: SparkSession, path: str, columns: Mapping[str, str] |
     """Documents from CSV, Parquet or JSON under logical names.
 
     CSV is read with a schema, never inferred; values that do not parse are null.
-    Without an id column the id is a hash of the row's own values.
+    Without an id column the id is a hash of the row's own values.  Ids are not
+    negative.
     """
     columns = dict(columns or REVIEW_COLUMNS)
     if fmt == "csv":
@@ -34,7 +35,8 @@ def read_documents(spark: SparkSession, path: str, columns: Mapping[str, str] |
         raise ValueError(f"columns not found in {path}: {missing}")
     out = [F.col(src).try_cast(TYPES[name]).alias(name) if name in TYPES else F.col(src).alias(name)
            for name, src in columns.items()]
-    key = F.col(id_column) if id_column else F.xxhash64(*[F.col(c) for c in columns.values()])
+    key = F.col(id_column) if id_column else F.xxhash64(
+        *[F.col(c) for c in columns.values()]).bitwiseAND(F.lit(2**63 - 1))
     return raw.select(key.alias("doc_id"), *out)
 
 
@@ -50,7 +52,7 @@ def write_documents(docs: DataFrame, path: str, *, recreate: bool = False) -> No
          .write.partitionBy("month").mode("overwrite" if recreate else "append").parquet(path))
 
 
-def fit_text_vectors(docs: DataFrame, *, features: int = 4096, size: int = 64) -> PipelineModel:
+def fit_text_vectors(docs: DataFrame, *, features: int = 1024, size: int = 64) -> PipelineModel:
     """Model from words to unit vectors: hashed counts, inverse frequency, PCA."""
     model = Pipeline(stages=[
         HashingTF(inputCol="tokens", outputCol="_tf", numFeatures=features),
