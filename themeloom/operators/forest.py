@@ -17,14 +17,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators.skew import attach
 from themeloom.session import cut
 
-EDGE = F.struct("w", "a", "b")
-
 
 @dataclass
 class Forest:
@@ -38,6 +36,11 @@ class Forest:
     tops: DataFrame
 
 
+def _edge() -> Column:
+    """An edge as one comparable value: weight first, then its ends."""
+    return F.struct("w", "a", "b")
+
+
 def _lightest(edges: DataFrame) -> DataFrame:
     """Per component its lightest edge out: ``set_id, comp, other, w, a, b``."""
     cols = ["w", "a", "b"]
@@ -70,7 +73,7 @@ def _contract(edges: DataFrame, up: DataFrame) -> DataFrame:
         edges = attach(edges, to, ["set_id", end], row_bytes=24, spread=F.struct("a", "b"))
         edges = edges.drop(end).withColumnRenamed(f"up_{end}", end)
     ends = edges.where("ca <> cb").select(
-        "set_id", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), EDGE.alias("e"))
+        "set_id", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), _edge().alias("e"))
     return (ends.groupBy("set_id", "ca", "cb").agg(F.min("e").alias("e"))
             .select("set_id", "ca", "cb", "e.w", "e.a", "e.b"))
 
@@ -123,7 +126,7 @@ def merge_order(edges: DataFrame, vertices: DataFrame) -> Forest:
             out = chosen.select("set_id", "comp", F.struct("w", "a", "b").alias("out"))
             met = cut(attach(waiting, out, ["set_id", "comp"], how="left", row_bytes=48,
                              spread=F.struct("a", "b")))
-            fits = F.col("out").isNull() | (EDGE < F.col("out"))
+            fits = F.col("out").isNull() | (_edge() < F.col("out"))
             mine = _hung_sizes(met.where(fits).drop("out"), tops).withColumn("level", F.lit(level))
             mine = cut(mine)
             chains = mine if chains is None else chains.unionByName(mine)

@@ -119,7 +119,12 @@ FILTER_COLUMNS = ("start_date", "end_date", "rating_gte", "rating_lte", "terms")
 
 
 def filter_sets(questions: DataFrame) -> DataFrame:
-    """Add ``set_id``: equal filters share it, so equal questions are run once."""
+    """Add ``set_id``: equal filters share it, so equal questions are run once.
+
+    Filters that are numbered already keep their number.
+    """
+    if "set_id" in questions.columns:
+        return questions
     return questions.withColumn("set_id", F.xxhash64(*FILTER_COLUMNS))
 
 
