@@ -108,6 +108,14 @@ def matches_terms(texts: Sequence[Column], terms: Column) -> Column:
     return (F.size(terms) == 0) | hit
 
 
+def held_terms(docs: DataFrame, profile: Profile) -> Column:
+    """Those of the profile's terms a document holds, found once per document."""
+    known = F.array(*[F.lit(t) for t in sorted({t for k in profile.query_term_map for t in profile.terms_for(k)})])
+    found = [F.array_intersect(F.coalesce(words(t), F.array().cast("array<string>")), known.cast("array<string>"))
+             for t in text_columns(docs)]
+    return F.concat(*found)
+
+
 def has_keyword(text: Column, keywords: Column) -> Column:
     """True if a word of the text is among the keywords; no keywords match everything."""
     return (F.size(keywords) == 0) | F.arrays_overlap(words(text), keywords)
@@ -156,9 +164,8 @@ def candidates(questions: DataFrame, docs: DataFrame, profile: Profile,
             .select("set_id", *FILTER_COLUMNS).dropDuplicates(["set_id"]))
     sets = sets.withColumn("month", F.explode(F.sequence(
         F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("INTERVAL 1 MONTH"))))
-    n_text = sum(c.startswith("text_") for c in docs.columns) if with_topic else 0
-    texts = [f"text_{i}" for i in range(n_text)]
-    narrow = (docs.select("doc_id", "timestamp", "score", *dict.fromkeys([*keep, *texts]))
+    narrow = (docs.select("doc_id", "timestamp", "score", *dict.fromkeys(keep),
+                          held_terms(docs, profile).alias("_held"))
               .withColumn("month", F.trunc("timestamp", "month")))
     if fits_broadcast(sets, 256):
         pairs = narrow.join(F.broadcast(sets), "month")
@@ -168,8 +175,8 @@ def candidates(questions: DataFrame, docs: DataFrame, profile: Profile,
         pairs = narrow.join(sets, ["month", "_salt"])
     hit = (date_window(F.col("timestamp"), F.col("start_date"), F.col("end_date"))
            & _score_matches(F.col("score"), profile.score))
-    if texts:
-        hit = hit & matches_terms([F.col(t) for t in texts], F.col("terms"))
+    if with_topic:
+        hit = hit & ((F.size("terms") == 0) | F.arrays_overlap("_held", F.col("terms")))
     return pairs.where(hit).select("set_id", "doc_id", *keep)
 
 

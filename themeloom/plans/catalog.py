@@ -187,12 +187,6 @@ def keyword_filter(spark, sf):
 
 # -- questions ----------------------------------------------------------------------------
 
-def _flat(rows: DataFrame, meta) -> DataFrame:
-    return rows.withColumn("m", meta).select("query_id", "m.start_date", "m.end_date",
-                                             F.col("m.rating.gte").alias("rating_gte"),
-                                             F.col("m.rating.lte").alias("rating_lte"))
-
-
 @register
 def gazetteer_tags(spark, sf):
     return questions(spark, sf).select("query_id", F.explode(Q.entities(F.col("query"))).alias("e")).select(
@@ -201,12 +195,20 @@ def gazetteer_tags(spark, sf):
 
 @register
 def query_meta_entities(spark, sf):
-    return _flat(questions(spark, sf), Q.from_entities(Q.entities(F.col("query"))))
+    rows = Q.entity_dates(questions(spark, sf).withColumn("entities", Q.entities(F.col("query"))))
+    return rows.select("query_id", F.col("tag_start").alias("start_date"), F.col("tag_end").alias("end_date"),
+                       F.col("tag_score").alias("rating_gte"), F.col("tag_score").alias("rating_lte"))
+
+
+def _textual(spark, sf):
+    return Q.text_dates(questions(spark, sf)).select(
+        "query_id", F.col("text_start").alias("start_date"), F.col("text_end").alias("end_date"),
+        F.col("text_gte").alias("rating_gte"), F.col("text_lte").alias("rating_lte"))
 
 
 @register
 def query_meta_fallback(spark, sf):
-    return _flat(questions(spark, sf), Q.fallback(F.col("query")))
+    return _textual(spark, sf)
 
 
 @register
@@ -223,8 +225,7 @@ def rating_comparators(spark, sf):
 
 @register
 def date_range_iso_relative(spark, sf):
-    r = Q.date_range(F.col("query"), F.col("as_of"))
-    return questions(spark, sf).withColumn("r", r).select("query_id", "r.start_date", "r.end_date")
+    return Q.date_range(questions(spark, sf)).select("query_id", "start_date", "end_date")
 
 
 @register
@@ -245,7 +246,7 @@ def months_in_span(spark, sf):
 
 @register
 def normalised_bounds(spark, sf):
-    q = _flat(questions(spark, sf), Q.fallback(F.col("query")))
+    q = _textual(spark, sf)
     rating = F.when(F.col("rating_gte").isNotNull(), F.struct(F.col("rating_gte").alias("gte"), F.col("rating_lte").alias("lte")))
     day = F.dayofmonth("start_date")
     rng = F.when(F.month("start_date") > 6, F.struct(F.lit(1).alias("gte"), F.month("start_date").alias("lte")))
@@ -262,7 +263,7 @@ def span_collapse(spark, sf):
 
 def _asked(spark, sf):
     q = Q.parse_questions(questions(spark, sf)).drop("entities")
-    return filter_sets(q.withColumn("terms", topic_terms(F.col("query"), TOPICS)))
+    return cut(filter_sets(q.withColumn("terms", topic_terms(F.col("query"), TOPICS))))
 
 
 def _review_table(spark, sf):

@@ -41,7 +41,7 @@ QUESTIONS = f"""raw AS (SELECT o_orderkey AS query_id, CAST(o_orderdate AS DATE)
 pieces AS (SELECT *, strftime(as_of, '%b') AS p_mon, strftime(as_of, '%B') AS p_month, strftime(as_of, '%Y') AS p_y,
     strftime(as_of + INTERVAL 1 MONTH, '%b') AS p_mon2, strftime(as_of + INTERVAL 1 MONTH, '%Y') AS p_y2,
     CAST(day(as_of) AS VARCHAR) AS p_day, strftime(as_of, '%Y-%m-%d') AS p_iso,
-    strftime(as_of + INTERVAL 30 DAY, '%Y-%m-%d') AS p_iso2, CAST(pr AS VARCHAR) AS p_s FROM raw),
+    strftime(as_of + 30, '%Y-%m-%d') AS p_iso2, CAST(pr AS VARCHAR) AS p_s FROM raw),
 questions AS (SELECT query_id, {_TEXT} AS query, as_of, {_INTENT} AS intent FROM pieces)"""
 
 # Words with their tag, then dates and rating from tags, from text, and merged.
@@ -215,9 +215,9 @@ ORACLES: dict[str, str] = {
         y AS (SELECT x.*, lo, hi, TRY_CAST(iso.a AS DATE) AS ia, TRY_CAST(iso.b AS DATE) AS ib, sa, sb, w FROM x LEFT JOIN m USING (query_id)
             JOIN (SELECT query_id, {phrase('sidea')} AS sa, {phrase('sideb')} AS sb, {phrase('t')} AS w FROM (SELECT query_id, as_of, t, trim(side.a) AS sidea, trim(side.b) AS sideb FROM x)) USING (query_id)),
         z AS (SELECT query_id, CASE WHEN ia IS NOT NULL AND ib IS NOT NULL THEN [ia, ib] WHEN sa IS NOT NULL AND sb IS NOT NULL THEN [sa, sb]
-            WHEN regexp_matches(t, '(last|past|previous) 7 days|last week') THEN [CAST(as_of - INTERVAL 7 DAY AS DATE), as_of]
-            WHEN contains(t, 'last month') THEN [CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE), CAST(date_trunc('month', as_of) - INTERVAL 1 DAY AS DATE)]
-            WHEN contains(t, 'yesterday') THEN [CAST(as_of - INTERVAL 1 DAY AS DATE), CAST(as_of - INTERVAL 1 DAY AS DATE)]
+            WHEN regexp_matches(t, '(last|past|previous) 7 days|last week') THEN [as_of - 7, as_of]
+            WHEN contains(t, 'last month') THEN [CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE), last_day(CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE))]
+            WHEN contains(t, 'yesterday') THEN [as_of - 1, as_of - 1]
             WHEN contains(t, 'today') THEN [as_of, as_of]
             WHEN w IS NOT NULL AND regexp_matches(t, '\\b({MONTH_NAMES})\\b') THEN [CAST(date_trunc('month', w) AS DATE), last_day(w)]
             WHEN w IS NOT NULL AND regexp_full_match(t, '[0-9]{{4}}') THEN [make_date(year(w), 1, 1), make_date(year(w), 12, 31)]
