@@ -28,9 +28,9 @@ STOP_WORDS = """
 """.split()
 
 
-def terms_of(text: Column, stop: Column) -> Column:
+def terms_of(text: Column) -> Column:
     """Words and word pairs of a text once stop words are gone."""
-    kept = F.filter(words(text), lambda w: ~F.array_contains(stop, w))
+    kept = F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
     pairs = F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))),
                        F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))),
                        lambda a, b: F.concat_ws(" ", a, b))
@@ -44,11 +44,10 @@ def term_weights(docs: DataFrame) -> DataFrame:
     documents of a cluster are used.  All steps after the one shuffle group by a
     cluster or finer, so they reuse its partitioning.
     """
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     used = (docs.where(F.col("rank") <= MAX_DOCS)
             .withColumn("text", usable_text(F.col("text"))).where("text IS NOT NULL"))
     used = used.repartition("set_id", "cluster_id")
-    rows = used.select("set_id", "cluster_id", "doc_id", F.explode(terms_of(F.col("text"), stop)).alias("term"))
+    rows = used.select("set_id", "cluster_id", "doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
     tf = rows.groupBy("set_id", "cluster_id", "doc_id", "term").agg(F.count("*").alias("tf"))
     cluster = ["set_id", "cluster_id"]
     by_term = Window.partitionBy(*cluster, "term")
