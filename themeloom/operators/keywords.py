@@ -28,13 +28,16 @@ STOP_WORDS = """
 """.split()
 
 
-def terms_of(text: Column) -> Column:
-    """Words and word pairs of a text once stop words are gone."""
-    kept = F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
-    pairs = F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))),
-                       F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(kept, F.when(F.size(kept) > 1, pairs).otherwise(F.array().cast("array<string>")))
+def telling_words(text: Column) -> Column:
+    """Words of a text without stop words."""
+    return F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
+
+
+def words_and_pairs(kept: Column) -> Column:
+    """Single words and pairs of neighbouring words."""
+    pairs = F.zip_with(kept, F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))),
+                       lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return F.concat(kept, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def term_weights(docs: DataFrame) -> DataFrame:
@@ -47,7 +50,8 @@ def term_weights(docs: DataFrame) -> DataFrame:
     used = (docs.where(F.col("rank") <= MAX_DOCS)
             .withColumn("text", usable_text(F.col("text"))).where("text IS NOT NULL"))
     used = used.repartition("set_id", "cluster_id")
-    rows = used.select("set_id", "cluster_id", "doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+    used = used.withColumn("_kept", telling_words(F.col("text")))
+    rows = used.select("set_id", "cluster_id", "doc_id", F.explode(words_and_pairs(F.col("_kept"))).alias("term"))
     tf = rows.groupBy("set_id", "cluster_id", "doc_id", "term").agg(F.count("*").alias("tf"))
     cluster = ["set_id", "cluster_id"]
     by_term = Window.partitionBy(*cluster, "term")

@@ -108,11 +108,12 @@ def _orthonormal(z: DataFrame, k: int) -> DataFrame:
 
 
 def spectral(weights: DataFrame, n_components: int = 20, rounds: int = 12,
-             steps: int = 8) -> DataFrame:
+             steps: int = 8, every: int = 4) -> DataFrame:
     """Leading eigenvectors of the normalised neighbour graph, trivial one left out.
 
     Orthogonal iteration: every round is one join of the edges with the current
-    coordinates and one sum per point.  Coordinates are those of a diffusion map
+    coordinates and one sum per point; columns are made orthonormal again after
+    every ``every`` rounds.  Coordinates are those of a diffusion map
     after ``steps`` steps, so directions of small eigenvalues fade.
     """
     k = n_components + 1
@@ -125,7 +126,7 @@ def spectral(weights: DataFrame, n_components: int = 20, rounds: int = 12,
     start = F.array(F.sqrt("d"), *[F.get(_noise(k - 1), i) for i in range(k - 1)])
     z = _orthonormal(degree.select("set_id", "point_id", "d", start.alias("z")), k)
     z = cut(z)
-    for _ in range(rounds):
+    for turn in range(math.ceil(rounds / every) * every):
         there = z.select("set_id", F.col("point_id").alias("nbr_id"), "z")
         pulled = scaled.join(there, ["set_id", "nbr_id"]).groupBy("set_id", "point_id").agg(
             *[F.sum(F.col("a") * F.get("z", i)).alias(f"s{i}") for i in range(k)])
@@ -133,8 +134,10 @@ def spectral(weights: DataFrame, n_components: int = 20, rounds: int = 12,
         mixed = pulled.join(z, ["set_id", "point_id"]).select(
             "set_id", "point_id", "d",
             F.array(*[(F.col(f"s{i}") + F.get("z", i)) / 2 for i in range(k)]).alias("z"))
-        z = cut(_orthonormal(mixed, k))
-    faded = F.zip_with("z", "grown", lambda x, g: x * F.pow(g, F.lit(2 * steps)) / F.sqrt("d"))
+        z = cut(mixed)
+        if turn % every == every - 1:
+            z = cut(_orthonormal(z, k))
+    faded = F.zip_with("z", "grown", lambda x, g: x * F.pow(g, F.lit(2 * steps / every)) / F.sqrt("d"))
     return z.select("set_id", "point_id", F.slice(faded, 2, n_components).alias("z"))
 
 

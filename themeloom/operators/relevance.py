@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import words
 from themeloom.operators.skew import attach, top_per_group
+from themeloom.session import cut
 
 # The usual BM25 constants.
 K1 = 1.2
@@ -32,7 +33,8 @@ def bm25(docs: DataFrame, requests: DataFrame, text_fields: list[str]) -> DataFr
              .agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")))
     hits = attach(tokens.select("doc_id", "field", "dl", F.explode("tokens").alias("term")),
                   vocabulary, ["term"], row_bytes=48, spread=F.col("doc_id"))
-    tf = hits.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    # Stored: term statistics and scores both start from it.
+    tf = cut(hits.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     weights = (df.join(F.broadcast(stats), "field")
                .select("field", "term", "avg_dl",

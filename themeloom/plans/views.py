@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.profile import Profile
+from themeloom.session import spread
+
+# Tables whose rows take long to evaluate: texts, and the orders questions are made of.
+TEXTUAL = ("documents", "conversations", "orders")
 
 # A topic profile whose terms occur in a part of the documents.
 TOPICS = Profile(
@@ -36,7 +40,8 @@ INTENTS = {("P", 1): "simple_search", ("P", 2): "greeting"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTUAL else df
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
