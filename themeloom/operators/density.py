@@ -32,7 +32,7 @@ def _with_copies(edges: DataFrame, cores: DataFrame, sizes: DataFrame) -> tuple[
     its core distance: below that all its copies are apart.
     """
     vertices = cores.select("set_id", "point_id", "weight", "core")
-    heavy = vertices.join(F.broadcast(sizes), "set_id").where("weight >= min_size")
+    heavy = attach(vertices, sizes.select("set_id", "min_size"), ["set_id"], row_bytes=16).where("weight >= min_size")
     partner = -F.col("point_id") - 1
     vertices = vertices.drop("core").unionByName(
         heavy.select("set_id", partner.alias("point_id"), F.lit(0).cast("long").alias("weight")))
@@ -135,7 +135,7 @@ def _small_sets(vertices: DataFrame, edges: DataFrame, sizes: DataFrame) -> Data
     rows = edges.select("set_id", F.lit(1).alias("kind"), "a", "b", "w").unionByName(
         vertices.select("set_id", F.lit(0).alias("kind"), F.col("point_id").alias("a"),
                         F.col("weight").alias("b"), F.lit(0.0).alias("w")))
-    rows = rows.join(F.broadcast(sizes.select("set_id", "min_size")), "set_id")
+    rows = attach(rows, sizes.select("set_id", "min_size"), ["set_id"], row_bytes=16)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf[pdf["kind"] == 0].sort_values("a")
@@ -171,7 +171,7 @@ def _large_sets(vertices: DataFrame, edges: DataFrame, sizes: DataFrame) -> Data
 
     # Sizes along each chain, and which edges really split a cluster.
     runs = running_sums(forest.chains, chain, ["w", "a", "b"], {"upto": "h"})
-    runs = runs.join(F.broadcast(least), "set_id")
+    runs = attach(runs, least, ["set_id"], row_bytes=16)
     m = F.col("min_size")
     lowest = F.col("y").isNotNull()
     hung_on = F.col("x_level") > 0
@@ -225,7 +225,7 @@ def _large_sets(vertices: DataFrame, edges: DataFrame, sizes: DataFrame) -> Data
     trees = vertices.groupBy("set_id").agg(F.count("*").alias("n")).join(
         forest.chains.groupBy("set_id").agg(F.count("*").alias("e")), "set_id")
     single = trees.select("set_id", (F.col("n") - F.col("e") == 1).alias("single"))
-    tree = tree.join(F.broadcast(single), "set_id").withColumn(
+    tree = attach(tree, cut(single), ["set_id"], row_bytes=16).withColumn(
         "is_root", F.col("single") & F.col("parent").isNull()).drop("single")
     kept = _select(cut(tree))
     label = _chase(kept.withColumn("label", F.when(F.col("kept"), F.col("cluster"))),
@@ -308,11 +308,11 @@ def density_clusters(edges: DataFrame, cores: DataFrame, sizes: DataFrame, *,
     many = counts.where(F.col("n_edges") > small).select("set_id")
     found = []
     if counts.where(F.col("n_edges") <= small).limit(1).count() or counts.limit(1).count() == 0:
-        found.append(_small_sets(vertices.join(F.broadcast(many), "set_id", "left_anti"),
-                                 edges.join(F.broadcast(many), "set_id", "left_anti"), sizes))
+        found.append(_small_sets(attach(vertices, many, ["set_id"], how="left_anti"),
+                                 attach(edges, many, ["set_id"], how="left_anti"), sizes))
     if many.limit(1).count():
-        found.append(_large_sets(cut(vertices.join(F.broadcast(many), "set_id", "left_semi")),
-                                 cut(edges.join(F.broadcast(many), "set_id", "left_semi")), sizes))
+        found.append(_large_sets(cut(attach(vertices, many, ["set_id"], how="left_semi")),
+                                 cut(attach(edges, many, ["set_id"], how="left_semi")), sizes))
     raw = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     raw = cut(raw.where("point_id >= 0"))
     names = raw.where("cluster <> -1").groupBy("set_id", "cluster").agg(F.min("point_id").alias("first"))

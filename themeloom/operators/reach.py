@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from themeloom.operators.skew import attach
+
 
 def adapted_cluster_size(n: Column, wanted: int = 25) -> Column:
     """Smallest cluster for n documents: about a tenth of them, at least five."""
@@ -22,7 +24,7 @@ def core_distances(edges: DataFrame, points: DataFrame, samples: DataFrame) -> D
     rows = edges.join(weights, ["set_id", "nbr_id"])
     order = Window.partitionBy("set_id", "point_id").orderBy(F.round("dist", 9), "nbr_id")
     seen = rows.withColumn("seen", F.sum("nbr_weight").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    own = points.select("set_id", "point_id", "weight").join(F.broadcast(samples), "set_id")
+    own = attach(points.select("set_id", "point_id", "weight"), samples, ["set_id"], row_bytes=16)
     seen = own.join(seen, ["set_id", "point_id"], "left")
     reach = F.col("seen") + F.col("weight") - 1 >= F.col("m")
     core = seen.groupBy("set_id", "point_id", "weight", "m").agg(

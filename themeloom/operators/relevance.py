@@ -36,6 +36,7 @@ def bm25(docs: DataFrame, requests: DataFrame, text_fields: list[str]) -> DataFr
     # Stored: term statistics and scores both start from it.
     tf = cut(hits.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # One row of statistics per text field of the profile.
     weights = (df.join(F.broadcast(stats), "field")
                .select("field", "term", "avg_dl",
                        F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))

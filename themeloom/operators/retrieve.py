@@ -86,7 +86,7 @@ def vector_scan(docs: DataFrame, *, filters: Mapping[str, object] | None = None,
 def lookup(docs: DataFrame, ids: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Selected fields of the given ids; unknown ids are absent."""
     picked = docs.select("doc_id", *fields)
-    return attach(picked, ids.select("doc_id").distinct(), ["doc_id"], row_bytes=16)
+    return attach(picked, ids.select("doc_id").distinct(), ["doc_id"], row_bytes=16, even=True)
 
 
 # -- topic terms ---------------------------------------------------------------

@@ -21,18 +21,21 @@ def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
 
 
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str], *, how: str = "inner",
-           row_bytes: int = 64, spread: Column | None = None) -> DataFrame:
+           row_bytes: int = 64, spread: Column | None = None, even: bool = False) -> DataFrame:
     """Join a table with a per-key table whose keys may be very uneven.
 
     ``small`` has one or few rows per key.  It is broadcast when its size is
     within the bound; else each of its rows is repeated ``SALTS`` times and
     every row of ``big`` meets one copy, so that a hot key is shared by
     ``SALTS`` tasks.  ``spread`` is the value of ``big`` that picks the copy, by
-    default its whole row.
+    default its whole row.  ``even`` says that no key is hot in ``big``, such as
+    a document id: then a plain join does.
     """
     on = list(on)
     if fits_broadcast(small, row_bytes):
         return big.join(F.broadcast(small), on, how)
+    if even:
+        return big.join(small, on, how)
     spread = [spread] if spread is not None else [F.col(c) for c in big.columns]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

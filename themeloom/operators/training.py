@@ -68,7 +68,7 @@ def _cut_split(rows: DataFrame, keys: list[str], id_column: str, wanted: DataFra
     counts = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    starts = (starts.join(wanted, keys) if keys else starts.crossJoin(F.broadcast(wanted)))
+    starts = starts.join(wanted, keys)
     place = (F.when(F.col("_start") + F.col("_n") <= F.col("n_train"), "train")
               .when(F.col("_start") >= F.col("n_train"), "eval").otherwise("cut"))
     marks = starts.select(*keys, "_bucket", place.alias("_place"),
@@ -83,8 +83,9 @@ def _cut_split(rows: DataFrame, keys: list[str], id_column: str, wanted: DataFra
 
 def ratio_split(rows: DataFrame, id_column: str, ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """Add ``split``: a seeded shuffle cut at exactly floor(n * ratio) rows."""
-    wanted = rows.agg(F.floor(F.count("*") * F.lit(ratio)).alias("n_train"))
-    return _cut_split(rows, [], id_column, wanted, seed)
+    whole = rows.withColumn("_all", F.lit(0))
+    wanted = whole.groupBy("_all").agg(F.floor(F.count("*") * F.lit(ratio)).alias("n_train"))
+    return _cut_split(whole, ["_all"], id_column, wanted, seed).drop("_all")
 
 
 def stratified_split(rows: DataFrame, id_column: str, label: str = "label", ratio: float = 0.8,
@@ -95,13 +96,12 @@ def stratified_split(rows: DataFrame, id_column: str, label: str = "label", rati
     the rows left over, ties alphabetical.
     """
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))
-    share = counts.crossJoin(F.broadcast(total)).withColumn(
+    # One row per label: the window over all of them is as small as the label list.
+    everything = Window.partitionBy(F.lit(0))
+    share = counts.withColumn("all", F.sum("n").over(everything)).withColumn(
         "want", F.col("all") - F.ceil(F.round(F.col("all") * F.lit(1 - ratio), 9)))
     share = share.withColumn("exact", F.col("n") * F.col("want") / F.col("all"))
     share = share.withColumn("low", F.floor("exact"))
-    # One row per label: the remainder ranking is as small as the label list.
-    everything = Window.partitionBy(F.lit(0))
     order = everything.orderBy((F.col("exact") - F.col("low")).desc(), label)
     spare = F.col("want") - F.sum("low").over(everything)
     wanted = share.withColumn("n_train", F.col("low") + F.when(

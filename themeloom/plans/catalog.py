@@ -313,7 +313,7 @@ def bm25_topk(spark, sf):
     asked = _topic_requests(docs)
     scores = bm25(docs, asked, ["text", "source"])
     best = top_per_group(scores, ["set_id"], [F.round("relevance", 9).desc(), F.col("doc_id")], 20)
-    return best.join(F.broadcast(asked), "set_id").select("lang", "doc_id", "rank", r6("relevance").alias("relevance"))
+    return attach(best, asked, ["set_id"]).select("lang", "doc_id", "rank", r6("relevance").alias("relevance"))
 
 
 @register
@@ -322,8 +322,7 @@ def relevance_cap(spark, sf):
     docs = table(spark, sf, "documents")
     asked = _topic_requests(docs)
     found = docs.select(F.xxhash64("lang").alias("set_id"), "doc_id")
-    return ranked_cap(found, bm25(docs, asked, ["text"]), 50).join(
-        F.broadcast(asked), "set_id").select("lang", "doc_id")
+    return attach(ranked_cap(found, bm25(docs, asked, ["text"]), 50), asked, ["set_id"]).select("lang", "doc_id")
 
 
 # -- vectors ---------------------------------------------------------------------------------
