@@ -48,6 +48,20 @@ def test_neighbours_with_a_third_copies(spark, kw):
     assert [r["nbr_doc"] for r in got] == [j for row in want for j in row]
 
 
+def test_cells_in_proportion_to_the_set(spark, monkeypatch):
+    """Small sets stay one cell while large ones are cut up; both stay exact."""
+    from themeloom.operators import knn as module
+
+    monkeypatch.setattr(module, "DIRECT", 50)
+    _, x = blobs(150, 5, 0.4, seed=4)
+    _, y = blobs(30, 2, 0.4, seed=5)
+    v = frame(spark, x).unionByName(frame(spark, y, set_id=7))
+    p = cut(distinct_points(v))
+    got = knn(p, 4, block=8).orderBy("set_id", "point_id", "rank").collect()
+    assert [r["nbr_id"] for r in got if r["set_id"] == 0] == [j for row in brute_neighbours(x, 4) for j in row]
+    assert [r["nbr_id"] for r in got if r["set_id"] == 7] == [j for row in brute_neighbours(y, 4) for j in row]
+
+
 def kruskal(edges, n):
     up = list(range(n))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ STOP_WORDS = """
 """.split()
 
 
-def telling_words(text: Column) -> Column:
+def telling_words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of a text without stop words."""
-    return F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(words(text), lambda w: ~w.isin(list(stop_words)))
 
 
 def words_and_pairs(kept: Column) -> Column:
@@ -40,7 +42,7 @@ def words_and_pairs(kept: Column) -> Column:
     return F.concat(kept, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def term_weights(docs: DataFrame) -> DataFrame:
+def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Summed TF-IDF weight of every term of a cluster: ``set_id, cluster_id, term, weight``.
 
     ``docs`` has ``set_id, cluster_id, doc_id, rank, text``.  The first fifty
@@ -50,7 +52,7 @@ def term_weights(docs: DataFrame) -> DataFrame:
     used = (docs.where(F.col("rank") <= MAX_DOCS)
             .withColumn("text", usable_text(F.col("text"))).where("text IS NOT NULL"))
     used = used.repartition("set_id", "cluster_id")
-    used = used.withColumn("_kept", telling_words(F.col("text")))
+    used = used.withColumn("_kept", telling_words(F.col("text"), stop_words))
     rows = used.select("set_id", "cluster_id", "doc_id", F.explode(words_and_pairs(F.col("_kept"))).alias("term"))
     tf = rows.groupBy("set_id", "cluster_id", "doc_id", "term").agg(F.count("*").alias("tf"))
     cluster = ["set_id", "cluster_id"]
@@ -67,16 +69,16 @@ def term_weights(docs: DataFrame) -> DataFrame:
     return tf.groupBy(*cluster, "term").agg(F.sum(F.col("gain") / F.col("length")).alias("weight"))
 
 
-def cluster_terms(docs: DataFrame, top: int = 5) -> DataFrame:
+def cluster_terms(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """The heaviest terms of every cluster, ties alphabetical."""
     w = Window.partitionBy("set_id", "cluster_id").orderBy(F.round("weight", 9).desc(), "term")
-    return (term_weights(docs).withColumn("rank", F.row_number().over(w))
+    return (term_weights(docs, stop_words).withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= max(1, top)))
 
 
-def keyword_labels(docs: DataFrame, top: int = 5) -> DataFrame:
+def keyword_labels(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``set_id, cluster_id, label``: heaviest terms joined by a comma."""
-    ranked = cluster_terms(docs, top).groupBy("set_id", "cluster_id").agg(
+    ranked = cluster_terms(docs, top, stop_words).groupBy("set_id", "cluster_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))),
                                  lambda e: e.term), ", ").alias("terms"))
     usable = (docs.where(F.col("rank") <= MAX_DOCS).groupBy("set_id", "cluster_id")

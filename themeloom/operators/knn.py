@@ -46,17 +46,19 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _into_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Nearest of the first ``n_cells`` pivots of every point."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             d = _squared(_matrix(pdf["vec"]), pivots)
+            d[np.arange(len(pivots))[None, :] >= pdf["n_cells"].to_numpy()[:, None]] = np.inf
             cell = d.argmin(1)
             yield pdf.assign(cell=cell.astype("int32"),
                              to_pivot=np.sqrt(d[np.arange(len(d)), cell]))
 
-    return points.mapInPandas(
-        assign, "set_id long, point_id long, vec array<double>, cell int, to_pivot double")
+    return points.mapInPandas(assign, "set_id long, point_id long, vec array<double>, n_cells int, "
+                                      "cell int, to_pivot double")
 
 
 def _meet(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -104,22 +106,27 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
     """``set_id, point_id, nbr_id, dist, rank``: the k nearest other points of a set.
 
     ``points`` has ``set_id, point_id, vector`` with distinct vectors and should
-    be a stored table; the pivots taken from it are at most ``MAX_PIVOTS`` rows.  Ties go to the smaller id.
+    be a stored table; the pivots taken from it are at most ``MAX_PIVOTS`` rows.
+    Ties go to the smaller id.
     """
     if metric == "cosine":
         points = points.withColumn("vector", unit(F.col("vector")))
-    n = points.count()
-    if n == 0:
-        return points.sparkSession.createDataFrame(
-            [], "set_id long, point_id long, nbr_id long, dist double, rank int")
-    block = block or min(2048, max(256, math.ceil(n / 32)))
-    # Few points meet each other directly; more are cut into cells first.
-    n_pivots = pivots or (1 if n <= DIRECT else min(MAX_PIVOTS, math.ceil(n / (4 * block))))
-    slim = points.select("set_id", "point_id", F.col("vector").alias("vec"))
+    counts = cut(points.groupBy("set_id").agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    block = block or min(2048, max(256, math.ceil(total / 32)))
+    # A set of few points is one cell; a larger one gets cells in proportion.
+    n_cells = F.lit(pivots) if pivots else F.when(F.col("n") <= DIRECT, 1).otherwise(
+        F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / (4 * block))))
+    counts = counts.select("set_id", n_cells.cast("int").alias("n_cells"))
+    n_pivots = counts.agg(F.coalesce(F.max("n_cells"), F.lit(1))).head()[0]
+    slim = attach(points.select("set_id", "point_id", F.col("vector").alias("vec")), counts, ["set_id"],
+                  row_bytes=16, spread=F.col("point_id"))
+    slim = slim.select("set_id", "point_id", "vec", "n_cells")
     if n_pivots == 1:
         assigned = slim.withColumns({"cell": F.lit(0), "to_pivot": F.lit(0.0)})
     else:
-        sample = slim.orderBy(F.xxhash64("point_id", "set_id")).limit(n_pivots).select("vec").collect()
+        sample = (slim.where("n_cells > 1").orderBy(F.xxhash64("point_id", "set_id"))
+                  .limit(n_pivots).select("vec").collect())
         centres = np.array([r["vec"] for r in sample], dtype="float64")
         assigned = cut(_into_cells(slim, centres))
     cells = cut(assigned.groupBy("set_id", "cell").agg(
@@ -137,7 +144,7 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
         first = cut(first)
         limit = first.groupBy("set_id", "point_id").agg(
             F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
-        away = _other_cells(placed.join(limit, ["set_id", "point_id"], "left"), centres)
+        away = _other_cells(placed.where("n_cells > 1").join(limit, ["set_id", "point_id"], "left"), centres)
         away = attach(away, cells, ["set_id", "cell"], row_bytes=32, spread=F.col("point_id"))
         away = (away.where(F.col("gap") - F.col("radius") <= F.col("bound") + SLACK)
                 .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
@@ -162,6 +169,7 @@ def _other_cells(located: DataFrame, centres: np.ndarray) -> DataFrame:
             plane = (d - d[rows, mine][:, None]) / (2 * apart)
             bound = pdf["bound"].fillna(np.inf).to_numpy()
             open_ = plane <= bound[:, None] + SLACK
+            open_ &= np.arange(len(centres))[None, :] < pdf["n_cells"].to_numpy()[:, None]
             open_[rows, mine] = False
             i, j = np.nonzero(open_)
             yield pd.DataFrame({
@@ -170,7 +178,7 @@ def _other_cells(located: DataFrame, centres: np.ndarray) -> DataFrame:
                 "home_sub": pdf["sub"].to_numpy()[i], "cell": j.astype("int32"),
                 "gap": np.sqrt(d[i, j]), "bound": bound[i]})
 
-    return located.select("set_id", "point_id", "vec", "cell", "sub", "bound").mapInPandas(
+    return located.select("set_id", "point_id", "vec", "n_cells", "cell", "sub", "bound").mapInPandas(
         choose, "set_id long, point_id long, vec array<double>, home_cell int, home_sub int, "
                 "cell int, gap double, bound double")
 
