@@ -176,8 +176,8 @@ def category_from_query(spark, sf):
 @register
 def keyword_filter(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    ents = F.transform(T.words(F.col("text")), lambda w, i: F.struct(
-        i.alias("pos"), F.upper(w).alias("word"),
+    ents = F.transform(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)), lambda w, i: F.struct(
+        i.alias("pos"), w.alias("word"),
         F.when(F.length(w) > 14, "ORG").when(F.length(w) > 11, "PRODUCT").otherwise("PER").alias("entity_group")))
     keys = Q.keywords(ents)
     return turns.select("conv_id", "turn", F.size(keys).alias("n_keywords"),
