@@ -192,3 +192,19 @@ def test_copies_get_their_cluster(spark):
     assert p.count() == 4
     docs = to_documents(v, p, ["weight"])
     assert sorted(r["weight"] for r in docs.collect()) == [1, 1, 1] + [10] * 10
+
+
+@pytest.mark.parametrize("method", ["pca", "spectral", "layout"])
+def test_reductions_keep_groups_apart(spark, method):
+    """Nearest neighbours after reduction stay in the group they came from."""
+    from themeloom.plans.analyze import reduce_points
+
+    g, x = blobs(90, 3, 0.2, seed=8, dim=8)
+    p = cut(distinct_points(frame(spark, x)))
+    s = Settings(method=method, n_components=3, n_neighbors=10)
+    z = cut(reduce_points(p, s)).orderBy("point_id").collect()
+    assert [r["point_id"] for r in z] == list(range(90))
+    z = np.array([r["z"] for r in z])
+    assert z.shape == (90, 3) and np.isfinite(z).all()
+    near = [row[0] for row in brute_neighbours(z, 1)]
+    assert (g[near] == g).mean() > 0.95
