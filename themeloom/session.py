@@ -31,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
     written, and the stored size lets Spark choose its join strategy.
     """
     path = f"{shared_dir(df.sparkSession)}/themeloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
