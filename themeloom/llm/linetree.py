@@ -40,9 +40,10 @@ def tokens(masked_line: Column) -> Column:
 def lines(docs: DataFrame) -> DataFrame:
     """``h1, h2, doc_id, pos, line, n, leaf, id`` of every line of every text; ``line`` is masked."""
     h1, h2 = text_key(F.col("text"))
-    each = docs.where("text is not null").select(h1.alias("h1"), h2.alias("h2"), "doc_id",
-                                                 F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = each.withColumn("line", masked(F.col("raw"))).withColumn("n", tokens(F.col("line")))
+    # Masked inside the array, so that what follows finds masked lines and doesn't mask again.
+    each = docs.where("text is not null").select(h1.alias("h1"), h2.alias("h2"), "doc_id", F.posexplode(
+        F.transform(F.split("text", "\n"), masked)).alias("pos", "line"))
+    line = each.withColumn("n", tokens(F.col("line")))
     lead = F.substring_index("line", " ", DEPTH)
     return line.select("h1", "h2", "doc_id", "pos", "line", "n", F.xxhash64("n", lead).alias("leaf"),
                        F.xxhash64(F.lit("line"), "line").alias("id"))
@@ -51,14 +52,16 @@ def lines(docs: DataFrame) -> DataFrame:
 def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, min_tokens: int, share: float, like: float) -> DataFrame:
     """``leaf, id`` of lines whose places are mostly constants of a leaf with different lines.
 
-    ``seen`` has ``leaf, id, texts``: in how many distinct texts each line stands.
+    ``seen`` has ``leaf, id, texts, first``: in how many distinct texts each line stands, and one of them.
     """
     leaves = cut(seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("texts").alias("leaf_texts"))
                      .where((F.col("kinds") > 1) & (F.col("leaf_texts") >= min_texts)).drop("kinds"))
-    forms = (lines(docs).where(F.col("n") >= min_tokens).select("leaf", "id", "n", "line")
-                        .join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["leaf", "id"]))
-    # Whatever a line's length, its tokens are few bytes each; leading ones are equal in all of the leaf.
-    placed = cut(forms.join(seen, ["leaf", "id"]).select(
+    asked = seen.join(leaves.select("leaf"), "leaf").select("leaf", "id", "texts", F.col("first.h1").alias("h1"),
+                                                            F.col("first.h2").alias("h2"))
+    # Each different line is read from one text, though copies of that text give it again.
+    forms = lines(docs).select("h1", "h2", "leaf", "id", "n", "line").join(asked, ["leaf", "id", "h1", "h2"])
+    # Leading tokens are equal in all of the leaf.
+    placed = cut(forms.select("leaf", "id", "n", "texts", "line").distinct().select(
         "leaf", "id", "n", "texts", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= DEPTH))
     constant = (placed.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("with_token")).join(leaves, "leaf")
                       .where(F.col("with_token") >= F.greatest(F.lit(min_texts), F.ceil(share * F.col("leaf_texts"))))
@@ -78,7 +81,7 @@ def recurring(docs: DataFrame, stored: DataFrame, min_texts: int = MIN_TEXTS, mi
     per_text = (stored.where(F.col("n") >= min_tokens).groupBy("leaf", "id", "h1", "h2")
                       .agg(F.min("doc_id").alias("doc_id")))
     seen = cut(per_text.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("texts"), first))
-    alike = cut(generalised(docs, seen.drop("first"), min_texts, min_tokens, share, like))
+    alike = cut(generalised(docs, seen, min_texts, min_tokens, share, like))
     of_leaf = (per_text.join(alike, ["leaf", "id"], "left_semi").groupBy("leaf", "h1", "h2").agg(
         F.min("doc_id").alias("doc_id")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), first)
         .where(F.col("texts") >= min_texts).drop("texts"))
