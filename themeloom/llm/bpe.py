@@ -29,7 +29,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-CACHE = 800_000
+CACHE = 700_000
 LONG_CHUNK = 200
 FINAL = 0x400
 
@@ -42,14 +42,14 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """Remembers values of a function, the first ``CACHE`` of them; nothing about long texts."""
+    """Remembers values of a function, the first ``limit`` of them; nothing about long texts."""
 
-    def __init__(self, function: Callable):
-        self.function = function
+    def __init__(self, function: Callable, limit: int):
+        self.function, self.limit = function, limit
 
     def __missing__(self, key):
         value = self.function(key)
-        if len(self) < CACHE and len(key) <= LONG_CHUNK:
+        if len(self) < self.limit and len(key) <= LONG_CHUNK:
             self[key] = value
         return value
 
@@ -69,6 +69,8 @@ class Encoder:
         # Tokens as strings of symbols: one character per byte, shifted in its word-final form.
         self.symbols: dict[int, str] = {}
         names = [""] * size
+        # Remembered tokens are packed in two bytes each, if all ids fit.
+        self.kind = "H" if size <= 1 << 16 else "I"
         for name, i in vocab.items():
             final = name.endswith(WORD_END) and name != WORD_END
             stem = name[: -len(WORD_END)] if final else name
@@ -93,9 +95,9 @@ class Encoder:
         self.sizes = {i: len(s) for s, i in known.items()}
         self.shorter = {i: next(known[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in known)
                         for s, i in known.items() if len(s) > 1}
-        self.pairs = Memo(self.fits)
-        self.words = Memo(self.word)
-        self.chunks = Memo(self.chunk)
+        self.pairs = Memo(self.fits, CACHE // 2)
+        self.words = Memo(self.word, CACHE // 2)
+        self.chunks = Memo(self.chunk, CACHE)
         self.split = regex.compile(f"[{SPACE}]+").split
         self.pretokens = regex.compile(PRETOKEN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -125,8 +127,8 @@ class Encoder:
                 # Equal priority goes to the leftmost pair: the border wins against its right side.
                 bound, right = b + 1, halves[right][0]
 
-    def word(self, text: str) -> tuple[int, ...]:
-        """Tokens of one pre-token."""
+    def word(self, text: str) -> bytes:
+        """Tokens of one pre-token, packed."""
         b = text.encode()
         s = b[:-1].decode("latin-1") + chr(b[-1] + FINAL)
         matches, pairs = self.automaton.iter_long, self.pairs
@@ -139,7 +141,7 @@ class Encoder:
             ids.append(token)
             pos += size
         else:
-            return tuple(ids)
+            return array(self.kind, ids).tobytes()
         shorter, sizes, dead, n = self.shorter, self.sizes, set(), len(s)
         while True:
             token = shorter.get(token)
@@ -153,31 +155,30 @@ class Encoder:
                 ids.append(token)
                 pos += sizes[token]
                 if pos == n:
-                    return tuple(ids)
+                    return array(self.kind, ids).tobytes()
                 token = next(matches(s, pos))[1][0]
 
     def chunk(self, text: str) -> bytes:
-        """Tokens of a text without white space, as unsigned 32-bit numbers."""
+        """Tokens of a text without white space, packed."""
         words = self.words
-        plain = text if text.isascii() else normalize("NFC", text).replace("Σ", "σ")
-        plain = plain.lower()
+        plain = (text if text.isascii() else normalize("NFC", text).replace("Σ", "σ")).lower()
         if plain.isalpha():
-            ids = words[plain]
-        elif plain[:-1].isalpha() and plain[-1] in ".,;:!?":
-            ids = words[plain[:-1]] + words[plain[-1]]
-        else:
-            ids = ()
-            for part in self.specials.split(text) if any(m in text for m in self.marks) else (text,):
-                if part in self.special:
-                    ids += (self.special[part],)
-                elif part:
-                    plain = normalize("NFC", part).replace("Σ", "σ").lower()
-                    ids += tuple(i for w in self.pretokens(plain) for i in words[w])
-        return array("I", ids).tobytes()
+            return words[plain]
+        if plain[:-1].isalpha() and plain[-1] in ".,;:!?":
+            return words[plain[:-1]] + words[plain[-1]]
+        out = []
+        for part in self.specials.split(text) if any(m in text for m in self.marks) else (text,):
+            if part in self.special:
+                out.append(array(self.kind, [self.special[part]]).tobytes())
+            elif part:
+                plain = normalize("NFC", part).replace("Σ", "σ").lower()
+                out += [words[w] for w in self.pretokens(plain)]
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit numbers."""
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.split(text or ""))), "<u4")
+        packed = b"".join(map(self.chunks.__getitem__, self.split(text or "")))
+        return np.frombuffer(packed, self.kind).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the tokens, joined by spaces as this vocabulary's decoder does."""
