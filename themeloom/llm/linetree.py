@@ -38,15 +38,25 @@ def tokens(masked_line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``h1, h2, doc_id, pos, line, n, leaf, id`` of every line of every text; ``line`` is masked."""
+    """``h1, h2, doc_id, pos, n, leaf, id`` and the masked ``line`` of every line of every text."""
     h1, h2 = text_key(F.col("text"))
-    # Masked inside the array, so that what follows finds masked lines and doesn't mask again.
-    each = docs.where("text is not null").select(h1.alias("h1"), h2.alias("h2"), "doc_id", F.posexplode(
-        F.transform(F.split("text", "\n"), masked)).alias("pos", "line"))
-    line = each.withColumn("n", tokens(F.col("line")))
-    lead = F.substring_index("line", " ", DEPTH)
-    return line.select("h1", "h2", "doc_id", "pos", "line", "n", F.xxhash64("n", lead).alias("leaf"),
-                       F.xxhash64(F.lit("line"), "line").alias("id"))
+    each = docs.where("text is not null").select(h1.alias("h1"), h2.alias("h2"), "doc_id",
+                                                 F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return hashed(each.withColumn("line", masked(F.col("raw"))))
+
+
+def lines_to_filter(docs: DataFrame) -> DataFrame:
+    """The same as :func:`lines`, masked inside the array, so that filters on top don't mask again."""
+    h1, h2 = text_key(F.col("text"))
+    return hashed(docs.where("text is not null").select(h1.alias("h1"), h2.alias("h2"), "doc_id", F.posexplode(
+        F.transform(F.split("text", "\n"), masked)).alias("pos", "line")))
+
+
+def hashed(each: DataFrame) -> DataFrame:
+    counted = each.withColumn("n", tokens(F.col("line")))
+    return counted.select("h1", "h2", "doc_id", "pos", "line", "n",
+                          F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"),
+                          F.xxhash64(F.lit("line"), "line").alias("id"))
 
 
 def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, min_tokens: int, share: float, like: float) -> DataFrame:
@@ -59,7 +69,7 @@ def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, min_tokens: in
     asked = seen.join(leaves.select("leaf"), "leaf").select("leaf", "id", "texts", F.col("first.h1").alias("h1"),
                                                             F.col("first.h2").alias("h2"))
     # Each different line is read from one text, though copies of that text give it again.
-    forms = lines(docs).select("h1", "h2", "leaf", "id", "n", "line").join(asked, ["leaf", "id", "h1", "h2"])
+    forms = lines_to_filter(docs).select("h1", "h2", "leaf", "id", "n", "line").join(asked, ["leaf", "id", "h1", "h2"])
     # Leading tokens are equal in all of the leaf.
     placed = cut(forms.select("leaf", "id", "n", "texts", "line").distinct().select(
         "leaf", "id", "n", "texts", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= DEPTH))
