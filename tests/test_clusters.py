@@ -208,3 +208,31 @@ def test_reductions_keep_groups_apart(spark, method):
     assert z.shape == (90, 3) and np.isfinite(z).all()
     near = [row[0] for row in brute_neighbours(z, 1)]
     assert (g[near] == g).mean() > 0.95
+
+
+def _nearest(spark, vectors, k, metric="euclidean"):
+    from themeloom.operators.knn import knn
+
+    points = spark.createDataFrame([(0, i, v) for i, v in enumerate(vectors)], "set_id long, point_id long, vector array<double>")
+    got = {}
+    for r in knn(points, k, metric=metric).collect():
+        got.setdefault(r.point_id, {})[r["rank"]] = (r.nbr_id, r.dist)
+    return {i: [near[n] for n in sorted(near)] for i, near in got.items()}
+
+
+def test_ties_go_to_the_smaller_ids(spark):
+    one_hot = [[float(i == j) for j in range(40)] for i in range(40)]
+    got = _nearest(spark, one_hot, 3)
+    assert all([n for n, _ in near] == [j for j in range(4) if j != i][:3] for i, near in got.items())
+
+
+def test_neighbours_far_from_the_origin(spark):
+    got = _nearest(spark, [[1e8 + 0.1 * i * i, 1e8] for i in range(60)], 2)
+    for i, near in got.items():
+        exact = sorted((abs(0.1 * i * i - 0.1 * j * j), j) for j in range(60) if j != i)[:2]
+        assert [n for n, _ in near] == [j for _, j in exact]
+
+
+def test_zero_vector_has_cosine_distance_one(spark):
+    got = _nearest(spark, [[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]], 2, "cosine")
+    assert [round(d, 9) for _, d in got[0]] == [1.0, 1.0]

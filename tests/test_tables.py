@@ -211,3 +211,11 @@ def test_layout_constants_and_weights(spark):
                               "set_id long, point_id long, nbr_id long, dist double")
     w = {(r["point_id"], r["nbr_id"]): r["weight"] for r in fuzzy_weights(e).collect()}
     assert all(abs(w[i, j] - w[j, i]) < 1e-12 and 0 < w[i, j] <= 1 for i, j in w)
+
+
+def test_bounds_on_either_side_are_different_filters(spark):
+    from themeloom.operators.retrieve import filter_sets
+
+    rows = spark.createDataFrame([(4, None), (None, 4), (4, None)], "rating_gte int, rating_lte int").selectExpr(
+        "date'2011-01-01' AS start_date", "date'2011-02-01' AS end_date", "*", "array('x') AS terms")
+    assert filter_sets(rows).select("set_id").distinct().count() == 2

@@ -307,12 +307,16 @@ def density_clusters(edges: DataFrame, cores: DataFrame, sizes: DataFrame, *,
     counts = cut(edges.groupBy("set_id").agg(F.count("*").alias("n_edges")))
     many = counts.where(F.col("n_edges") > small).select("set_id")
     found = []
-    if counts.where(F.col("n_edges") <= small).limit(1).count() or counts.limit(1).count() == 0:
+    # A set may have points but no edges: it isn't among the counts, and all of it is noise.
+    lone = attach(vertices.select("set_id").distinct(), many, ["set_id"], how="left_anti")
+    if lone.limit(1).count():
         found.append(_small_sets(attach(vertices, many, ["set_id"], how="left_anti"),
                                  attach(edges, many, ["set_id"], how="left_anti"), sizes))
     if many.limit(1).count():
         found.append(_large_sets(cut(attach(vertices, many, ["set_id"], how="left_semi")),
                                  cut(attach(edges, many, ["set_id"], how="left_semi")), sizes))
+    if not found:
+        found.append(_small_sets(vertices, edges, sizes))
     raw = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     raw = cut(raw.where("point_id >= 0"))
     names = raw.where("cluster <> -1").groupBy("set_id", "cluster").agg(F.min("point_id").alias("first"))

@@ -11,8 +11,6 @@ from themeloom.functions.text import usable_text, words
 
 NO_TEXT = "(no text)"
 NO_VOCABULARY = "(no vocabulary)"
-MAX_DOCS = 50
-MAX_TERMS = 2000
 
 # Spark's default English stop words, so that no session is needed
 # to name them.
@@ -42,46 +40,51 @@ def words_and_pairs(kept: Column) -> Column:
     return F.concat(kept, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, *, max_docs: int | None = None,
+                 max_terms: int | None = None) -> DataFrame:
     """Summed TF-IDF weight of every term of a cluster: ``set_id, cluster_id, term, weight``.
 
-    ``docs`` has ``set_id, cluster_id, doc_id, rank, text``.  The first fifty
-    documents of a cluster are used.  All steps after the one shuffle group by a
-    cluster or finer, so they reuse its partitioning.
+    ``docs`` has ``set_id, cluster_id, doc_id, text``, and ``rank`` if ``max_docs`` is
+    given.  All documents and terms of a cluster are used, unless a limit is set.
+    Counts are grouped sums, combined before each shuffle, so that a large cluster
+    is no single task.
     """
-    used = (docs.where(F.col("rank") <= MAX_DOCS)
-            .withColumn("text", usable_text(F.col("text"))).where("text IS NOT NULL"))
-    used = used.repartition("set_id", "cluster_id")
+    used = docs if max_docs is None else docs.where(F.col("rank") <= max_docs)
+    used = used.withColumn("text", usable_text(F.col("text"))).where("text IS NOT NULL")
     used = used.withColumn("_kept", telling_words(F.col("text"), stop_words))
     rows = used.select("set_id", "cluster_id", "doc_id", F.explode(words_and_pairs(F.col("_kept"))).alias("term"))
     tf = rows.groupBy("set_id", "cluster_id", "doc_id", "term").agg(F.count("*").alias("tf"))
     cluster = ["set_id", "cluster_id"]
-    by_term = Window.partitionBy(*cluster, "term")
-    tf = tf.withColumns({"total": F.sum("tf").over(by_term), "df": F.count("*").over(by_term)})
-    by_total = Window.partitionBy(*cluster).orderBy(F.col("total").desc(), "term")
-    tf = tf.withColumn("place", F.dense_rank().over(by_total)).where(F.col("place") <= MAX_TERMS)
+    terms = tf.groupBy(*cluster, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    if max_terms is not None:
+        by_total = Window.partitionBy(*cluster).orderBy(F.col("total").desc(), "term")
+        terms = terms.withColumn("place", F.row_number().over(by_total)).where(F.col("place") <= max_terms)
+    tf = tf.join(terms.select(*cluster, "term", "df"), [*cluster, "term"])
     n = used.groupBy(*cluster).agg(F.count("*").alias("n"))
     tf = tf.join(n, cluster)
     gain = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     tf = tf.withColumn("gain", gain)
-    by_doc = Window.partitionBy(*cluster, "doc_id")
-    tf = tf.withColumn("length", F.sqrt(F.sum(F.col("gain") * F.col("gain")).over(by_doc)))
+    length = tf.groupBy(*cluster, "doc_id").agg(F.sqrt(F.sum(F.col("gain") * F.col("gain"))).alias("length"))
+    tf = tf.join(length, [*cluster, "doc_id"])
     return tf.groupBy(*cluster, "term").agg(F.sum(F.col("gain") / F.col("length")).alias("weight"))
 
 
-def cluster_terms(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+def cluster_terms(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS, *,
+                  max_docs: int | None = None, max_terms: int | None = None) -> DataFrame:
     """The heaviest terms of every cluster, ties alphabetical."""
     w = Window.partitionBy("set_id", "cluster_id").orderBy(F.round("weight", 9).desc(), "term")
-    return (term_weights(docs, stop_words).withColumn("rank", F.row_number().over(w))
+    return (term_weights(docs, stop_words, max_docs=max_docs, max_terms=max_terms).withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= max(1, top)))
 
 
-def keyword_labels(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+def keyword_labels(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS, *,
+                   max_docs: int | None = None, max_terms: int | None = None) -> DataFrame:
     """``set_id, cluster_id, label``: heaviest terms joined by a comma."""
-    ranked = cluster_terms(docs, top, stop_words).groupBy("set_id", "cluster_id").agg(
+    ranked = cluster_terms(docs, top, stop_words, max_docs=max_docs, max_terms=max_terms).groupBy("set_id", "cluster_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))),
                                  lambda e: e.term), ", ").alias("terms"))
-    usable = (docs.where(F.col("rank") <= MAX_DOCS).groupBy("set_id", "cluster_id")
+    counted = docs if max_docs is None else docs.where(F.col("rank") <= max_docs)
+    usable = (counted.groupBy("set_id", "cluster_id")
               .agg(F.count(usable_text(F.col("text"))).alias("n")))
     label = F.when(F.col("n") == 0, NO_TEXT).otherwise(F.coalesce("terms", F.lit(NO_VOCABULARY)))
     return (usable.join(ranked, ["set_id", "cluster_id"], "left")

@@ -41,6 +41,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # About b's centre, so that little cancels when all values lie far from the origin.
+    centre = b.mean(0)
+    a, b = a - centre, b - centre
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
     return np.maximum(d, 0.0)
 
@@ -82,14 +85,22 @@ def _meet(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
         d = _squared(q, x)
         d[qid[:, None] == xid[None, :]] = np.inf
         m = min(k, len(xid))
-        near = np.argpartition(d, m - 1, axis=1)[:, :m]
-        exact = np.empty(near.shape)
-        for i in range(0, len(q), 64):
-            gap = q[i:i + 64, None, :] - x[near[i:i + 64]]
-            exact[i:i + 64] = np.sqrt((gap * gap).sum(2))
-        out = pd.DataFrame({"set_id": key[0], "point_id": np.repeat(qid, m),
-                            "nbr_id": xid[near].ravel(), "dist": exact.ravel()})
-        return out[out["point_id"] != out["nbr_id"]]
+        # All members that may be as near as the k-th, within what rounding can do: ties are settled by id below.
+        kth = np.partition(d, m - 1, axis=1)[:, m - 1]
+        around = x - x.mean(0)
+        scale = (around * around).sum(1).max() + ((q - x.mean(0)) ** 2).sum(1)
+        far = kth + 1e-12 * scale + 3e-9 * np.sqrt(np.where(np.isfinite(kth), kth, 0.0)) + 1e-15
+        rows, cols = np.nonzero((d <= far[:, None]) & np.isfinite(d))
+        exact = np.empty(len(rows))
+        for i in range(0, len(rows), 65536):
+            gap = q[rows[i:i + 65536]] - x[cols[i:i + 65536]]
+            exact[i:i + 65536] = np.sqrt((gap * gap).sum(1))
+        order = np.lexsort((xid[cols], np.round(exact, 9), rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = place < m
+        return pd.DataFrame({"set_id": key[0], "point_id": qid[rows[best]], "nbr_id": xid[cols[best]],
+                             "dist": exact[best]})
 
     return (visits.select(*keys, "point_id", "vec").groupBy(*keys)
             .cogroup(hosts.groupBy(*[f"host_{c}" for c in keys]))
@@ -110,7 +121,9 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
     Ties go to the smaller id.
     """
     if metric == "cosine":
-        points = points.withColumn("vector", unit(F.col("vector")))
+        # A zero vector has distance one to all others: it gets an axis of its own.
+        zero = F.when(F.exists("vector", lambda x: x != 0), F.lit(0.0)).otherwise(F.lit(1.0))
+        points = points.withColumn("vector", F.concat(unit(F.col("vector")), F.array(zero)))
     counts = cut(points.groupBy("set_id").agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     block = block or min(2048, max(256, math.ceil(total / 32)))

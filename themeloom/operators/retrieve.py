@@ -133,7 +133,9 @@ def filter_sets(questions: DataFrame) -> DataFrame:
     """
     if "set_id" in questions.columns:
         return questions
-    return questions.withColumn("set_id", F.xxhash64(*FILTER_COLUMNS))
+    # Hashing the columns themselves would skip nulls, and "at least 4" equal "at most 4".
+    marked = F.to_json(F.struct(*FILTER_COLUMNS), {"ignoreNullFields": "false"})
+    return questions.withColumn("set_id", F.xxhash64(marked))
 
 
 def _score_matches(score: Column, field: ScoreField) -> Column:

@@ -283,7 +283,9 @@ def query_doc_range_join(spark, sf):
 def candidate_status(spark, sf):
     docs, p = _review_table(spark, sf)
     asked = _asked(spark, sf)
-    counts = candidates(asked.where("intent = 'trend_analysis'"), docs, p, keep=()).groupBy("set_id").agg(
+    # Documents without a vector can't be clustered and don't count.
+    usable = docs.where("vector IS NOT NULL")
+    counts = candidates(asked.where("intent = 'trend_analysis'"), usable, p, keep=()).groupBy("set_id").agg(
         F.count("*").alias("n_candidates"))
     return candidate_gates(asked, counts).select("query_id", "n_candidates", "status", "message")
 
@@ -469,7 +471,14 @@ def tfidf_labels(spark, sf):
     members = given_clusters(spark, sf)
     near = cut(X.exemplars(members, 50))
     docs = lookup(table(spark, sf, "documents"), near, ["text"]).join(near, "doc_id")
-    return keyword_labels(docs)
+    return keyword_labels(docs, max_docs=50, max_terms=2000)
+
+
+@register
+def tfidf_labels_all(spark, sf):
+    """Labels from all members of each cluster and all of their terms."""
+    members = given_clusters(spark, sf).where("cluster_id <> -1").select("set_id", "cluster_id", "doc_id")
+    return keyword_labels(members.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def _described(spark, sf):

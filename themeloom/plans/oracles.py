@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+from themeloom.functions.dates import MONTHS_WIDE
 from themeloom.operators.keywords import STOP_WORDS
 from themeloom.plans.views import wording_sql
 
 WORD = r"[\p{L}\p{N}_]+"
 BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
-WIDE = ("CASE {0} WHEN 'jan' THEN 1 WHEN 'january' THEN 1 WHEN 'feb' THEN 2 WHEN 'february' THEN 2 WHEN 'mar' THEN 3 "
-        "WHEN 'march' THEN 3 WHEN 'apr' THEN 4 WHEN 'april' THEN 4 WHEN 'may' THEN 5 WHEN 'jun' THEN 6 WHEN 'june' THEN 6 "
-        "WHEN 'jul' THEN 7 WHEN 'july' THEN 7 WHEN 'aug' THEN 8 WHEN 'august' THEN 8 WHEN 'sep' THEN 9 WHEN 'sept' THEN 9 "
-        "WHEN 'september' THEN 9 WHEN 'oct' THEN 10 WHEN 'october' THEN 10 WHEN 'nov' THEN 11 WHEN 'november' THEN 11 "
-        "WHEN 'dec' THEN 12 WHEN 'december' THEN 12 END")
+WIDE = "CASE {0} " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in MONTHS_WIDE.items()) + " END"
 
 
 def wide(x: str) -> str:
@@ -159,7 +156,7 @@ rel AS (SELECT lang, doc_id, max(s) AS s FROM (SELECT a.lang, doc_id, f, sum(g)
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 COLS = "query_id, start_date, end_date, CAST(rating_gte AS INT) AS rating_gte, CAST(rating_lte AS INT) AS rating_lte"
-MONTH_NAMES = "jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december"
+MONTH_NAMES = "|".join(MONTHS_WIDE)
 
 ORACLES: dict[str, str] = {
     "document_source": "SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(CAST(n_chars AS FLOAT) AS DOUBLE) AS score FROM documents",
@@ -242,7 +239,7 @@ ORACLES: dict[str, str] = {
         FROM sets s JOIN docwords r ON {MATCH} AND {RATED} GROUP BY ALL)
         SELECT a.query_id, n_docs, first_doc, last_doc FROM asked a JOIN found s ON {SAME}""",
     "candidate_status": f"""WITH {SETS}, found AS (SELECT s.start_date, s.end_date, s.rating_gte, s.rating_lte, s.terms, count(*) AS n
-        FROM sets s JOIN docwords r ON {MATCH} AND {RATED} GROUP BY ALL),
+        FROM sets s JOIN docwords r ON {MATCH} AND {RATED} AND r.vector IS NOT NULL GROUP BY ALL),
         st AS (SELECT a.query_id, a.intent, CASE WHEN EXISTS (SELECT 1 FROM asked b WHERE b.intent = 'trend_analysis' AND b.start_date IS NOT DISTINCT FROM a.start_date AND
             b.end_date IS NOT DISTINCT FROM a.end_date AND b.rating_gte IS NOT DISTINCT FROM a.rating_gte AND b.rating_lte IS NOT DISTINCT FROM a.rating_lte AND b.terms = a.terms)
             THEN coalesce(n, 0) ELSE 0 END AS n, a.start_date FROM asked a LEFT JOIN found s ON {SAME}),
@@ -326,3 +323,5 @@ ORACLES: dict[str, str] = {
         k AS (SELECT count(*) FILTER (WHERE gq IS NOT NULL AND pq IS NOT NULL) AS tp, count(*) FILTER (WHERE gq IS NULL) AS fp, count(*) FILTER (WHERE pq IS NULL) AS fn FROM j)
         SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM k""",
 }
+
+ORACLES["tfidf_labels_all"] = ORACLES["tfidf_labels"].replace("WHERE rank <= 50", "").replace("WHERE place <= 2000", "")

@@ -20,20 +20,20 @@ TOPICS = Profile(
 # Wording of the derived questions, per order status and priority.  {mon}, {mon2}
 # are short names of the order's month and the next, {month} is the full name.
 SHAPES = {
-    ("F", 1): "top trends in Foods for {mon} to {mon2} {y} which are high {s} score",
-    ("F", 2): "top trends for {mon} to {mon2} {y} with score {s}",
-    ("F", 3): "trends for {month} {y} with score {s}",
-    ("F", 4): "electronics trends for {mon} to {mon2} {y} which got score greater than 3",
-    ("F", 5): "themes from {month} {y} to {mon2} {y2}",
-    ("O", 1): "reviews from sept {y}",
-    ("O", 2): "top trends in baby food for {y}",
+    ("F", 1): "which Foods stood out in {mon} to {mon2} {y} at a {s} score",
+    ("F", 2): "main subjects {mon} to {mon2} {y}, only score {s}",
+    ("F", 3): "what was talked about in {month} {y} at score {s}",
+    ("F", 4): "electronics talk {mon} to {mon2} {y} where score is greater than 3",
+    ("F", 5): "complaints from {month} {y} to {mon2} {y2}",
+    ("O", 1): "opinions since sept {y}",
+    ("O", 2): "what parents say about food in {y}",
     ("O", 3): "from {day} {month} {y} to {mon2} {y2}",
     ("O", 4): "{iso2} to {iso}",
-    ("O", 5): "trends of last month",
-    ("P", 1): "search for crunchy snack reviews",
-    ("P", 2): "hello there",
-    ("P", 3): "trends with score between 2 and 4 for {mon} {y}",
-    ("P", 4): "trends for candy with score 4 or above in {mon}. {y}",
+    ("O", 5): "whatever came up last month",
+    ("P", 1): "find notes on squeaky chairs",
+    ("P", 2): "good morning to you",
+    ("P", 3): "opinions with score between 2 and 4 around {mon} {y}",
+    ("P", 4): "talk of teapots with score 4 or above in {mon}. {y}",
     ("P", 5): "last week with at least 3 star or {day} {month} {y}",
 }
 INTENTS = {("P", 1): "simple_search", ("P", 2): "greeting"}
