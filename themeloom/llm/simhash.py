@@ -192,14 +192,14 @@ def one_per_class(docs: DataFrame, size: int = 5, bits: int = 42, width: int = 4
     By default five-word shingles and 256-bit fingerprints, of which 42 bits may differ: the
     expected distance of texts that share 0.8 of their shingles is 38, with a deviation of 6.
 
-    Of rows with equal ids the one whose text sorts first stays.  Rows without an id or without a
-    word stay, as nothing names or compares them.  Columns stay as they are.
+    Blank and null texts are one class, as in :func:`classes`.  Of rows with equal ids the one whose
+    text sorts first stays.  Rows without an id stay, as nothing names them.  Columns stay as they are.
     """
     held = carried(docs)
-    able = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    able, text = F.col("doc_id").isNotNull(), F.coalesce("text", F.lit(""))
     first = classes(docs.where(able), size, bits, width=width).where("doc_id = component_id").select("doc_id").distinct()
-    named = held.where(able).join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text"))
-    chosen = named.groupBy("doc_id").agg(F.min_by("_h", "text").alias("_h"))
+    named = held.where(able).join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64(text))
+    chosen = named.groupBy("doc_id").agg(F.min_by("_h", text).alias("_h"))
     kept = named.join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
     return kept.select("doc").union(held.where(~able).select("doc")).select("doc.*")
 
