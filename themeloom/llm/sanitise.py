@@ -94,23 +94,25 @@ def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int =
 
     ``rows`` are the distinct texts with entities, ``near`` their :func:`contexts`.  All counts are of distinct texts of the whole corpus.
     """
-    h1, h2 = text_key(F.col("text"))
-    pairs = near.select("entity", "term", "h1", "h2").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    pairs = cut(pairs)
+    pairs = cut(near.select("entity", "term", "h1", "h2").distinct().groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("both")).where(F.col("both") >= support))
     of_entity = rows.select("h1", "h2", F.explode("base").alias("e")).select(
         "h1", "h2", F.concat_ws(":", "e.kind", F.lower("e.found")).alias("entity")).distinct().groupBy("entity").agg(
         F.count(F.lit(1)).alias("with_entity"))
+    h1, h2 = text_key(F.col("text"))
     held = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0)), F.lower))
-    # Copies of a text send their terms once; a hot text is one key of a map-side combine.
-    asked = pairs.select("term").distinct()
-    of_term = (docs.select(h1.alias("h1"), h2.alias("h2"), F.explode(held).alias("term")).join(asked, "term", "left_semi")
-                   .select("term", "h1", "h2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term")))
-    total = docs.select(h1.alias("h1"), h2.alias("h2")).distinct().agg(F.count(F.lit(1)).cast("double").alias("total"))
-    counted = pairs.join(of_entity, "entity").join(of_term, "term").join(F.broadcast(total))
-    own = F.log(F.col("total") / F.col("with_entity"))
-    mutual = F.log(F.col("total") * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    return counted.where(F.col("with_entity") < F.col("total")).select("entity", "term", (mutual / own).alias("share"))
+    # Copies of a text send their terms once.  The empty term stands in every text: its count is their number.
+    texts = docs.select(h1.alias("h1"), h2.alias("h2"), F.array_append(held, F.lit("")).alias("terms")).groupBy("h1", "h2").agg(
+        F.first("terms").alias("terms"))
+    of_any = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    asked = pairs.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    of_term = cut(of_any.join(asked, "term", "left_semi"))
+    counted = of_term.where("term = ''").first()
+    total = F.lit(float(counted["with_term"] if counted else 0))
+    own = F.log(total / F.col("with_entity"))
+    mutual = F.log(total * F.col("both") / (F.col("with_entity") * F.col("with_term")))
+    return (pairs.join(of_entity, "entity").join(of_term, "term").where(F.col("with_entity") < total)
+                 .select("entity", "term", (mutual / own).alias("share")))
 
 
 def spans_of(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE,
@@ -123,8 +125,8 @@ def spans_of(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     rows = with_base(docs)
     stored = cut(rows.select("h1", "h2", "text", "base").where(F.size("base") > 0).dropDuplicates(["h1", "h2"]))
     near = cut(contexts(stored))
-    share = revealing(docs, stored, near, support)
-    said = near.join(share.where(F.col("share") >= generalise), ["entity", "term"]).groupBy("h1", "h2", "start", "end").agg(
+    share = cut(revealing(docs, stored, near, support).where(F.col("share") >= generalise))
+    said = near.join(share, ["entity", "term"]).groupBy("h1", "h2", "start", "end").agg(
         F.max("share").alias("share"), F.first("term").alias("term"))
     kind = F.when(F.col("share") >= remove, "reveal").otherwise("hint")
     terms = said.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct(
