@@ -106,7 +106,8 @@ def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int =
         F.first("terms").alias("terms"))
     of_any = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     asked = pairs.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    of_term = cut(of_any.join(asked, "term", "left_semi"))
+    # An inner join, as Spark would move a semi join below the counts, where it reads every text's terms.
+    of_term = cut(of_any.join(asked, "term"))
     counted = of_term.where("term = ''").first()
     total = F.lit(float(counted["with_term"] if counted else 0))
     own = F.log(total / F.col("with_entity"))
