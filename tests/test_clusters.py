@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from one_set import cluster_one_set
 from themeloom.operators import skew
-from themeloom.operators.density import density_clusters
+from themeloom.operators.density import _with_copies, density_clusters
 from themeloom.operators.forest import components, merge_order, running_sums, spanning_forest
 from themeloom.operators.knn import document_neighbours, knn
 from themeloom.operators.points import distinct_points, to_documents
@@ -132,24 +133,40 @@ def test_running_sums_split_one_key(spark):
     assert [r["s"] for r in out] == [2 * (i + 1) for i in range(5000)]
 
 
-def clustered(spark, v, m=8, k=8, **kw):
-    p = cut(distinct_points(v))
-    edges = cut(knn(p, k))
-    sizes = p.select("set_id").distinct().select("set_id", F.lit(m).alias("min_size"), F.lit(k).alias("m"))
-    cores = cut(core_distances(edges, p, sizes))
-    out = density_clusters(cut(mutual_reachability(edges, cores)), cores, sizes, **kw)
-    return {(r["set_id"], r["point_id"]): (r["cluster_id"], round(r["probability"], 9)) for r in out.collect()}
-
-
-def test_both_ways_agree(spark):
-    """One task per set and joins over any size give the same clusters."""
+def test_joins_equal_a_one_by_one_merge(spark):
+    """Sets with copies, of two densities and of one point alone, all in one run."""
     _, x = blobs(150, 5, 0.9, seed=11)
     x = np.vstack([x, np.tile(x[3], (40, 1))])
     _, y = blobs(100, 3, 1.5, seed=12)
-    v = cut(frame(spark, x).unionByName(frame(spark, y, set_id=1)))
-    small = clustered(spark, v)
-    assert small == clustered(spark, v, small=1)
-    assert len({c for c, _ in small.values()}) > 3
+    v = frame(spark, x).unionByName(frame(spark, y, set_id=1)).unionByName(frame(spark, y[:1], set_id=2))
+    p = cut(distinct_points(v))
+    m = k = 8
+    sizes = cut(p.select("set_id").distinct().select("set_id", F.lit(m).alias("min_size"), F.lit(k).alias("m")))
+    edges = cut(knn(p, k))
+    cores = cut(core_distances(edges, p, sizes))
+    reach = cut(mutual_reachability(edges, cores))
+    got = {}
+    for r in density_clusters(reach, cores, sizes).collect():
+        got.setdefault(r["set_id"], {})[r["point_id"]] = (r["cluster_id"], round(r["probability"], 9))
+    assert got[2] == {r["point_id"]: (-1, 0.0) for r in p.where("set_id = 2").collect()}
+    vertices, links = (df.toPandas() for df in _with_copies(reach, cores, sizes))
+    for s in (0, 1):
+        one, e = vertices[vertices.set_id == s].sort_values("point_id"), links[links.set_id == s]
+        want = cluster_one_set(one.point_id.to_numpy(), one.weight.to_numpy(), e.a.to_numpy(), e.b.to_numpy(),
+                               e.w.to_numpy(), m)
+        want = want[want.point_id >= 0]
+        first = want[want.cluster >= 0].groupby("cluster").point_id.min().sort_values()
+        name = {c: i for i, c in enumerate(first.index)}
+        assert len(name) > 1
+        assert got[s] == {r.point_id: ((name[r.cluster], round(min(r.lam, r.death) / r.death, 9))
+                                       if r.cluster >= 0 else (-1, 0.0)) for r in want.itertuples()}
+
+
+def test_no_edges_is_all_noise(spark):
+    x = np.random.default_rng(1).normal(size=(1, 3))
+    v = frame(spark, x).unionByName(frame(spark, x, set_id=1))
+    out = cluster_vectors(v, Settings(method="none")).collect()
+    assert sorted((r["set_id"], r["cluster_id"], r["probability"]) for r in out) == [(0, -1, 0.0), (1, -1, 0.0)]
 
 
 def test_planted_groups_are_found(spark):

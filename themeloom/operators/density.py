@@ -5,14 +5,12 @@ clusters of at least the minimum size, and the clusters with the most mass above
 their birth are kept.  Parts of the forest that no edge joins hang under a
 virtual root at density zero, which like a single root is never a cluster.
 
-Sets with few edges are solved one set per task; larger ones by the joins of
-:mod:`themeloom.operators.forest`.  Both ways are exact and give the same result.
+Sets of every size take the joins of :mod:`themeloom.operators.forest`, all sets of a
+run in the same rounds.  A point without edges is noise.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +18,7 @@ from themeloom.operators.forest import merge_order, running_sums
 from themeloom.operators.skew import attach, fits_broadcast
 from themeloom.session import cut
 
-SMALL_SET_EDGES = 400_000
 MIN_DISTANCE = 1e-12
-LABELS = "set_id long, point_id long, cluster long, lam double, death double"
 
 
 def _with_copies(edges: DataFrame, cores: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,114 +37,7 @@ def _with_copies(edges: DataFrame, cores: DataFrame, sizes: DataFrame) -> tuple[
     return vertices, edges
 
 
-# -- sets that fit one task --------------------------------------------------------
-
-def _keep_stable(parent: np.ndarray, stability: np.ndarray, is_root: np.ndarray) -> np.ndarray:
-    """Which clusters to keep; parents come before their children."""
-    n = len(parent)
-    best = stability.copy()
-    below = np.zeros(n)
-    kept = np.zeros(n, dtype=bool)
-    for c in range(n - 1, -1, -1):
-        kept[c] = not is_root[c] and best[c] >= below[c]
-        best[c] = best[c] if kept[c] else below[c]
-        if parent[c] >= 0:
-            below[parent[c]] += best[c]
-    covered = np.zeros(n, dtype=bool)
-    for c in range(n):
-        covered[c] = parent[c] >= 0 and (covered[parent[c]] or kept[parent[c]])
-        kept[c] &= not covered[c]
-    return kept
-
-
-def _cluster_one_set(vid: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray,
-                     w: np.ndarray, m: int) -> pd.DataFrame:
-    """Cluster, leaving density and cluster peak of each vertex of one set."""
-    n = len(vid)
-    ia, ib = np.searchsorted(vid, a), np.searchsorted(vid, b)
-    group = np.arange(n)
-
-    def find(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
-
-    # Merge nodes follow the vertices: node n+j joins two earlier nodes.
-    node = list(range(n))
-    size = [int(x) for x in weight]
-    sides, dens = [], []
-    for e in np.lexsort((b, a, w)):
-        p, q = find(ia[e]), find(ib[e])
-        if p == q:
-            continue
-        sides.append((node[p], node[q]))
-        size.append(size[node[p]] + size[node[q]])
-        dens.append(1.0 / max(w[e], MIN_DISTANCE))
-        group[q] = p
-        node[p] = len(size) - 1
-    tops = sorted({node[find(i)] for i in range(n)}, reverse=True)
-
-    parent, birth, mass, peak = [], [], [], []
-
-    def new_cluster(up: int, lam: float) -> int:
-        parent.append(up), birth.append(lam), mass.append(0.0), peak.append(0.0)
-        return len(parent) - 1
-
-    roots = [t for t in tops if t >= n and size[t] >= m]
-    home = np.full(len(size), -1)
-    left = np.zeros(len(size))
-    inside = np.zeros(len(size), dtype=bool)
-    for t in roots:
-        home[t], inside[t] = new_cluster(-1, 0.0), True
-    for i in range(len(size) - 1, n - 1, -1):
-        x, y = sides[i - n]
-        c, lam = home[i], dens[i - n]
-        if not inside[i]:
-            home[x] = home[y] = c
-            left[x] = left[y] = left[i]
-            continue
-        on = [s for s in (x, y) if s >= n and size[s] >= m]
-        off = [s for s in (x, y) if s not in on]
-        gone = size[i] if len(on) != 1 else size[off[0]]
-        mass[c] += gone * (lam - birth[c])
-        peak[c] = max(peak[c], lam)
-        for s in off:
-            home[s], left[s] = c, lam
-        for s in on:
-            home[s] = c if len(on) == 1 else new_cluster(c, lam)
-            inside[s] = True
-
-    single = len(tops) == 1
-    is_root = np.array([single and p < 0 for p in parent], dtype=bool)
-    par = np.array(parent, dtype=int)
-    kept = _keep_stable(par, np.array(mass), is_root) if parent else np.zeros(0, dtype=bool)
-    label = np.full(len(parent), -1)
-    for c in range(len(parent)):
-        label[c] = c if kept[c] else (label[par[c]] if par[c] >= 0 else -1)
-    own = np.where(home[:n] >= 0, label[home[:n]], -1) if len(label) else np.full(n, -1)
-    top = np.array(peak + [0.0])[own]
-    return pd.DataFrame({"point_id": vid, "cluster": own, "lam": left[:n], "death": top})
-
-
-def _small_sets(vertices: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    rows = edges.select("set_id", F.lit(1).alias("kind"), "a", "b", "w").unionByName(
-        vertices.select("set_id", F.lit(0).alias("kind"), F.col("point_id").alias("a"),
-                        F.col("weight").alias("b"), F.lit(0.0).alias("w")))
-    rows = attach(rows, sizes.select("set_id", "min_size"), ["set_id"], row_bytes=16)
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[pdf["kind"] == 0].sort_values("a")
-        e = pdf[pdf["kind"] == 1]
-        out = _cluster_one_set(v["a"].to_numpy(), v["b"].to_numpy(), e["a"].to_numpy(),
-                               e["b"].to_numpy(), e["w"].to_numpy(), int(pdf["min_size"].iloc[0]))
-        out.insert(0, "set_id", key[0])
-        return out
-
-    return rows.groupBy("set_id").applyInPandas(solve, LABELS)
-
-
-# -- sets of any size ------------------------------------------------------------------
+# -- the tree --------------------------------------------------------------------
 
 def _chase(df: DataFrame, keys: list[str], nxt: list[str], value: str) -> DataFrame:
     """Give every key the value of the first key along ``nxt`` that has one."""
@@ -163,7 +52,7 @@ def _chase(df: DataFrame, keys: list[str], nxt: list[str], value: str) -> DataFr
     return cur.select(*keys, value)
 
 
-def _large_sets(vertices: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
+def _leave_points(vertices: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
     forest = merge_order(edges, vertices)
     lam = 1.0 / F.greatest(F.col("w"), F.lit(MIN_DISTANCE))
     chain = ["set_id", "level", "comp"]
@@ -269,14 +158,14 @@ def _select(tree: DataFrame) -> DataFrame:
         F.count("*").alias("n_kids"))
     open_ = cut(tree.join(kids, ["set_id", "cluster"], "left").withColumns({
         "n_kids": F.coalesce("n_kids", F.lit(0)).cast("long"), "below": F.lit(0.0)}))
-    settled = None
+    settled = open_.withColumns({"kept": F.lit(False), "best": F.lit(0.0)}).limit(0)
     done = 0
     while done < total:
         ready = open_.where("n_kids = 0").withColumn(
             "kept", ~F.col("is_root") & (F.col("stability") >= F.col("below")))
         ready = cut(ready.withColumn("best", F.when(F.col("kept"), F.col("stability")).otherwise(F.col("below"))))
         done += ready.count()
-        settled = ready if settled is None else settled.unionByName(ready)
+        settled = settled.unionByName(ready)
         given = ready.groupBy("set_id", F.col("parent").alias("cluster")).agg(
             F.count("*").alias("n"), F.sum("best").alias("got"))
         rest = open_.where("n_kids > 0").join(given, ["set_id", "cluster"], "left")
@@ -294,8 +183,7 @@ def _select(tree: DataFrame) -> DataFrame:
 
 # -- entry ---------------------------------------------------------------------------------
 
-def density_clusters(edges: DataFrame, cores: DataFrame, sizes: DataFrame, *,
-                     small: int = SMALL_SET_EDGES) -> DataFrame:
+def density_clusters(edges: DataFrame, cores: DataFrame, sizes: DataFrame) -> DataFrame:
     """``set_id, point_id, cluster_id, probability``; -1 is noise.
 
     ``edges`` are ``set_id, a, b, w``; ``cores`` are ``set_id, point_id, weight,
@@ -304,20 +192,11 @@ def density_clusters(edges: DataFrame, cores: DataFrame, sizes: DataFrame, *,
     """
     vertices, edges = _with_copies(edges, cores, sizes)
     vertices, edges = cut(vertices), cut(edges)
-    counts = cut(edges.groupBy("set_id").agg(F.count("*").alias("n_edges")))
-    many = counts.where(F.col("n_edges") > small).select("set_id")
-    found = []
-    # A set may have points but no edges: it isn't among the counts, and all of it is noise.
-    lone = attach(vertices.select("set_id").distinct(), many, ["set_id"], how="left_anti")
-    if lone.limit(1).count():
-        found.append(_small_sets(attach(vertices, many, ["set_id"], how="left_anti"),
-                                 attach(edges, many, ["set_id"], how="left_anti"), sizes))
-    if many.limit(1).count():
-        found.append(_large_sets(cut(attach(vertices, many, ["set_id"], how="left_semi")),
-                                 cut(attach(edges, many, ["set_id"], how="left_semi")), sizes))
-    if not found:
-        found.append(_small_sets(vertices, edges, sizes))
-    raw = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    if edges.limit(1).count():
+        raw = _leave_points(vertices, edges, sizes)
+    else:
+        raw = vertices.select("set_id", "point_id", F.lit(-1).cast("long").alias("cluster"),
+                              F.lit(0.0).alias("lam"), F.lit(0.0).alias("death"))
     raw = cut(raw.where("point_id >= 0"))
     names = raw.where("cluster <> -1").groupBy("set_id", "cluster").agg(F.min("point_id").alias("first"))
     names = cut(names)
