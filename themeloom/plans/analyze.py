@@ -144,11 +144,12 @@ def reports(questions: DataFrame, clusters: DataFrame, totals: DataFrame,
     lines = R.summaries(clusters)
     prompt = R.prompts(clusters.select("set_id", "cluster_id", "text"))
     per_set = cut(body.join(lines, "set_id").join(prompt, "set_id").join(totals, "set_id"))
-    out = attach(questions, per_set, ["set_id"], how="left", row_bytes=4096)
+    # Rows of any width: Spark broadcasts by stored size, or splits a set many questions share.
+    out = questions.join(per_set, "set_id", "left")
     return out.withColumn("summary", F.coalesce("message", "summary"))
 
 
 def report_rows(questions: DataFrame, clusters: DataFrame, totals: DataFrame) -> DataFrame:
     """The same report in long form: one row per question and cluster."""
     sets = clusters.join(totals, "set_id")
-    return attach(questions.where("status = 'ok'"), sets, ["set_id"], row_bytes=1024)
+    return questions.where("status = 'ok'").join(sets, "set_id")
