@@ -1,5 +1,6 @@
 """SimHash classes and line dedup against plain versions."""
 
+import random
 from collections import defaultdict
 from itertools import combinations
 
@@ -94,6 +95,24 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*range(12), None, 50], key=str)
 
 
+def test_near_copies_are_those_of_exact_similarity(spark):
+    def jaccard(a, b):
+        x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    rng, texts = random.Random(3), []
+    for k in range(40):
+        words = prose(500 + k, 160).lower().split()
+        texts.append(" ".join(words))
+        for at in rng.sample(range(5, 150, 6), 1 + k % 10):
+            words[at] = f"changed{k}"
+        texts.append(" ".join(words))
+    alike = {2 * k: jaccard(texts[2 * k], texts[2 * k + 1]) for k in range(40)}
+    assert sum(0.75 < j < 0.8 for j in alike.values()) > 3 and sum(0.8 <= j < 0.85 for j in alike.values()) > 3
+    kept = {r.doc_id for r in simhash.one_per_class(of_texts(spark, texts)).collect()}
+    assert kept == {*range(0, 80, 2), *(i + 1 for i, j in alike.items() if j < 0.8)}
+
+
 BOILER = "Please read the terms of service at page {} before you go on reading"
 
 

@@ -27,6 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.llm import nearcopies
 from themeloom.llm.common import carried
 from themeloom.llm.graph import components
 from themeloom.session import cut
@@ -186,18 +187,18 @@ def classes(docs: DataFrame, size: int = 4, bits: int = 4, lower: bool = True, w
     return prints.join(label, "sig").select("doc_id", F.array_join(digits, "").alias("fingerprint"), "component_id")
 
 
-def one_per_class(docs: DataFrame, size: int = 5, bits: int = 42, width: int = 4) -> DataFrame:
+def one_per_class(docs: DataFrame, size: int = 5) -> DataFrame:
     """Rows of ``docs`` without near copies: of each class the row with the smallest ``doc_id`` stays.
 
-    By default five-word shingles and 256-bit fingerprints, of which 42 bits may differ: the
-    expected distance of texts that share 0.8 of their shingles is 38, with a deviation of 6.
+    Near copies share at least 0.8 of their five-word shingles (Jaccard), over any number of links;
+    every pair is verified by its whole sets and none is missed, which fingerprints can't promise at 0.8.
 
     Blank and null texts are one class, as in :func:`classes`.  Of rows with equal ids the one whose
     text sorts first stays.  Rows without an id stay, as nothing names them.  Columns stay as they are.
     """
     held = carried(docs)
     able, text = F.col("doc_id").isNotNull(), F.coalesce("text", F.lit(""))
-    first = classes(docs.where(able), size, bits, width=width).where("doc_id = component_id").select("doc_id").distinct()
+    first = nearcopies.classes(held.where(able), size).where("doc_id = component_id").select("doc_id").distinct()
     named = held.where(able).join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64(text))
     chosen = named.groupBy("doc_id").agg(F.min_by("_h", text).alias("_h"))
     kept = named.join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
