@@ -156,3 +156,21 @@ def test_linked_parts_equal_brute_force(spark):
             linked = any(k in secret_links.COMPLEMENT[kind] and s2 < e + secret_links.SCOPE and s < e2 + secret_links.SCOPE
                          for k, s2, e2 in parts)
             assert ((kind, s, e) in got[i]) == linked
+
+
+def test_long_parts_are_linked_like_short_ones(spark):
+    r = random.Random(11)
+    kinds = [*secret_links.BASE, *secret_links.WEAK]
+    rows = [(1, 1, "opaque", 0, 900, "x"), (1, 1, "identifier", 905, 920, "x"), (2, 2, "endpoint", 0, 30, "x"),
+            (2, 2, "opaque", 8, 30, "x"), (3, 3, "endpoint", 0, 2000, "x"), (3, 3, "assign", 2200, 2220, "x")]
+    for t in range(4, 40):
+        for start in r.sample(range(6000), 8):
+            rows.append((t, t, r.choice(kinds), start, start + r.choice([15, 300, 650, 2500]), "x"))
+    want = {a[:5] for a in rows for b in rows if a[0] == b[0] and b[2] in secret_links.COMPLEMENT.get(a[2], ())
+            and b[3] < a[4] + 300 and a[3] < b[4] + 300 and (b[4] <= a[3] or a[4] <= b[3])}
+    parts = spark.createDataFrame(rows, "h1 long, h2 long, kind string, start int, end int, found string")
+    assert {tuple(x)[:5] for x in secret_links.linked(parts).collect()} == want
+    assert {(1, 1, "opaque", 0, 900), (1, 1, "identifier", 905, 920), (3, 3, "endpoint", 0, 2000)} <= want
+    texts = ["https://example.com/Articles/2024/Foo-Bar-Baz alone", "redis://cache.example/0 password=hunter2hunter2"]
+    got = {x.doc_id: x.spans for x in secret_links.report(of_texts(spark, texts)).collect()}
+    assert got[0] == "" and got[1].startswith("endpoint:0:23,assign:")

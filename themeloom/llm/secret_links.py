@@ -21,7 +21,7 @@ WEAK = ("endpoint", "identifier", "opaque")
 SCOPE = 300
 # A part needs one of these kinds nearby; base spans count as the strong forms of their parts.
 COMPLEMENT = {"identifier": ("opaque", "assign", "hex"), "opaque": ("identifier", "access", "endpoint"),
-              "endpoint": ("opaque",)}
+              "endpoint": ("opaque", "assign", "access", "hex")}
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -51,20 +51,25 @@ def weak_spans(text: Column) -> dict[str, Column]:
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Weak parts with a complementary part within ``scope`` code points.
+    """Weak parts with a complementary part within ``scope`` code points that doesn't overlap them.
 
     ``parts`` has ``h1, h2, kind, start, end, found``; parts meet in stretches of ``scope`` code
-    points, each with its own and the next one.
+    points: a weak one has all that it and its scope touch, any other one all that it touches.
     """
     wanted = F.array(*[F.lit(f"{k}:{c}") for k, cs in COMPLEMENT.items() for c in cs])
-    cell = F.floor(F.col("start") / scope)
-    weak = parts.where(F.col("kind").isin(*WEAK)).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    other = parts.select("h1", "h2", cell.alias("cell"), F.col("kind").alias("kind2"), F.col("start").alias("start2"),
-                         F.col("end").alias("end2"))
+    cell = lambda at: F.floor(at / scope)
+    cells = lambda low, high: (cell(low).alias("low"), F.explode(F.sequence(cell(low), cell(high))).alias("cell"))
+    weak = parts.where(F.col("kind").isin(*WEAK)).select(
+        "h1", "h2", "kind", "start", "end", "found", *cells(F.col("start") - scope, F.col("end") + scope))
+    other = parts.select("h1", "h2", F.col("kind").alias("kind2"), F.col("start").alias("start2"), F.col("end").alias("end2"),
+                         *cells(F.col("start"), F.col("end"))).withColumnRenamed("low", "low2")
     near = ((F.col("start2") < F.col("end") + scope) & (F.col("start") < F.col("end2") + scope)
+            & ((F.col("end2") <= F.col("start")) | (F.col("end") <= F.col("start2")))
             & F.array_contains(wanted, F.concat_ws(":", "kind", "kind2")))
-    return weak.join(other, ["h1", "h2", "cell"]).where(near).select("h1", "h2", "kind", "start", "end",
-                                                                      "found").distinct()
+    # Two parts share many cells if they are long; the first common one is enough.
+    once = F.col("cell") == F.greatest("low", "low2")
+    return weak.join(other, ["h1", "h2", "cell"]).where(once & near).select("h1", "h2", "kind", "start", "end",
+                                                                            "found").distinct()
 
 
 def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
