@@ -141,6 +141,25 @@ def test_long_passage_shared_by_documents_is_dropped_once_kept(spark):
     assert got == {i: int(i % 4 == 0 and i > 0) for i in range(20)}
 
 
+def test_templates_of_one_leaf_are_found_apart(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeiourstlnmd") for _ in range(6))
+    fixed = [[word() for _ in range(9)] for _ in range(5)]
+    docs = []
+    for i in range(240):
+        if i < 120:
+            # Five templates with one word field and equal leading tokens; the fifth is rare.
+            words = list(fixed[4 if i < 4 else i % 4])
+            words[i % 4 + 3] = word()
+        else:
+            words = [word() for _ in range(9)]
+        docs.append(prose(700 + i, 20) + f"\n{i} {i} {i} " + " ".join(words))
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linetree.report(of_texts(spark, docs)).collect()}
+    first = {0, 4, 5, 6, 7}
+    assert {i for i in got if not got[i][1]} == first | {*range(120, 240)}
+    assert all(got[i][0] == docs[i] for i in first)
+
+
 def test_line_dedup_keeps_rows_and_columns(spark):
     rows = documents()
     out = linetree.without_recurring(frame(spark))

@@ -2,9 +2,9 @@
 
 As in log parsing, a line goes down a tree of fixed depth: by its number of tokens, then
 by its leading tokens, with tokens that hold digits generalised.  A leaf is a group of
-lines that may share a template.  In a leaf, a token is a constant of its place if enough
-of the leaf's texts have it there; other places are variable fields.  A line whose places
-are mostly constants follows a recurring template, as does one that recurs as it is.  The
+lines of any number of templates.  A line's template is made of those of its tokens that
+most of the leaf's texts have in their places; other places are variable fields.  A
+template that stands in several texts recurs, as does a line that recurs as it is.  The
 text that has a template first keeps it; all other texts lose it.
 
 DataFrame functions only.  Lines are rows of hashes; token counts are made only for leaves
@@ -22,7 +22,6 @@ from themeloom.session import cut
 DEPTH = 3
 MIN_TOKENS = 5
 MIN_TEXTS = 2
-SHARE = 0.3
 LIKE = 0.6
 
 
@@ -59,30 +58,35 @@ def hashed(each: DataFrame) -> DataFrame:
                           F.xxhash64(F.lit("line"), "line").alias("id"))
 
 
-def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, min_tokens: int, share: float, like: float) -> DataFrame:
-    """``leaf, id`` of lines whose places are mostly constants of a leaf with different lines.
+def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, like: float) -> DataFrame:
+    """``id, template`` of lines in leaves with different lines, where the template may recur.
+
+    A line's template is made of its own most widespread tokens: the share ``like`` of its places
+    behind the leading tokens, those whose token stands there in most of the leaf's texts.  Each of
+    them must stand in ``min_texts`` texts.  Lines of one template thus agree in that share of places.
 
     ``seen`` has ``leaf, id, texts, first``: in how many distinct texts each line stands, and one of them.
     """
     leaves = cut(seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("texts").alias("leaf_texts"))
-                     .where((F.col("kinds") > 1) & (F.col("leaf_texts") >= min_texts)).drop("kinds"))
-    asked = seen.join(leaves.select("leaf"), "leaf").select("leaf", "id", "texts", F.col("first.h1").alias("h1"),
-                                                            F.col("first.h2").alias("h2"))
+                     .where((F.col("kinds") > 1) & (F.col("leaf_texts") >= min_texts)).select("leaf"))
+    asked = seen.join(leaves, "leaf").select("leaf", "id", "texts", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
     # Each different line is read from one text, though copies of that text give it again.
     forms = lines_to_filter(docs).select("h1", "h2", "leaf", "id", "n", "line").join(asked, ["leaf", "id", "h1", "h2"])
     # Leading tokens are equal in all of the leaf.
     placed = cut(forms.select("leaf", "id", "n", "texts", "line").distinct().select(
-        "leaf", "id", "n", "texts", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= DEPTH))
-    constant = (placed.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("with_token")).join(leaves, "leaf")
-                      .where(F.col("with_token") >= F.greatest(F.lit(min_texts), F.ceil(share * F.col("leaf_texts"))))
-                      .select("leaf", "pos", "token"))
-    fixed = placed.join(constant, ["leaf", "pos", "token"], "left_semi").groupBy("leaf", "id").agg(
-        F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"))
-    return fixed.where(F.col("fixed") >= like * (F.col("n") - DEPTH)).select("leaf", "id")
+        "leaf", "id", "n", "texts", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= DEPTH)
+        .select("id", "n", "texts", "pos", F.xxhash64("leaf", "pos", "token").alias("place")))
+    constant = placed.groupBy("place").agg(F.sum("texts").alias("with_token")).where(F.col("with_token") >= min_texts)
+    # Ties go to the earlier place.
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("with_token")).alias("c"), "pos", "place")))
+    enough = F.ceil(like * (F.col("n") - DEPTH)).cast("int")
+    return (placed.join(constant, "place").groupBy("id").agg(F.max("n").alias("n"), ranked.alias("all"))
+                  .where(F.size("all") >= enough)
+                  .select("id", F.xxhash64("n", F.array_sort(F.slice("all.place", 1, enough))).alias("template")))
 
 
 def recurring(docs: DataFrame, stored: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS,
-              share: float = SHARE, like: float = LIKE) -> DataFrame:
+              like: float = LIKE) -> DataFrame:
     """``id, f1, f2``: lines that follow a recurring template, and the text that keeps it.
 
     That text is the one with the smallest ``doc_id`` (null ones last), then the smallest key.
@@ -91,16 +95,17 @@ def recurring(docs: DataFrame, stored: DataFrame, min_texts: int = MIN_TEXTS, mi
     per_text = (stored.where(F.col("n") >= min_tokens).groupBy("leaf", "id", "h1", "h2")
                       .agg(F.min("doc_id").alias("doc_id")))
     seen = cut(per_text.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("texts"), first))
-    alike = cut(generalised(docs, seen, min_texts, min_tokens, share, like))
-    of_leaf = (per_text.join(alike, ["leaf", "id"], "left_semi").groupBy("leaf", "h1", "h2").agg(
-        F.min("doc_id").alias("doc_id")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), first)
+    alike = cut(generalised(docs, seen, min_texts, like))
+    of_template = (per_text.join(alike, "id").groupBy("template", "h1", "h2").agg(
+        F.min("doc_id").alias("doc_id")).groupBy("template").agg(F.count(F.lit(1)).alias("texts"), first)
         .where(F.col("texts") >= min_texts).drop("texts"))
-    loose = alike.join(of_leaf, "leaf").select("id", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2"))
+    loose = cut(alike.join(of_template, "template").select("id", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2")))
     exact = seen.where(F.col("texts") >= min_texts).select("id", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2"))
-    return exact.union(loose.join(exact.select("id"), "id", "left_anti"))
+    # A template's first text keeps its line of it, also if that line itself recurs.
+    return loose.union(exact.join(loose.select("id"), "id", "left_anti"))
 
 
-def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS, share: float = SHARE,
+def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS,
                like: float = LIKE) -> DataFrame:
     """The rows of ``docs`` as ``doc`` with ``kept`` text, ``n_lines`` and ``n_dropped``.
 
@@ -110,7 +115,7 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MI
     """
     held = carried(docs)
     stored = cut(lines(held).drop("line"))
-    gone = (stored.join(recurring(held, stored, min_texts, min_tokens, share, like), "id")
+    gone = (stored.join(recurring(held, stored, min_texts, min_tokens, like), "id")
                   .where((F.col("h1") != F.col("f1")) | (F.col("h2") != F.col("f2")))
                   .groupBy("h1", "h2").agg(F.collect_set("pos").alias("gone")))
     h1, h2 = text_key(F.col("text"))
