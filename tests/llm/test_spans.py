@@ -116,6 +116,17 @@ def test_shares_equal_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_terms_far_from_an_entity_and_in_texts_without_it(spark):
+    docs = [prose(900 + i, 60) for i in range(80)]
+    for i in range(0, 40, 2):
+        # No address stands twice; their domain does. The name is far from it.
+        docs[i] = "Wigglesworth " + docs[i] + f" user{i}@rare.example"
+    docs[1] += " wigglesworth"
+    got = {r.doc_id: r.spans for r in sanitise.report(of_texts(spark, docs)).collect()}
+    assert all(got[i].split(",")[1] in ("hint:0:12", "reveal:0:12") for i in range(0, 40, 2))
+    assert got[1].endswith(f":{len(docs[1]) - 12}:{len(docs[1])}") and got[3] == ""
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     out = sanitise.sanitise(frame(spark, rows()))
     assert out.columns == frame(spark, []).columns and out.count() == len(rows())

@@ -1,18 +1,21 @@
 """Personal data, and terms that give it away.
 
 Base patterns find e-mail addresses, network addresses, card and phone numbers.  Each
-found value is a protected entity.  How strongly a term reveals an entity is estimated
-from the corpus: over distinct texts, the pointwise mutual information of term and entity,
-as a share of the entity's own information.  A share of one means that whoever reads the
-term knows the entity.  Terms within ``REACH`` code points of an entity whose share
-exceeds a threshold are generalised, beyond a higher one removed.
-
-All of it is DataFrame functions.  Equal texts are one text for every count; contexts, not
-whole documents, are paired with entities, so pairs grow with the number of entities.
+found value is a protected entity, and so are its kind and its mail domain.  How strongly a
+term reveals an entity is estimated from the corpus: over distinct texts, the pointwise
+mutual information of term and entity, as a share of the entity's own information.  A share
+of one means that whoever reads the term knows the entity.  Shares are discounted by
+both / (both + 1), the smoothing of Pantel and Lin, where both is the number of texts that
+have term and entity.  Terms whose share exceeds a threshold are generalised, beyond a
+higher one removed, wherever they stand outside base spans, also in texts without the entity.
+
+All of it is DataFrame functions.  Equal texts are one text for every count.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,7 @@ from themeloom.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"\p{L}{3,}"
-REACH = 60
-SUPPORT = 3
+BROADCAST_TERMS = 100_000
 GENERALISE = 0.7
 REMOVE = 0.9
 
@@ -67,42 +69,54 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"h1": h1, "h2": h2, "base": F.concat(*[named(k, found[k]) for k in KINDS])})
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """``h1, h2, entity, term, start, end``: terms near entities, once for each distinct text."""
-    e = F.explode("base")
-    near = (rows.where(F.size("base") > 0).select("h1", "h2", F.coalesce("text", F.lit("")).alias("text"), "base",
-                                                  e.alias("e")))
-    begin, left = F.greatest(F.lit(0), F.col("e.start") - REACH), F.col("e.start")
-    sides = F.array(F.struct(begin.alias("at"), F.substring("text", begin + 1, left - begin).alias("part")),
-                    F.struct(F.col("e.end").alias("at"), F.substring("text", F.col("e.end") + 1, F.lit(REACH)).alias("part")))
-    entity = F.concat_ws(":", "e.kind", F.lower("e.found"))
-    parts = near.select("h1", "h2", "base", entity.alias("entity"), F.explode(sides).alias("side"),
-                        F.length("text").alias("size"))
-    found = F.explode(spans(F.col("side.part"), TERM))
-    terms = (parts.withColumn("t", found)
-                  .withColumn("start", F.col("side.at") + F.col("t.start")).withColumn("end", F.col("side.at") + F.col("t.end")))
-    # A word cut by the window's outer edge is no term, nor is one inside an entity.
-    cut_off = (((F.col("t.start") == 0) & (F.col("side.at") > 0) & (F.length("side.part") == REACH))
-               | ((F.col("t.end") == REACH) & (F.col("end") < F.col("size"))))
-    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    return terms.where(~cut_off & ~inside).select("h1", "h2", "entity", F.lower("t.found").alias("term"), "start",
-                                                  "end").distinct()
-
-
-def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``entity, term, share``: how much of each entity's information each term near it gives away.
-
-    ``rows`` are the distinct texts with entities, ``near`` their :func:`contexts`.  All counts are of distinct texts of the whole corpus.
+def entities(rows: DataFrame) -> DataFrame:
+    """``h1, h2, entity``: found values, their kinds and mail domains, once for each text."""
+    found = F.lower("e.found")
+    own = F.array(F.concat_ws(":", "e.kind", found), F.concat(F.lit("kind:"), "e.kind"),
+                  F.when(F.col("e.kind") == "email", F.concat(F.lit("domain:"), F.substring_index(found, "@", -1))))
+    return (rows.select("h1", "h2", F.explode("base").alias("e")).select("h1", "h2", F.explode(own).alias("entity"))
+                .where("entity is not null").distinct())
+
+
+def outside(text: Column, base: Column) -> Column:
+    """The text with blanks in place of base spans."""
+    return F.aggregate(base, F.coalesce(text, F.lit("")), lambda t, s: F.overlay(
+        t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+
+
+def forms(text: Column, base: Column) -> Column:
+    """Different terms of a text outside base spans, as written."""
+    return F.array_distinct(F.regexp_extract_all(outside(text, base), F.lit(TERM), F.lit(0)))
+
+
+def terms_of(text: Column, base: Column) -> Column:
+    return F.array_distinct(F.transform(forms(text, base), F.lower))
+
+
+def contexts(rows: DataFrame, support: int = 1) -> DataFrame:
+    """``h1, h2, entity, term``: entities of ``support`` texts or more, and all terms of their texts outside base spans.
+
+    ``rows`` are distinct texts with entities.
     """
-    pairs = cut(near.select("entity", "term", "h1", "h2").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("both")).where(F.col("both") >= support))
-    of_entity = rows.select("h1", "h2", F.explode("base").alias("e")).select(
-        "h1", "h2", F.concat_ws(":", "e.kind", F.lower("e.found")).alias("entity")).distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("with_entity"))
-    h1, h2 = text_key(F.col("text"))
-    held = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0)), F.lower))
+    every = entities(rows)
+    often = every.groupBy("entity").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support).select("entity")
+    of_text = every.join(often, "entity").groupBy("h1", "h2").agg(F.collect_list("entity").alias("entities"))
+    terms = rows.select("h1", "h2", terms_of(F.col("text"), F.col("base")).alias("terms"))
+    return (terms.join(of_text, ["h1", "h2"]).select("h1", "h2", "terms", F.explode("entities").alias("entity"))
+                 .select("h1", "h2", "entity", F.explode("terms").alias("term")))
+
+
+def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int) -> DataFrame:
+    """``entity, term, both, share``: how much of each entity's information each term of its texts gives away.
+
+    ``rows`` are the distinct texts with entities, ``near`` their :func:`contexts`; ``both`` is in how many
+    texts the two stand, ``support`` at least.  All counts are of distinct texts of the whole corpus.
+    """
+    pairs = cut(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support))
+    of_entity = entities(rows).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    held = terms_of(F.col("text"), F.col("base"))
     # Copies of a text send their terms once.  The empty term stands in every text: its count is their number.
-    texts = docs.select(h1.alias("h1"), h2.alias("h2"), F.array_append(held, F.lit("")).alias("terms")).groupBy("h1", "h2").agg(
+    texts = with_base(docs.select("text")).select("h1", "h2", F.array_append(held, F.lit("")).alias("terms")).groupBy("h1", "h2").agg(
         F.first("terms").alias("terms"))
     of_any = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     asked = pairs.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
@@ -113,11 +127,10 @@ def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int =
     own = F.log(total / F.col("with_entity"))
     mutual = F.log(total * F.col("both") / (F.col("with_entity") * F.col("with_term")))
     return (pairs.join(of_entity, "entity").join(of_term, "term").where(F.col("with_entity") < total)
-                 .select("entity", "term", (mutual / own).alias("share")))
+                 .select("entity", "term", "both", (mutual / own).alias("share")))
 
 
-def spans_of(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE,
-             support: int = SUPPORT) -> DataFrame:
+def spans_of(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The rows of ``docs`` (``text`` and whatever else) with ``base``, ``terms`` and the text's key.
 
     ``base`` and ``terms`` are arrays of kind, start, end (code points, exclusive) and found text;
@@ -125,17 +138,24 @@ def spans_of(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     """
     rows = with_base(docs)
     stored = cut(rows.select("h1", "h2", "text", "base").where(F.size("base") > 0).dropDuplicates(["h1", "h2"]))
-    near = cut(contexts(stored))
-    share = cut(revealing(docs, stored, near, support).where(F.col("share") >= generalise))
-    said = near.join(share, ["entity", "term"]).groupBy("h1", "h2", "start", "end").agg(
-        F.max("share").alias("share"), F.first("term").alias("term"))
-    kind = F.when(F.col("share") >= remove, "reveal").otherwise("hint")
-    terms = said.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct(
-        "start", "end", kind.alias("kind"), F.col("term").alias("found")))).alias("t")).select(
-        "h1", "h2", F.transform("t", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"),
-                                                        s["end"].alias("end"), s["found"].alias("found"))).alias("terms"))
+    # Fewer texts can't reach the threshold after the discount, whatever the share.
+    support = max(1, math.ceil(generalise / (1 - generalise) - 1e-9)) if generalise < 1 else 1
+    share = revealing(docs, stored, contexts(stored, support), support).withColumn(
+        "share", F.col("share") * F.col("both") / (F.col("both") + 1)).where(F.col("share") >= generalise)
+    kind = F.when(F.max("share") >= remove, "reveal").otherwise("hint")
+    known = cut(share.groupBy("term").agg(kind.alias("kind")))
+    known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
+    held = with_base(docs.select("text")).select("h1", "h2", F.explode(forms(F.col("text"), F.col("base"))).alias("form"))
+    hits = held.withColumn("term", F.lower("form")).join(known, "term").groupBy("h1", "h2").agg(
+        F.map_from_entries(F.collect_set(F.struct("form", "kind"))).alias("hits"))
+    # Forms are runs of letters, and whole ones only are meant.
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("hits"), "|"), F.lit(r")(?!\p{L})"))
+    said = F.transform(spans(outside(F.col("text"), F.col("base")), pattern), lambda s: F.struct(
+        F.element_at("hits", s["found"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+        F.lower(s["found"]).alias("found")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")
-    return rows.join(terms, ["h1", "h2"], "left").withColumn("terms", F.coalesce("terms", empty))
+    terms = F.when(F.col("hits").isNotNull(), said).otherwise(empty)
+    return rows.join(hits, ["h1", "h2"], "left").withColumn("terms", terms).drop("hits")
 
 
 def report(docs: DataFrame) -> DataFrame:

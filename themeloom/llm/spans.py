@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def spans(text: Column, pattern: str, guard: Column | None = None, group: int = 0) -> Column:
+def spans(text: Column, pattern: str | Column, guard: Column | None = None, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as array of ``start, end, found``; end exclusive.
 
     ``found`` is the given group.  The text between matches gives their places: its parts and the
@@ -28,7 +28,7 @@ def spans(text: Column, pattern: str, guard: Column | None = None, group: int =
                       lambda at, m: F.struct(at.alias("start"), (at + F.length(m["whole"])).alias("end"),
                                              m["found"].alias("found")))
     # Most texts have no match: for them nothing but the guard and one search is done.
-    some = guard & text.rlike(pattern) if guard is not None else text.rlike(pattern)
+    some = guard & F.rlike(text, F.lit(pattern)) if guard is not None else F.rlike(text, F.lit(pattern))
     return F.when(some, made).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
