@@ -206,3 +206,8 @@ def test_no_labels_no_scores(spark):
     model = toxicity.fit(frame(spark), none)
     assert {r.score for r in toxicity.score(frame(spark), model).collect()} == {0.0}
     assert toxicity.score(frame(spark, []), model).count() == 0
+
+
+def test_runs_of_signs_and_compatibility_letters_are_folded():
+    assert toxicity.fold("b@$tard tr@$h disgu57ing m00n v3rm1n") == ["bastard", "trash", "disgusting", "moon", "vermin"]
+    assert toxicity.fold("ｆｏｏｌ 𝐟𝐨𝐨𝐥 moro0 cash$$$ wow!!! 2024") == ["fool", "fool", "moroo", "cash", "wow"]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,12 +47,16 @@ class Model:
 
 def fold(text: str | None) -> list[str]:
     """Words of a text after folding."""
-    text = (text or "").lower()
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    text = text.lower()
     if re.search("[Ͱ-ԯɑｌ]", text):
         text = text.translate(LOOK_ALIKE)
     if re.search(r"[0134578@$]", text):
-        text = re.sub(r"(?<=[^\W\d_])[0134578@$](?=[^\W\d_])|(?<![\w@$])[0134578@$](?=[^\W\d_]{2})",
-                      lambda m: STANDS_FOR[m[0]], text)
+        # Runs between letters, at a word's start, and one or two that end a word of two letters or more.
+        text = re.sub(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|(?<![\w@$])[0134578@$]{1,2}(?=[^\W\d_]{2})"
+                      r"|(?<=[^\W\d_]{2})[0134578@$]{1,2}(?![\w@$])", lambda m: "".join(map(STANDS_FOR.get, m[0])), text)
     return re.findall(r"[^\W\d_]+", text)
 
 
