@@ -150,7 +150,7 @@ def test_templates_of_one_leaf_are_found_apart(spark):
         if i < 120:
             # Five templates with one word field and equal leading tokens; the fifth is rare.
             words = list(fixed[4 if i < 4 else i % 4])
-            words[i % 4 + 3] = word()
+            words[3 if i < 4 else i % 4 + 3] = word()
         else:
             words = [word() for _ in range(9)]
         docs.append(prose(700 + i, 20) + f"\n{i} {i} {i} " + " ".join(words))
