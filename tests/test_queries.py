@@ -1,8 +1,7 @@
 """Every registered query: equal to its SQL, or at least runnable."""
 
 import pytest
-from check import compare, oracle_rows
-from conftest import SF
+from check import SF, compare, oracle_rows
 
 import __spark_entry__ as entry
 
