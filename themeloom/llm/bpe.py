@@ -175,10 +175,13 @@ class Encoder:
                 out += [words[w] for w in self.pretokens(plain)]
         return b"".join(out)
 
+    def packed(self, text: str | None) -> bytes:
+        """Token ids of a whole text in the vocabulary's own width."""
+        return b"".join(map(self.chunks.__getitem__, self.split(text or "")))
+
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit numbers."""
-        packed = b"".join(map(self.chunks.__getitem__, self.split(text or "")))
-        return np.frombuffer(packed, self.kind).astype("<u4")
+        return np.frombuffer(self.packed(text), self.kind).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the tokens, joined by spaces as this vocabulary's decoder does."""

@@ -5,7 +5,7 @@ placed on a Hilbert curve.  Documents are range-sorted by their place, their tok
 end to end in that order and cut every ``length`` tokens, so that a sequence holds
 neighbours of the curve and only the last one needs padding.
 
-Tokens are made once and stored, compressed, in the shared folder.  Only (row, place,
+Tokens are made once and stored in the shared folder.  Only (row, place,
 tokens) are sorted; running totals come from sums per range partition, so no task sees
 more than its range.  A group of copies has one place on the curve and is split by row.
 """
@@ -76,18 +76,19 @@ def places(ids: list[np.ndarray], toward: np.ndarray) -> np.ndarray:
 
 
 def tokens_with_place(docs: DataFrame, path: str) -> DataFrame:
-    """``row, doc_id, ids`` (deflated 32-bit), ``n`` and ``place`` of every row, stored."""
+    """``row, doc_id, ids`` (in the vocabulary's own width), ``n`` and ``place`` of every row, stored."""
     shared = shared_encoder(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, toward = shared(), directions(1024)
+        end = np.array([END], encoder.kind).tobytes()
         for batch in batches:
-            ids = [np.append(encoder.encode(t), np.array([END], "<u4")) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(i) for i in ids], "place": places(ids, toward),
-                                "ids": [zlib.compress(i.tobytes(), 1) for i in ids]})
+            ids = [encoder.packed(t) + end for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(i) // len(end) for i in ids], "ids": ids,
+                                "place": places([np.frombuffer(i, encoder.kind) for i in ids], toward)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, place long, ids binary")
+    made = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, ids binary, place long")
     return cut(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -119,7 +120,7 @@ def pack(docs: DataFrame, path: str, length: int = 4096) -> DataFrame:
         for batch in batches:
             out = []
             for doc, n, begin, packed in zip(batch["doc_id"], batch["n"], batch["begin"], batch["ids"], strict=True):
-                ids, start = zlib.decompress(packed), 0
+                ids, start = np.frombuffer(packed, f"<u{len(packed) // n}").astype("<u4").tobytes(), 0
                 while start < n:
                     offset = (begin + start) % length
                     size = min(length - offset, n - start)
