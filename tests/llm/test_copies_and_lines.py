@@ -59,9 +59,9 @@ def test_links_lose_nothing_in_dense_and_random_groups(spark):
     values = {center ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(500)}
     values |= {int(v) for v in rng.integers(0, 1 << 62, 100)}
     values = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
-    nodes = spark.createDataFrame([(i, [v]) for i, v in enumerate(values)], "node long, sig array<long>")
+    nodes = spark.createDataFrame(list(enumerate(values)), "node long, sig long")
     # Blocks far smaller than the groups, so that hot keys are cut and meet block by block.
-    links = simhash.links(nodes, 1, simhash.position_sets(), 4, 4, block=32)
+    links = simhash.links(nodes, 4, block=32)
     roots = {r.node: r.root for r in graph.components(links).collect()}
     want = plain_classes([(i, v & (2**64 - 1)) for i, v in enumerate(values)])
     assert [roots.get(i, i) for i in range(len(values))] == want
@@ -79,38 +79,22 @@ def test_components_of_chains_and_null_ends(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
 
 
-def test_one_of_each_group_of_near_copies_stays(spark):
-    originals = [prose(100 + i, 200) for i in range(12)]
+def test_one_of_each_class_stays(spark):
+    originals = [prose(100 + i, 700) for i in range(12)]
     copies = []
     for k, t in enumerate(originals):
-        words = t.split()
         for j in range(k % 3):
-            changed = list(words)
+            changed = t.split()
             changed[20 + 50 * j] = "changed"
             copies.append((1000 + 10 * k + j, " ".join(changed)))
-    rows = [(i, t, "en", "s", *EXTRA) for i, t in enumerate(originals)] + [(d, t, "en", "s", *EXTRA) for d, t in copies]
-    rows += [(None, originals[0], "en", "s", *EXTRA), (50, "", "en", "s", *EXTRA), (51, None, "en", "s", *EXTRA), rows[0]]
-    kept = simhash.one_per_class(frame(spark, rows))
+    texts = [*enumerate(originals), *copies, (50, ""), (51, None)]
+    prints = [(d, plain_fingerprint(t)) for d, t in texts]
+    want = {*plain_classes(prints)}
+    assert len(want) < len(texts) - 4, "some copies are within four bits"
+    rows = [(d, t, "en", "s", *EXTRA) for d, t in texts]
+    kept = simhash.one_per_class(frame(spark, [*rows, (None, originals[0], "en", "s", *EXTRA), rows[0]]))
     assert kept.columns == frame(spark, []).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*range(12), None, 50], key=str)
-
-
-def test_near_copies_are_those_of_exact_similarity(spark):
-    def jaccard(a, b):
-        x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
-        return len(x & y) / len(x | y)
-
-    rng, texts = random.Random(3), []
-    for k in range(40):
-        words = prose(500 + k, 160).lower().split()
-        texts.append(" ".join(words))
-        for at in rng.sample(range(5, 150, 6), 1 + k % 10):
-            words[at] = f"changed{k}"
-        texts.append(" ".join(words))
-    alike = {2 * k: jaccard(texts[2 * k], texts[2 * k + 1]) for k in range(40)}
-    assert sum(0.75 < j < 0.8 for j in alike.values()) > 3 and sum(0.8 <= j < 0.85 for j in alike.values()) > 3
-    kept = {r.doc_id for r in simhash.one_per_class(of_texts(spark, texts)).collect()}
-    assert kept == {*range(0, 80, 2), *(i + 1 for i, j in alike.items() if j < 0.8)}
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*want, None], key=str)
 
 
 BOILER = "Please read the terms of service at page {} before you go on reading"

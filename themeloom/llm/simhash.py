@@ -5,7 +5,8 @@ eight bytes at the same place.  The index holds, for each fingerprint, its bytes
 family of three-byte position sets such that every four positions contain one of them:
 a pair that shares four bytes meets under at least one key, and a key has 24 bits, so
 that unrelated fingerprints rarely meet.  For pairs that meet, shared positional bytes
-are tallied; pairs with four or more are verified by counting differing bits.
+are tallied over their whole fingerprints; pairs with four or more are verified by counting
+differing bits.
 
 Equal fingerprints are one row from the start.  A key with very many members is cut into
 blocks that meet two by two, each task holding two blocks.  A block returns a spanning
@@ -27,7 +28,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm import nearcopies
 from themeloom.llm.common import carried
 from themeloom.llm.graph import components
 from themeloom.session import cut
@@ -52,52 +52,41 @@ def position_sets() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(BYTES), 3) if chosen(t)]
 
 
-def pair_sets(places: int) -> list[tuple[int, int]]:
-    """Two-byte position sets: each position of a ring with the ones 1, 5 and 11 places on."""
-    return [(p, (p + step) % places) for step in (1, 5, 11) for p in range(places)]
+def signature(text: str | None, size: int, lower: bool) -> int:
+    """SimHash of a whole text as a signed 64-bit number; zero if it has no words.
 
-
-def signature(text: str | None, size: int, lower: bool, width: int) -> np.ndarray:
-    """SimHash of a whole text: ``width`` signed 64-bit numbers; all zero if it has no words.
-
-    The first one is made from the shingles' XXH64 with seed 42, the others from mixes of it.
+    It is made from the shingles' XXH64 with seed 42.
     """
     raw = (text or "").encode()
     if lower:
         raw = raw.lower()
     words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
     if not words:
-        return np.zeros(width, np.int64)
+        return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [b" ".join(words)]
-    ones, total = np.zeros(64 * width, np.int64), 0
+    ones, total = np.zeros(64, np.int64), 0
     digest, shingles = xxhash.xxh64_intdigest, iter(shingles)
     while hashes := [digest(s, 42) for s in islice(shingles, 65536)]:
-        h = np.array(hashes, "<u8")
-        mixed = [h]
-        for _ in range(1, width):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
-            mixed.append(h ^ (h >> np.uint64(32)))
-        bits = np.stack(mixed, axis=1).view(np.uint8)
+        bits = np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES)
         ones += np.unpackbits(bits, axis=1, bitorder="little").sum(0, np.int64)
         total += len(hashes)
-    return np.packbits(2 * ones > total, bitorder="little").view("<i8")
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def signatures(docs: DataFrame, size: int, lower: bool, width: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, lower: bool) -> DataFrame:
     """``doc_id, sig`` of every row: SimHash of word shingles of whole texts; null counts as empty."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "sig": [signature(t, size, lower, width) for t in batch["text"]]})
+                                "sig": np.array([signature(t, size, lower) for t in batch["text"]], np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, sig array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, sig long")
 
 
-def forest(members: np.ndarray, bits: int, least: int) -> list[tuple[int, int]]:
+def forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that connect what is linked among ``members``: rows of a node id and its signature."""
-    width = members.shape[1] - 1
-    node, left = members[:, 0], np.ascontiguousarray(members[:, 1:]).view(np.uint64)
+    node, left = members[:, 0], np.ascontiguousarray(members[:, 1]).view(np.uint64)
     links, waiting = [], []
     while len(node) or waiting:
         if not waiting:
@@ -106,32 +95,35 @@ def forest(members: np.ndarray, bits: int, least: int) -> list[tuple[int, int]]:
         name, here = waiting.pop()
         if not len(node):
             break
-        differ = left ^ here
-        near = np.flatnonzero((differ.view(np.uint8).reshape(-1, BYTES * width) == 0).sum(1) >= least)
-        near = near[np.bitwise_count(differ[near]).sum(1, np.int64) <= bits]
+        near = np.flatnonzero(linked(left ^ here, bits))
         if len(near):
             links += [(int(name), int(x)) for x in node[near]]
             waiting += list(zip(node[near], left[near], strict=True))
-            node, left = np.delete(node, near), np.delete(left, near, axis=0)
+            node, left = np.delete(node, near), np.delete(left, near)
     return links
 
 
-def links(nodes: DataFrame, width: int, sets: list[tuple[int, ...]], bits: int, least: int,
-          block: int = BLOCK) -> DataFrame:
-    """``a, b``: links that connect all nodes (``node, sig``) which differ in ``bits`` bits or fewer.
+def linked(differ: np.ndarray, bits: int) -> np.ndarray:
+    """Which differences of two signatures leave the guaranteed number of bytes equal, and pass the check of bits.
 
-    ``sets`` are the index's byte position sets, ``least`` the number of bytes two signatures must
-    share.  Found are the pairs that agree on all bytes of some set.
+    The tally of shared positional bytes is taken from the whole signatures of a pair that met in
+    the index, as they travel with its postings.
     """
-    byte = [F.shiftrightunsigned(F.get("sig", F.lit(p // BYTES)), 8 * (p % BYTES)).bitwiseAND(F.lit(255))
-            for p in range(BYTES * width)]
+    near = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(1) >= BYTES - bits
+    near[near] = np.bitwise_count(differ[near]) <= bits
+    return near
+
+
+def links(nodes: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links that connect all nodes (``node, sig``) which differ in ``bits`` bits or fewer."""
+    byte = [F.shiftrightunsigned("sig", 8 * p).bitwiseAND(F.lit(255)) for p in range(BYTES)]
     keys = []
-    for k, places in enumerate(sets):
+    for k, places in enumerate(position_sets()):
         key = F.lit(k).cast("long")
         for p in places:
             key = key * 256 + byte[p]
         keys.append(key)
-    postings = nodes.select(F.concat(F.array("node"), "sig").alias("member"), F.explode(F.array(*keys)).alias("key"))
+    postings = nodes.select(F.array("node", "sig").alias("member"), F.explode(F.array(*keys)).alias("key"))
     sizes = postings.groupBy("key").count()
     shared = sizes.where(F.col("count") > 1).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64(F.get("member", F.lit(0))), F.col("blocks")).cast("int")
@@ -144,61 +136,54 @@ def links(nodes: DataFrame, width: int, sets: list[tuple[int, ...]], bits: int,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple[int, int]] = []
-            twos = [m for m in batch["members"] if len(m) == 2 * (width + 1)]
+            twos = [m for m in batch["members"] if len(m) == 4]
             if twos:
-                pairs = np.stack(twos).reshape(-1, 2, width + 1)
-                differ = (pairs[:, 0, 1:] ^ pairs[:, 1, 1:]).copy().view(np.uint64)
-                tally = (differ.view(np.uint8).reshape(-1, BYTES * width) == 0).sum(1)
-                near = (tally >= least) & (np.bitwise_count(differ).sum(1, np.int64) <= bits)
+                pairs = np.stack(twos).reshape(-1, 2, 2)
+                near = linked((pairs[:, 0, 1] ^ pairs[:, 1, 1]).copy().view(np.uint64), bits)
                 out += map(tuple, pairs[near][:, :, 0].tolist())
             for m in batch["members"]:
-                if len(m) > 2 * (width + 1):
-                    out += forest(np.array(m, np.int64).reshape(-1, width + 1), bits, least)
+                if len(m) > 4:
+                    out += forest(np.array(m, np.int64).reshape(-1, 2), bits)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return met.mapInPandas(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, size: int = 4, bits: int = 4, lower: bool = True, width: int = 1,
-            block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, size: int = 4, bits: int = 4, lower: bool = True, block: int = BLOCK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` of all rows whose fingerprints are linked, over any
-    number of links; ``fingerprint`` is lowercase hex, 16 digits for each of ``width`` numbers.
-    With ``width`` 1 fingerprints link at ``bits`` <= 4 differing bits and no link is missed.  Wider
-    ones link at any ``bits`` if they agree on two bytes of the index's pairs.
+    number of links; ``fingerprint`` is 16 lowercase hex digits.  Fingerprints link at ``bits`` <= 4
+    differing bits, and no link is missed.
 
     Null and blank texts have fingerprint zero and are linked like any other; null ids are no
     smallest id (a class of none has a null one); repeated rows are returned as often; other
     columns are ignored; no rows give no rows.
     """
-    if width == 1 and not 0 <= bits <= 4:
-        raise ValueError("one number serves at most four differing bits")
-    sets = position_sets() if width == 1 else pair_sets(BYTES * width)
-    least = BYTES - bits if width == 1 else 2
-    prints = cut(signatures(docs, size, lower, width))
+    if not 0 <= bits <= 4:
+        raise ValueError("the index serves at most four differing bits")
+    prints = cut(signatures(docs, size, lower))
     nodes = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("first"))
                       .withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(nodes.select("node", "sig"), width, sets, bits, least, block))
+    roots = components(links(nodes.select("node", "sig"), bits, block))
     known = nodes.join(roots, "node", "left").select("sig", "first", F.coalesce("root", "node").alias("root"))
-    smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = known.join(smallest, "root").select("sig", "component_id")
-    digits = F.transform("sig", lambda x: F.lower(F.lpad(F.hex(x), 16, "0")))
-    return prints.join(label, "sig").select("doc_id", F.array_join(digits, "").alias("fingerprint"), "component_id")
-
+    # Stored, so that both sides of the join are dealt anew and a large class is split.
+    smallest = cut(known.groupBy("root").agg(F.min("first").alias("component_id")))
+    label = cut(known.join(smallest, "root").select("sig", "component_id"))
+    digits = F.lower(F.lpad(F.hex("sig"), 16, "0"))
+    return prints.join(label, "sig").select("doc_id", digits.alias("fingerprint"), "component_id")
 
-def one_per_class(docs: DataFrame, size: int = 5) -> DataFrame:
-    """Rows of ``docs`` without near copies: of each class the row with the smallest ``doc_id`` stays.
 
-    Near copies share at least 0.8 of their five-word shingles (Jaccard), over any number of links;
-    every pair is verified by its whole sets and none is missed, which fingerprints can't promise at 0.8.
+def one_per_class(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
+    """Rows of ``docs`` without near copies: of each class of :func:`classes` the row with the smallest ``doc_id`` stays.
 
-    Blank and null texts are one class, as in :func:`classes`.  Of rows with equal ids the one whose
-    text sorts first stays.  Rows without an id stay, as nothing names them.  Columns stay as they are.
+    Blank and null texts are one class.  Of rows with equal ids the one whose text sorts first
+    stays.  Rows without an id stay, as nothing names them.  No rows give no rows, long texts
+    count whole, and columns stay as they are.
     """
     held = carried(docs)
     able, text = F.col("doc_id").isNotNull(), F.coalesce("text", F.lit(""))
-    first = nearcopies.classes(held.where(able), size).where("doc_id = component_id").select("doc_id").distinct()
+    first = classes(held.where(able), size, bits).where("doc_id = component_id").select("doc_id").distinct()
     named = held.where(able).join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64(text))
     chosen = named.groupBy("doc_id").agg(F.min_by("_h", text).alias("_h"))
     kept = named.join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
