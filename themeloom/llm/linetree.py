@@ -7,7 +7,7 @@ most of the leaf's texts have in their places; other places are variable fields.
 template that stands in several texts recurs, as does a line that recurs as it is.  The
 text that has a template first keeps it; all other texts lose it.
 
-DataFrame functions only.  Lines are rows of hashes; token counts are made only for leaves
+DataFrame functions only.  Lines are masked once and stored; token counts are made only for leaves
 that recur with different lines, once for each different line.
 """
 
@@ -41,24 +41,13 @@ def lines(docs: DataFrame) -> DataFrame:
     h1, h2 = text_key(F.col("text"))
     each = docs.where("text is not null").select(h1.alias("h1"), h2.alias("h2"), "doc_id",
                                                  F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return hashed(each.withColumn("line", masked(F.col("raw"))))
-
-
-def lines_to_filter(docs: DataFrame) -> DataFrame:
-    """The same as :func:`lines`, masked inside the array, so that filters on top don't mask again."""
-    h1, h2 = text_key(F.col("text"))
-    return hashed(docs.where("text is not null").select(h1.alias("h1"), h2.alias("h2"), "doc_id", F.posexplode(
-        F.transform(F.split("text", "\n"), masked)).alias("pos", "line")))
-
-
-def hashed(each: DataFrame) -> DataFrame:
-    counted = each.withColumn("n", tokens(F.col("line")))
+    counted = each.withColumn("line", masked(F.col("raw"))).withColumn("n", tokens(F.col("line")))
     return counted.select("h1", "h2", "doc_id", "pos", "line", "n",
                           F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"),
                           F.xxhash64(F.lit("line"), "line").alias("id"))
 
 
-def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, like: float) -> DataFrame:
+def generalised(stored: DataFrame, seen: DataFrame, min_texts: int, like: float) -> DataFrame:
     """``id, template`` of lines in leaves with different lines, where the template may recur.
 
     A line's template is made of its own most widespread tokens: the share ``like`` of its places
@@ -71,7 +60,8 @@ def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, like: float) -
                      .where((F.col("kinds") > 1) & (F.col("leaf_texts") >= min_texts)).select("leaf"))
     asked = seen.join(leaves, "leaf").select("leaf", "id", "texts", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
     # Each different line is read from one text, though copies of that text give it again.
-    forms = lines_to_filter(docs).select("h1", "h2", "leaf", "id", "n", "line").join(asked, ["leaf", "id", "h1", "h2"])
+    forms = (stored.where(F.col("n") > DEPTH).select("h1", "h2", "leaf", "id", "n", "line")
+                   .join(asked, ["leaf", "id", "h1", "h2"]))
     # Leading tokens are equal in all of the leaf.
     placed = cut(forms.select("leaf", "id", "n", "texts", "line").distinct().select(
         "leaf", "id", "n", "texts", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= DEPTH)
@@ -85,7 +75,7 @@ def generalised(docs: DataFrame, seen: DataFrame, min_texts: int, like: float) -
                   .select("id", F.xxhash64("n", F.array_sort(F.slice("all.place", 1, enough))).alias("template")))
 
 
-def recurring(docs: DataFrame, stored: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS,
+def recurring(stored: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS,
               like: float = LIKE) -> DataFrame:
     """``id, f1, f2``: lines that follow a recurring template, and the text that keeps it.
 
@@ -95,7 +85,7 @@ def recurring(docs: DataFrame, stored: DataFrame, min_texts: int = MIN_TEXTS, mi
     per_text = (stored.where(F.col("n") >= min_tokens).groupBy("leaf", "id", "h1", "h2")
                       .agg(F.min("doc_id").alias("doc_id")))
     seen = cut(per_text.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("texts"), first))
-    alike = cut(generalised(docs, seen, min_texts, like))
+    alike = cut(generalised(stored, seen, min_texts, like))
     of_template = (per_text.join(alike, "id").groupBy("template", "h1", "h2").agg(
         F.min("doc_id").alias("doc_id")).groupBy("template").agg(F.count(F.lit(1)).alias("texts"), first)
         .where(F.col("texts") >= min_texts).drop("texts"))
@@ -114,8 +104,8 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_tokens: int = MI
     ones have one, kept; no documents give no rows.  All rows and columns stay.
     """
     held = carried(docs)
-    stored = cut(lines(held).drop("line"))
-    gone = (stored.join(recurring(held, stored, min_texts, min_tokens, like), "id")
+    stored = cut(lines(held))
+    gone = (stored.select("id", "h1", "h2", "pos").join(cut(recurring(stored, min_texts, min_tokens, like)), "id")
                   .where((F.col("h1") != F.col("f1")) | (F.col("h2") != F.col("f2")))
                   .groupBy("h1", "h2").agg(F.collect_set("pos").alias("gone")))
     h1, h2 = text_key(F.col("text"))
