@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, linetree, packing, quality, sanitise, secret_links, simhash, topk, toxicity, urlfilter
+from themeloom.llm import bpe, linetree, mixing, packing, quality, sanitise, secret_links, simhash, topk, toxicity, urlfilter
 from themeloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,8 +83,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {}
 
+# Times of the curves early, late and in the middle: roots of the integrals of straight lines.
+ORACLES["op13_mixing"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
+w AS (SELECT *, CASE nth % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM s),
+o AS (SELECT *, cap / weight AS ratio, sum(cap) OVER (ORDER BY cap / weight, nth) AS caps,
+             sum(weight) OVER (ORDER BY cap / weight, nth) AS weights FROM w),
+l AS (SELECT *, ((SELECT 1.5 * sum(source_size) FROM s)::DOUBLE - (caps - cap))
+             / ((SELECT sum(weight) FROM w) - (weights - weight)) AS level FROM o),
+f AS (SELECT min(ratio) AS ratio, arg_min(level, (ratio, nth)) AS level FROM l WHERE ratio > level),
+t AS (SELECT l.*, CASE WHEN f.level IS NOT NULL AND l.ratio >= f.ratio THEN f.level * weight ELSE CAST(cap AS DOUBLE) END AS target
+      FROM l, f),
+r AS (SELECT d.*, source_size, target, (nth - 1) % 3 AS curve,
+             sum(size) OVER (PARTITION BY nth ORDER BY place NULLS FIRST, doc_id NULLS FIRST, size, row) - size AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, e * source_size + before AS start, CAST(e * source_size + before AS DOUBLE) / target AS done,
+             greatest(least(CAST(floor(target + 0.5) AS BIGINT) - (e * source_size + before), size), 0) AS take
+      FROM r, (VALUES (0), (1)) AS v(e)),
+m AS (SELECT *, round(CASE curve
+        WHEN 0 THEN least(2 * done / (1.5 + sqrt(greatest(2.25 - 2.0 * done, 0))), 1)
+        WHEN 1 THEN least(2 * done / (0.5 + sqrt(greatest(0.25 + 2.0 * done, 0))), 1)
+        ELSE CASE WHEN done >= 0.5 THEN least(0.5 + 2 * (done - 0.5) / (1.5 + sqrt(greatest(2.25 - 4.0 * (done - 0.5), 0))), 1)
+             ELSE least(2 * done / (0.5 + sqrt(greatest(0.25 + 4.0 * done, 0))), 0.5) END END, 9) AS time
+      FROM c WHERE take > 0),
+b AS (SELECT *, sum(take) OVER (ORDER BY time, place NULLS FIRST, doc_id NULLS FIRST, size, e, row) - take AS begin FROM m),
+g AS (SELECT row, sum(take) AS taken, min(time) AS time, min(begin) AS begin FROM b GROUP BY row)
+SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, r.source_size, r.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken,
+       g.time, CAST(g.begin AS BIGINT) AS begin FROM r LEFT JOIN g USING (row)
+"""
+
 ORACLES["op8_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
