@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, linetree, mixing, packing, quality, sanitise, secret_links, simhash, topk, toxicity, urlfilter
+from themeloom.llm import bpe, linetree, mixing, packing, quality, sanitise, secret_links, simhash, topk, toxicity, urlfilter, variants
 from themeloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
