@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, linetree, mixing, packing, quality, sanitise, secret_links, simhash, topk, toxicity, urlfilter, variants
+from themeloom.llm import (align, bpe, linetree, mixing, packing, quality, sanitise, secret_links, simhash, topk, toxicity,
+                           urlfilter, variants)
 from themeloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block"))
 # Sites whose pages make up the list of URLs; a page with such a URL in any form is listed.
@@ -88,6 +90,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = map(public_tokenizers.path, ALIGNED)
+    return align.align(table(spark, sf_dir, "documents"), first, second, digest=True)
+
+
 @query
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
