@@ -114,6 +114,20 @@ def test_pieces_are_those_of_whole_texts(text):
         assert ALIGNER.links(found).tolist() == [a * n + b for a, b in want[3]]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abcdethrinos' .,1²éß日😀<|>\n\t　 \u0085\x1c\u180e\u0301_!"), max_size=80))
+def test_both_ways_to_the_first_ids_agree(text):
+    assert ALIGNER.encode_first(text) == A.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_use_their_own_library():
+    spec = json.loads(SOURCE)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    text = " the lengthening shadows"
+    other = Tokenizer.from_str(json.dumps(spec)).encode(text, add_special_tokens=False).ids
+    assert align.encoder_of(json.dumps(spec), spec)(text) == other != A.encode(text, add_special_tokens=False).ids
+
+
 def test_groups_are_given_as_text(spark):
     (row,) = align.align(of_texts(spark, ["Hello wonderful world"]), FIRST, SECOND).collect()
     assert row.groups == plain("Hello wonderful world")[2]

@@ -21,28 +21,58 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from themeloom.llm import perfecthash
-from themeloom.llm.bpe import Memo, byte_letters
+from themeloom.llm.bpe import LONG_CHUNK, byte_letters
 from themeloom.session import cut
 
 MARK = "▁"
+# Fixed value: pre-tokens of byte-level vocabularies.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000
-BATCH = 16 << 20
+BATCH = 4 << 20
 SHARD = 1 << 16
 GROUP = 500_000
 FAN = 32
 
 
+def byte_level(spec: dict) -> bool:
+    """True if the tokenizer file describes plain byte-level pairs over the usual pre-tokens."""
+    pre = spec["pre_tokenizer"] or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return plain and spec["normalizer"] is None
+
+
+def encoder_of(source: str, spec: dict) -> Callable[[str], list[int]]:
+    """The first tokenizer's ids of a text, special tokens read as plain text.
+
+    Where ids grow with the merges' ranks, a faster library gives the same ids.
+    """
+    model, value = spec["model"], {c: b for b, c in enumerate(byte_letters())}
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ranked = all(vocab[a + b] == 256 + n for n, (a, b) in enumerate(merges)) and len(vocab) >= 256 + len(merges)
+    single = {bytes([value[t]]): i for t, i in vocab.items() if len(t) == 1 and t in value}
+    if byte_level(spec) and ranked and len(single) == 256 and not model.get("ignore_merges"):
+        ranks = {**single, **{bytes(value[c] for c in a + b): vocab[a + b] for a, b in merges}}
+        return tiktoken.Encoding("first", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    held = Tokenizer.from_str(source)
+    held.encode_special_tokens = True
+    held.no_truncation()
+    held.no_padding()
+    return lambda text: held.encode(text, add_special_tokens=False).ids
+
+
 class Aligner:
     """Both tokenizers and their alignment of a text; made once per worker.
 
@@ -52,10 +82,7 @@ class Aligner:
 
     def __init__(self, first: str, second: bytes):
         spec = json.loads(first)
-        self.first = Tokenizer.from_str(first)
-        self.first.encode_special_tokens = True
-        self.first.no_truncation()
-        self.first.no_padding()
+        self.encode_first = encoder_of(first, spec)
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
         value = {c: b for b, c in enumerate(byte_letters())}
         names = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
@@ -65,54 +92,76 @@ class Aligner:
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.second.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
         self.n_second = len(pieces)
         self.kind = "I" if len(self.a_bytes) * self.n_second <= 1 << 32 else "Q"
         # Pieces of a text stand for themselves if no token of either goes across a space's beginning.
-        pre = spec["pre_tokenizer"] or {}
-        apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
-        apart &= spec["normalizer"] is None and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        apart = byte_level(spec) and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         self.parts = re.compile(r"(?<=\S)(?= )").split if apart else lambda text: [text]
-        self.known = Memo(self.aligned, CACHE)
+        self.known: dict[str, tuple] = {}
 
-    def aligned(self, text: str) -> tuple[bytes, bytes, int, int, int] | None:
-        """Groups, packed linked pairs, and numbers of tokens and groups; None if bytes are not kept.
+    def aligned(self, texts: list[str]) -> list[tuple[bytes, bytes, int, int, int]] | None:
+        """Per text its groups, packed linked pairs, and numbers of tokens and groups; None if bytes are not kept.
 
-        ``text`` starts with a space, which the second tokenizer puts there itself.
+        Every text starts with a space, and all but the last one end with another character, so they
+        are encoded together.
         """
-        a = self.first.encode(text, add_special_tokens=False).ids
-        # A last space is a piece of its own; for an empty text the second tokenizer puts none there.
-        b = self.second.encode(text[1:]) if len(text) > 1 else [self.second.piece_to_id(MARK)]
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = text.encode()
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
+        whole = "".join(texts)
+        data = whole.encode()
+        # The second tokenizer puts the first space there itself - but for an empty text.
+        a, b = self.encode_first(whole), self.second.encode(whole[1:]) if len(whole) > 1 else [self.second.piece_to_id(MARK)]
+        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
             return None
-        groups, pairs, i, j, from_a, from_b = [], array(self.kind), 0, 0, 0, 0
-        a_end, b_end = len(a_parts[0]), len(b_parts[0])
-        n = self.n_second
+        ends = accumulate(map(len, texts if whole.isascii() else [t.encode() for t in texts]))
+        a_size, b_size, n, kind = self.a_size, self.b_size, self.n_second, self.kind
+        out, groups, pairs = [], [], []
+        i = j = from_a = from_b = first_a = first_b = 0
+        x, y = a[0], b[0]
+        a_end, b_end, stop = a_size[x], b_size[y], next(ends)
         while True:
-            pairs.append(a[i] * n + b[j])
+            pairs.append(x * n + y)
             if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[from_a:i + 1]))}|{','.join(map(str, b[from_b:j + 1]))}")
+                if from_a == i and from_b == j:
+                    groups.append(f"{x}|{y}")
+                else:
+                    groups.append(f"{','.join(map(str, a[from_a:i + 1]))}|{','.join(map(str, b[from_b:j + 1]))}")
                 i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups).encode(), pairs.tobytes(), len(a), len(b), len(groups)
                 from_a, from_b = i, j
-                a_end += len(a_parts[i])
-                b_end += len(b_parts[j])
+                if a_end == stop:
+                    out.append((";".join(groups).encode(), array(kind, pairs).tobytes(), i - first_a, j - first_b, len(groups)))
+                    if len(out) == len(texts):
+                        return out
+                    groups, pairs, first_a, first_b, stop = [], [], i, j, next(ends)
+                x, y = a[i], b[j]
+                a_end += a_size[x]
+                b_end += b_size[y]
             elif a_end < b_end:
                 i += 1
-                a_end += len(a_parts[i])
+                x = a[i]
+                a_end += a_size[x]
             else:
                 j += 1
-                b_end += len(b_parts[j])
+                y = b[j]
+                b_end += b_size[y]
 
     def pieces(self, text: str | None) -> list[tuple]:
         """Alignments of a text's pieces in order; none for empty texts and those whose bytes are not kept."""
         if not text:
             return []
-        known = self.known
-        found = [known[p] for p in self.parts(f" {text}")]
-        return [] if None in found else found
+        known, parts = self.known, self.parts(f" {text}")
+        found = list(map(known.get, parts))
+        new = [i for i, f in enumerate(found) if f is None]
+        if new:
+            asked = [*dict.fromkeys([parts[i] for i in new])]
+            made = self.aligned(asked)
+            if made is None:
+                return []
+            fresh = dict(zip(asked, made, strict=True))
+            for i in new:
+                found[i] = fresh[parts[i]]
+            if len(known) < CACHE:
+                known.update((p, v) for p, v in fresh.items() if len(p) <= LONG_CHUNK)
+        return found
 
     def links(self, found: list[tuple]) -> np.ndarray:
         """Keys of all linked token occurrences: the first id times the second vocabulary, plus the second id."""
