@@ -94,3 +94,20 @@ def cluster_one_set(vid: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.nd
     own = np.where(home[:n] >= 0, label[home[:n]], -1) if len(label) else np.full(n, -1)
     top = np.array(peak + [0.0])[own]
     return pd.DataFrame({"point_id": vid, "cluster": own, "lam": left[:n], "death": top})
+
+
+def with_copies(vertices: pd.DataFrame, edges: pd.DataFrame, m: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """A point of at least ``m`` copies gets an empty partner at its core distance: below that its copies are apart."""
+    heavy = vertices[vertices.weight >= m]
+    partners = heavy.assign(point_id=-heavy.point_id - 1, weight=0)
+    links = pd.DataFrame({"a": -heavy.point_id - 1, "b": heavy.point_id, "w": heavy.core})
+    return pd.concat([vertices, partners], ignore_index=True), pd.concat([edges[["a", "b", "w"]], links], ignore_index=True)
+
+
+def numbered(want: pd.DataFrame) -> dict:
+    """Cluster, numbered by smallest point, and probability of every point."""
+    want = want[want.point_id >= 0]
+    first = want[want.cluster >= 0].groupby("cluster").point_id.min().sort_values()
+    name = {c: i for i, c in enumerate(first.index)}
+    return {r.point_id: ((name[r.cluster], round(min(r.lam, r.death) / r.death, 9)) if r.cluster >= 0 else (-1, 0.0))
+            for r in want.itertuples()}

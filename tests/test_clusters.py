@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from one_set import cluster_one_set
+from one_set import cluster_one_set, numbered, with_copies
 from themeloom.operators import skew
-from themeloom.operators.density import _with_copies, density_clusters
-from themeloom.operators.forest import components, merge_order, running_sums, spanning_forest
+from themeloom.operators.density import choose, density_clusters, forest_clusters, worths
+from themeloom.operators.exact import exact_forest
+from themeloom.operators.forest import components, lightest_forest, merge_order, reduced_forest, running_sums, spanning_forest
 from themeloom.operators.knn import document_neighbours, knn
 from themeloom.operators.points import distinct_points, to_documents
 from themeloom.operators.reach import core_distances, mutual_reachability
@@ -133,33 +134,144 @@ def test_running_sums_split_one_key(spark):
     assert [r["s"] for r in out] == [2 * (i + 1) for i in range(5000)]
 
 
-def test_joins_equal_a_one_by_one_merge(spark):
-    """Sets with copies, of two densities and of one point alone, all in one run."""
-    _, x = blobs(150, 5, 0.9, seed=11)
-    x = np.vstack([x, np.tile(x[3], (40, 1))])
-    _, y = blobs(100, 3, 1.5, seed=12)
-    v = frame(spark, x).unionByName(frame(spark, y, set_id=1)).unionByName(frame(spark, y[:1], set_id=2))
+def reach_of(spark, sets, m):
+    """Points, reachability edges, cores and sizes of several sets of vectors."""
+    v = None
+    for s, x in enumerate(sets):
+        one = frame(spark, x, set_id=s)
+        v = one if v is None else v.unionByName(one)
     p = cut(distinct_points(v))
-    m = k = 8
-    sizes = cut(p.select("set_id").distinct().select("set_id", F.lit(m).alias("min_size"), F.lit(k).alias("m")))
-    edges = cut(knn(p, k))
+    sizes = cut(p.select("set_id").distinct().select("set_id", F.lit(m).alias("min_size"), F.lit(m).alias("m")))
+    edges = cut(knn(p, m))
     cores = cut(core_distances(edges, p, sizes))
-    reach = cut(mutual_reachability(edges, cores))
+    return p, cut(mutual_reachability(edges, cores)), cores, sizes
+
+
+def found_clusters(df):
     got = {}
-    for r in density_clusters(reach, cores, sizes).collect():
+    for r in df.collect():
         got.setdefault(r["set_id"], {})[r["point_id"]] = (r["cluster_id"], round(r["probability"], 9))
+    return got
+
+
+@pytest.mark.parametrize("capacity,place", [(10_000, False), (40, True), (40, False), (1, False)])
+def test_blocks_and_rounds_equal_a_one_by_one_merge(spark, capacity, place):
+    """Sets with copies, of two densities and of one point alone, all in one run, in blocks of any size."""
+    _, x = blobs(150, 5, 0.9, seed=11)
+    x = np.vstack([x, np.tile(x[3], (40, 1))])
+    _, y = blobs(100, 3, 1.5, seed=12)
+    m = 8
+    p, reach, cores, sizes = reach_of(spark, [x, y, y[:1]], m)
+    at = cores.join(p.select("set_id", "point_id", F.get("vector", F.lit(0)).alias("place")), ["set_id", "point_id"])
+    got = found_clusters(forest_clusters(reduced_forest(reach), at if place else cores, sizes, capacity))
     assert got[2] == {r["point_id"]: (-1, 0.0) for r in p.where("set_id = 2").collect()}
-    vertices, links = (df.toPandas() for df in _with_copies(reach, cores, sizes))
+    vertices, links = cores.toPandas(), reach.toPandas()
     for s in (0, 1):
-        one, e = vertices[vertices.set_id == s].sort_values("point_id"), links[links.set_id == s]
-        want = cluster_one_set(one.point_id.to_numpy(), one.weight.to_numpy(), e.a.to_numpy(), e.b.to_numpy(),
-                               e.w.to_numpy(), m)
-        want = want[want.point_id >= 0]
-        first = want[want.cluster >= 0].groupby("cluster").point_id.min().sort_values()
-        name = {c: i for i, c in enumerate(first.index)}
-        assert len(name) > 1
-        assert got[s] == {r.point_id: ((name[r.cluster], round(min(r.lam, r.death) / r.death, 9))
-                                       if r.cluster >= 0 else (-1, 0.0)) for r in want.itertuples()}
+        one, e = with_copies(vertices[vertices.set_id == s], links[links.set_id == s], m)
+        one = one.sort_values("point_id")
+        want = numbered(cluster_one_set(one.point_id.to_numpy(), one.weight.to_numpy(), e.a.to_numpy(), e.b.to_numpy(),
+                                        e.w.to_numpy(), m))
+        assert len({c for c, _ in want.values() if c >= 0}) > 1
+        assert got[s] == want
+
+
+def test_graph_of_several_parts(spark):
+    """Parts that no edge joins hang under a virtual root; small ones are noise."""
+    rng = np.random.default_rng(4)
+    edges = [(0, i, i + 1, float(w)) for i, w in enumerate(rng.uniform(1, 2, 59)) if i not in (24, 49)]
+    points = [(0, i, 1, 0.5) for i in range(60)]
+    e = cut(spark.createDataFrame(edges, "set_id long, a long, b long, w double"))
+    cores = cut(spark.createDataFrame(points, "set_id long, point_id long, weight long, core double"))
+    sizes = spark.createDataFrame([(0, 12)], "set_id long, min_size int")
+    pd_e, pd_v = e.toPandas(), cores.toPandas()
+    pd_v = pd_v.sort_values("point_id")
+    want = numbered(cluster_one_set(*(c.to_numpy() for c in (pd_v.point_id, pd_v.weight, pd_e.a, pd_e.b, pd_e.w)), 12))
+    assert {c for c, _ in want.values()} == {-1, 0, 1}
+    assert found_clusters(density_clusters(e, cores, sizes))[0] == want
+    assert found_clusters(forest_clusters(e, cores, sizes, 7))[0] == want
+
+
+def brute_forest(x, core, ids=None):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    w = np.maximum(np.maximum(d, core[:, None]), core[None])
+    i, j = np.triu_indices(len(x), 1)
+    k = lightest_forest(i, j, w[i, j])
+    return sorted(zip(i[k].tolist(), j[k].tolist())), w[i, j][k].sum()
+
+
+@pytest.mark.parametrize("kw", [{}, {"block": 40}, {"block": 24, "pivots": 7}])
+def test_exact_forest_spans_far_groups(spark, kw):
+    """The tree is that of all pairs, with many ties, and joins two far groups at their true distance."""
+    rng = np.random.default_rng(6)
+    x = np.unique(np.round(np.vstack([rng.normal(size=(90, 3)), rng.normal(size=(60, 3)) + 40]), 1), axis=0)
+    core = np.round(rng.uniform(0.1, 0.5, len(x)), 1)
+    p = cut(frame(spark, x).withColumnRenamed("doc_id", "point_id"))
+    cores = cut(spark.createDataFrame([(0, i, float(c)) for i, c in enumerate(core)], "set_id long, point_id long, core double"))
+    near = cut(mutual_reachability(knn(p, 4), cores))
+    rows = exact_forest(p, cores, near, **kw).collect()
+    want, total = brute_forest(x, core)
+    assert sorted((r.a, r.b) for r in rows) == want
+    assert sum(r.w for r in rows) == pytest.approx(total, abs=1e-9)
+    far = x[:, 0] > 20
+    gap = np.sqrt(((x[far][:, None] - x[~far][None]) ** 2).sum(2)).min()
+    assert max(r.w for r in rows) == pytest.approx(gap, abs=1e-9)
+
+
+@pytest.mark.parametrize("capacity", [20, 60, 10_000])
+def test_forests_of_parts_merge(spark, capacity):
+    """Reduced part by part, whether parts shrink or not, the forest is that of all edges."""
+    edges, df = random_graph(spark, n=60, m=900, seed=2)
+    total, picked = kruskal(edges, 60)
+    got = reduced_forest(df, capacity).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == picked
+    assert sum(r["w"] for r in got) == total
+    assert reduced_forest(df.limit(0)).count() == 0
+
+
+def plain_worths(parent, stability):
+    best, below = {}, dict.fromkeys(parent, 0.0)
+    for c in sorted(parent, reverse=True):
+        best[c] = max(stability[c], below[c])
+        if parent[c] is not None:
+            below[parent[c]] += best[c]
+    return best, below
+
+
+def as_tree(spark, parent, stability):
+    rows = [(0, c, parent[c], float(stability[c]), None, 1.0, None) for c in parent]
+    return spark.createDataFrame(rows, "set_id long, cluster long, parent long, stability double, given double, peak double, best double")
+
+
+@pytest.mark.parametrize("shape", ["random", "deep"])
+def test_worths_and_choice_of_any_tree(spark, shape):
+    rng = np.random.default_rng(9)
+    n = 300
+    parent = {0: None, **{i: int(rng.integers(max(0, i - (3 if shape == "deep" else 300)), i)) for i in range(1, n)}}
+    stability = {i: float(rng.integers(0, 40)) for i in range(n)}
+    want, below = plain_worths(parent, stability)
+    tree = as_tree(spark, parent, stability)
+    assert {r.cluster: r.best for r in worths(tree).collect()} == want
+    kept = {c for c in parent if stability[c] >= below[c]}
+    top = {}
+    for c in range(n):
+        top[c] = (top[parent[c]] if parent[c] is not None else None) or (c + 1 if c in kept else None)
+    got = {r.cluster: r.label for r in choose(tree.drop("given")).collect()}
+    assert got == {c: t - 1 if t else None for c, t in top.items()}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A tree of 10,000 clusters in one chain with leaves: rounds grow with the logarithm."""
+    from themeloom.operators import density
+
+    n = 10_000
+    parent = {0: None, **{i: (i - 1 if i % 2 else i - 2) for i in range(1, n)}}
+    stability = {i: float(i * 7919 % 97) for i in range(n)}
+    calls = []
+    with monkeypatch.context() as mp:
+        mp.setattr(density, "cut", lambda df, keep=density.cut: calls.append(1) or keep(df))
+        got = {r.cluster: r.best for r in worths(as_tree(spark, parent, stability)).collect()}
+    assert got == plain_worths(parent, stability)[0]
+    assert (len(calls) - 1) / 2 <= 2 * np.log2(n)
 
 
 def test_no_edges_is_all_noise(spark):

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ from themeloom.operators.skew import attach
 from themeloom.session import cut
 
 
+# Edges a task reduces at once.
+CAPACITY = 300_000
+
+
 @dataclass
 class Forest:
     """``links``: set_id, level, comp, up, w, a, b - the edge each component took
@@ -108,6 +114,53 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return picked if picked is not None else edges.select("set_id", "a", "b", "w").limit(0)
 
 
+def lightest_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the minimum spanning forest, lightest first; ties go by the ends."""
+    ends, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    first, second = place[:len(a)].tolist(), place[len(a):].tolist()
+    up = list(range(len(ends)))
+    kept = []
+    for e in np.lexsort((b, a, w)).tolist():
+        p, q = first[e], second[e]
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        while up[q] != q:
+            up[q] = q = up[up[q]]
+        if p != q:
+            up[q] = p
+            kept.append(e)
+    return np.array(kept, np.int64)
+
+
+def reduced_forest(edges: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Edges ``set_id, a, b, w`` of the minimum spanning forest, stored.
+
+    An edge that is the heaviest of some cycle is in no minimum spanning forest.  So each part of a
+    set's edges is reduced to its own forest, parts of at most about ``capacity`` edges a task, and
+    what they leave is dealt to fewer parts, until a set is one part.  Where parts leave most of
+    their edges, rounds over all of them do the rest.
+    """
+    def reduce(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["set_id", "a", "b", "w"]].iloc[lightest_forest(*(pdf[c].to_numpy() for c in "abw"))]
+
+    rest, before = cut(edges.select("set_id", "a", "b", "w")), None
+    while True:
+        sizes = cut(rest.groupBy("set_id").agg(F.count("*").alias("n")))
+        most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+        if most is None:
+            return rest
+        if before is not None and total > 0.7 * before:
+            return cut(spanning_forest(rest))
+        parts = sizes.select("set_id", F.ceil(F.col("n") / capacity).cast("int").alias("parts"))
+        dealt = attach(rest, parts, ["set_id"], row_bytes=16, spread=F.struct("a", "b"))
+        part = F.pmod(F.xxhash64("a", "b"), F.col("parts")).alias("part")
+        rest = cut(dealt.select("set_id", part, "a", "b", "w").groupBy("set_id", "part").applyInPandas(
+            reduce, "set_id long, a long, b long, w double"))
+        if most <= capacity:
+            return rest
+        before = total
+
+
 def merge_order(edges: DataFrame, vertices: DataFrame) -> Forest:
     """Chains of the whole forest with the size of everything they hang.
 

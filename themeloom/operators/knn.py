@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -112,18 +113,18 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return top_per_group(found, ["set_id", "point_id"], order, k)
 
 
-def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | None = None,
-        pivots: int | None = None) -> DataFrame:
-    """``set_id, point_id, nbr_id, dist, rank``: the k nearest other points of a set.
+@dataclass
+class Blocks:
+    """``placed``: set_id, point_id, vec, n_cells, cell, to_pivot, subs, sub.  ``cells``: set_id, cell,
+    subs, radius.  ``centres``: the pivots; sets of fewer cells use the first of them."""
 
-    ``points`` has ``set_id, point_id, vector`` with distinct vectors and should
-    be a stored table; the pivots taken from it are at most ``MAX_PIVOTS`` rows.
-    Ties go to the smaller id.
-    """
-    if metric == "cosine":
-        # A zero vector has distance one to all others: it gets an axis of its own.
-        zero = F.when(F.exists("vector", lambda x: x != 0), F.lit(0.0)).otherwise(F.lit(1.0))
-        points = points.withColumn("vector", F.concat(unit(F.col("vector")), F.array(zero)))
+    placed: DataFrame
+    cells: DataFrame
+    centres: np.ndarray
+
+
+def into_blocks(points: DataFrame, block: int | None = None, pivots: int | None = None) -> Blocks:
+    """Deal ``set_id, point_id, vector`` to pivot cells and those to hashed blocks of about ``block`` rows."""
     counts = cut(points.groupBy("set_id").agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     block = block or min(2048, max(256, math.ceil(total / 32)))
@@ -136,7 +137,7 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
                   row_bytes=16, spread=F.col("point_id"))
     slim = slim.select("set_id", "point_id", "vec", "n_cells")
     if n_pivots == 1:
-        assigned = slim.withColumns({"cell": F.lit(0), "to_pivot": F.lit(0.0)})
+        assigned, centres = slim.withColumns({"cell": F.lit(0), "to_pivot": F.lit(0.0)}), np.zeros((1, 1))
     else:
         sample = (slim.where("n_cells > 1").orderBy(F.xxhash64("point_id", "set_id"))
                   .limit(n_pivots).select("vec").collect())
@@ -149,6 +150,23 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("point_id"), F.col("subs")).cast("int"))
     if n_pivots > 1:
         placed = cut(placed)
+    return Blocks(placed, cells, centres)
+
+
+def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | None = None,
+        pivots: int | None = None) -> DataFrame:
+    """``set_id, point_id, nbr_id, dist, rank``: the k nearest other points of a set.
+
+    ``points`` has ``set_id, point_id, vector`` with distinct vectors and should
+    be a stored table; the pivots taken from it are at most ``MAX_PIVOTS`` rows.
+    Ties go to the smaller id.
+    """
+    if metric == "cosine":
+        # A zero vector has distance one to all others: it gets an axis of its own.
+        zero = F.when(F.exists("vector", lambda x: x != 0), F.lit(0.0)).otherwise(F.lit(1.0))
+        points = points.withColumn("vector", F.concat(unit(F.col("vector")), F.array(zero)))
+    cells = into_blocks(points, block, pivots)
+    placed, n_pivots = cells.placed, len(cells.centres)
     own = placed.select("set_id", "point_id", "vec", "cell", F.col("cell").alias("home_cell"),
                         F.col("sub").alias("home_sub"),
                         F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
@@ -157,8 +175,8 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
         first = cut(first)
         limit = first.groupBy("set_id", "point_id").agg(
             F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
-        away = _other_cells(placed.where("n_cells > 1").join(limit, ["set_id", "point_id"], "left"), centres)
-        away = attach(away, cells, ["set_id", "cell"], row_bytes=32, spread=F.col("point_id"))
+        away = _other_cells(placed.where("n_cells > 1").join(limit, ["set_id", "point_id"], "left"), cells.centres)
+        away = attach(away, cells.cells, ["set_id", "cell"], row_bytes=32, spread=F.col("point_id"))
         away = (away.where(F.col("gap") - F.col("radius") <= F.col("bound") + SLACK)
                 .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
         first = _best(first.drop("rank").unionByName(_meet(away, placed, k)), k)

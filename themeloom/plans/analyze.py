@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from themeloom.functions.text import first_text
 from themeloom.operators import exemplars as X
 from themeloom.operators import report as R
-from themeloom.operators.density import density_clusters
+from themeloom.operators.density import forest_clusters
+from themeloom.operators.exact import exact_forest
 from themeloom.operators.keywords import keyword_labels
 from themeloom.operators.knn import knn
 from themeloom.operators.points import distinct_points, to_documents
@@ -78,7 +79,10 @@ def cluster_vectors(vectors: DataFrame, settings: Settings = Settings()) -> Data
     k = settings.min_samples or max(5, settings.min_cluster_size)
     edges = cut(knn(plane, k))
     cores = cut(core_distances(edges, points, sizes))
-    labels = density_clusters(mutual_reachability(edges, cores), cores, sizes)
+    forest = exact_forest(plane, cores, mutual_reachability(edges, cores))
+    # The first coordinate is the one along which points differ most.
+    first = z.select("set_id", "point_id", F.get("z", F.lit(0)).alias("place"))
+    labels = forest_clusters(forest, cores.join(first, ["set_id", "point_id"]), sizes)
     per_point = points.select("set_id", "key", "point_id").join(labels, ["set_id", "point_id"])
     per_point = per_point.join(z, ["set_id", "point_id"])
     return to_documents(vectors, cut(per_point), ["cluster_id", "probability", "z"])
