@@ -323,6 +323,34 @@ def test_copies_get_their_cluster(spark):
     assert sorted(r["weight"] for r in docs.collect()) == [1, 1, 1] + [10] * 10
 
 
+def test_components_of_every_set_by_itself(spark, monkeypatch):
+    """Axes are those of the set's own weighted covariance; another set changes nothing."""
+    from themeloom.operators import reduce
+
+    monkeypatch.setattr(reduce, "BLOCK", 16)
+    _, x = blobs(60, 3, 0.6, seed=21, dim=6)
+    _, y = blobs(3, 1, 2.0, seed=22, dim=6)
+    x = np.vstack([x, np.tile(x[4], (30, 1))])
+    both = cut(distinct_points(frame(spark, x).unionByName(frame(spark, y, set_id=5))))
+    alone = {r.point_id: r.z for r in reduce.pca(both.where("set_id = 0"), 4).collect()}
+    rows = reduce.pca(both, 4).collect()
+    assert all(np.allclose(alone[r.point_id], r.z, atol=1e-12) for r in rows if r.set_id == 0)
+    # Projections and variances of the unit vectors, copies counted.
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    value, axis = np.linalg.eigh(np.cov(u.T, bias=True))
+    want = u[:60] @ axis[:, ::-1][:, :4]
+    got = np.array([alone[i] for i in range(60)])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-9)
+    weight = F.col("weight").cast("double").alias("weight")
+    from themeloom.functions.vectors import unit
+    held = both.select("set_id", unit(F.col("vector")).alias("v"), weight)
+    spread = {r.set_id: r.variance for r in reduce.principal_axes(held, 4).collect()}
+    assert np.allclose(spread[0], value[::-1][:4], atol=1e-9)
+    # Three documents have at most three axes.
+    small = np.array([r.z for r in rows if r.set_id == 5])
+    assert small.shape == (3, 4) and not small[:, 3].any() and small[:, :2].any()
+
+
 @pytest.mark.parametrize("method", ["pca", "spectral", "layout"])
 def test_reductions_keep_groups_apart(spark, method):
     """Nearest neighbours after reduction stay in the group they came from."""

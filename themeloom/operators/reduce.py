@@ -7,26 +7,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import unit
-from themeloom.operators.skew import attach, top_per_group
+from themeloom.operators.skew import SALTS, attach, top_per_group
 from themeloom.session import cut
 
+# Sets whose sums a partition holds at once, and rows projected together.
+HELD_SETS = 64
+BLOCK = 8192
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """``set_id, part, n, points, sums``: weighted sums of vectors and of their products, of parts of every set.
+
+    A partition sums its own rows; a set's parts are as many as ``SALTS`` at most when they meet.
+    """
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame([(s, n, c, t.tobytes()) for s, (n, c, t) in held.items()], columns=["set_id", "n", "points", "sums"])
+            held.clear()
+            return made
+
+        for pdf in batches:
+            for set_id, one in pdf.groupby("set_id"):
+                x, w = np.stack(one["v"].to_numpy()), one["weight"].to_numpy(np.float64)
+                # A last coordinate of one: products then hold the sums of vectors and of weights too.
+                x = np.hstack([x, np.ones((len(x), 1))])
+                n, c, t = held.get(set_id, (0.0, 0, 0.0))
+                held[set_id] = (n + w.sum(), c + len(x), t + (x * w[:, None]).T @ x)
+            if len(held) > HELD_SETS:
+                yield out()
+        yield out()
+
+    return rows.select("set_id", "v", "weight").mapInPandas(add, "set_id long, n double, points long, sums binary").withColumn(
+        "part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+
+
+def principal_axes(rows: DataFrame, n_components: int) -> DataFrame:
+    """``set_id, points, axes, variance``: leading axes of every set, one after the other, with their variances.
+
+    ``rows`` has ``set_id, v, weight``.  A set of n documents has at most max(2, n) axes, the
+    others are zero.  An axis points to where its largest value is positive.
+    """
+    def merge(pdf: pd.DataFrame) -> tuple[float, int, np.ndarray]:
+        return pdf["n"].sum(), int(pdf["points"].sum()), sum(np.frombuffer(bytes(t)) for t in pdf["sums"])
+
+    def some(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, c, t = merge(pdf)
+        return pd.DataFrame({"set_id": [key[0]], "n": [n], "points": [c], "sums": [t.tobytes()]})
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, c, t = merge(pdf)
+        d = math.isqrt(len(t)) - 1
+        t = t.reshape(d + 1, d + 1) / n
+        value, axis = np.linalg.eigh(t[:d, :d] - np.outer(t[d, :d], t[d, :d]))
+        k = min(n_components, d, max(2, int(n)))
+        axes, variance = np.zeros((min(n_components, d), d)), np.zeros(min(n_components, d))
+        axes[:k], variance[:k] = axis[:, ::-1][:, :k].T, value[::-1][:k]
+        turn = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])
+        axes *= np.where(turn == 0, 1, turn)[:, None]
+        return pd.DataFrame({"set_id": [key[0]], "points": [c], "axes": [axes.ravel().tolist()], "variance": [variance.tolist()]})
+
+    parts = _moments(rows).groupBy("set_id", "part").applyInPandas(some, "set_id long, n double, points long, sums binary")
+    return cut(parts.groupBy("set_id").applyInPandas(
+        solve, "set_id long, points long, axes array<double>, variance array<double>"))
+
 
 def pca(points: DataFrame, n_components: int = 20) -> DataFrame:
-    """``set_id, point_id, z``: leading components of the unit vectors, over all rows.
+    """``set_id, point_id, z``: leading components of the unit vectors of every set by itself.
 
-    The covariance is summed in partitions; only a d by d matrix is central.
+    Copies count: ``points`` has their number as ``weight`` (one, if it has not).  The covariance is
+    summed in partitions; only one d by d matrix a set is in one place.
     """
-    rows = points.select("set_id", "point_id", array_to_vector(unit(F.col("vector"))).alias("v"))
-    width = rows.select(F.size(vector_to_array("v")).alias("d")).limit(1).collect()
-    k = min(n_components, width[0]["d"]) if width else n_components
-    model = PCA(inputCol="v", outputCol="p", k=k).fit(rows)
-    return model.transform(rows).select("set_id", "point_id", vector_to_array("p").alias("z"))
+    weight = F.col("weight").cast("double") if "weight" in points.columns else F.lit(1.0)
+    rows = points.select("set_id", "point_id", unit(F.col("vector")).alias("v"), weight.alias("weight"))
+    axes = principal_axes(rows, n_components)
+    blocks = axes.select("set_id", F.ceil(F.col("points") / BLOCK).cast("int").alias("blocks"))
+    dealt = attach(rows.select("set_id", "point_id", "v"), blocks, ["set_id"], row_bytes=16, spread=F.col("point_id"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("point_id"), F.col("blocks")).cast("int"))
+    copies = axes.select("set_id", "axes", F.explode(F.sequence(F.lit(0), F.ceil(F.col("points") / BLOCK).cast("int") - 1)).alias("block"))
+
+    def project(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one):
+            return pd.DataFrame({"set_id": [], "point_id": [], "z": []})
+        x = np.stack(one["v"].to_numpy())
+        z = x @ np.asarray(two["axes"].iloc[0]).reshape(-1, x.shape[1]).T
+        return pd.DataFrame({"set_id": key[0], "point_id": one["point_id"].to_numpy(), "z": list(z)})
+
+    return dealt.groupBy("set_id", "block").cogroup(copies.groupBy("set_id", "block")).applyInPandas(
+        project, "set_id long, point_id long, z array<double>")
 
 
 def fuzzy_weights(edges: DataFrame) -> DataFrame:

@@ -116,9 +116,11 @@ def analyze(questions: DataFrame, docs: DataFrame, profile: Profile,
     clusters of every distinct filter set; and the totals of every set.
     Questions with equal filters share one set and are clustered once.
     """
-    asked = parse_questions(questions, rating_mode=settings.rating_mode)
+    # A text that many ask is read once.
+    texts = parse_questions(questions.select("query").distinct(), rating_mode=settings.rating_mode)
     terms = topic_terms(F.col("query"), profile) if settings.with_topic else F.array().cast("array<string>")
-    asked = cut(filter_sets(asked.withColumn("terms", terms)))
+    texts = cut(filter_sets(texts.withColumn("terms", terms)))
+    asked = cut(attach(questions, texts, ["query"], row_bytes=400, spread=F.col("query_id")))
     table = logical(docs, profile)
     on_topic = asked.where(F.col("intent") == "trend_analysis")
     found = candidates(on_topic, table, profile, with_topic=settings.with_topic).where("vector IS NOT NULL")
@@ -154,6 +156,8 @@ def reports(questions: DataFrame, clusters: DataFrame, totals: DataFrame,
 
 
 def report_rows(questions: DataFrame, clusters: DataFrame, totals: DataFrame) -> DataFrame:
-    """The same report in long form: one row per question and cluster."""
-    sets = clusters.join(totals, "set_id")
-    return questions.where("status = 'ok'").join(sets, "set_id")
+    """The same report in long form: one row per question and cluster, one for a question without clusters."""
+    # The side of the sets is stored, so a set that many questions share is split.
+    sets = cut(totals.join(clusters, "set_id", "left"))
+    reported = questions.withColumn("_set", F.when(F.col("status") == "ok", F.col("set_id")))
+    return reported.join(sets.withColumnRenamed("set_id", "_set"), "_set", "left").drop("_set")

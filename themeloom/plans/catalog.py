@@ -12,6 +12,7 @@ from themeloom.functions import text as T
 from themeloom.operators import exemplars as X
 from themeloom.operators import report as R
 from themeloom.operators import training as L
+from themeloom.operators.exact import exact_forest
 from themeloom.operators.forest import components, spanning_forest
 from themeloom.operators.keywords import keyword_labels
 from themeloom.operators.knn import adapted_components, adapted_neighbours, document_neighbours, knn
@@ -25,7 +26,7 @@ from themeloom.operators.retrieve import (candidate_gates, candidates, filter_se
 from themeloom.operators.skew import attach, top_per_group
 from themeloom.plans import questions as Q
 from themeloom.plans.analyze import Settings, analyze, cluster_vectors, report_rows
-from themeloom.plans.views import (TOPICS, given_clusters, planted, questions, reviews, table, tagged_words)
+from themeloom.plans.views import (TOPICS, all_questions, given_clusters, planted, questions, reviews, table, tagged_words)
 from themeloom.profile import Profile, ScoreField, logical
 from themeloom.session import cut
 from themeloom.sources.documents import fit_text_vectors, read_documents, text_vectors
@@ -377,6 +378,14 @@ def spanning_forest_edges(spark, sf):
     return spanning_forest(cut(_reach(spark, sf)[2])).select("a", "b", r6("w").alias("w"))
 
 
+@register
+def exact_forest_weights(spark, sf):
+    """The tree of all pairs, not only of neighbours."""
+    p, cores, near = _reach(spark, sf)
+    rows = exact_forest(p, cores, near)
+    return rows.agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 4).alias("total"), r6(F.max("w")).alias("heaviest"))
+
+
 @register
 def adaptive_params(spark, sf):
     n = F.col("n").cast("int")
@@ -611,21 +620,23 @@ def trained_tagger(spark, sf):
 
 # -- end to end ----------------------------------------------------------------------------------------
 
-def year_questions(spark, sf):
-    """One question per year of the orders, plus the greeting and search questions."""
-    rows = questions(spark, sf)
-    years = rows.groupBy(F.year("as_of").alias("y")).agg(F.min("query_id").alias("query_id")).select(
-        "query_id", F.concat(F.lit("top trends for jan to dec "), "y").alias("query"),
-        F.lit("trend_analysis").alias("intent"))
-    other = rows.where("intent <> 'trend_analysis'").groupBy("intent", "query").agg(
-        F.min("query_id").alias("query_id"))
-    return years.unionByName(other.select("query_id", "query", "intent"))
-
-
 @register
 def analyze_report(spark, sf):
-    asked, clusters, totals = analyze(year_questions(spark, sf), reviews(spark, sf), Profile(vector="vector"))
+    """Reports of all questions: a row for each cluster, one row for a question without any."""
+    asked, clusters, totals = analyze(all_questions(spark, sf), reviews(spark, sf), TOPICS)
     return report_rows(asked, clusters, totals).select(
-        "query_id", "query", "status", "cluster_id", "size", "label",
+        "query_id", "query", "status", "n_candidates", "cluster_id", "size", "label",
         F.array_join(F.transform("exemplar_ids", lambda i: i.cast("string")), ",").alias("exemplars"),
         "total_vectors", "noise_points")
+
+
+@register
+def analyze_totals(spark, sf):
+    """Of every question: the gate it stops at, its candidates, and how many of them its clusters and noise hold."""
+    asked, clusters, totals = analyze(all_questions(spark, sf), reviews(spark, sf), TOPICS)
+    sizes = clusters.groupBy("set_id").agg(F.sum("size").alias("in_clusters"))
+    held = totals.join(sizes, "set_id", "left").select(
+        "set_id", (F.coalesce("in_clusters", F.lit(0)) + F.col("noise_points")).alias("held"))
+    gate = F.when(F.col("status") == "no_clusters", "ok").otherwise(F.col("status"))
+    held = attach(asked, held, ["set_id"], how="left", row_bytes=24, spread=F.col("query_id"))
+    return held.select("query_id", gate.alias("gate"), "n_candidates", F.when(gate == "ok", F.col("held")).alias("held"))

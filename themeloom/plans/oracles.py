@@ -85,6 +85,11 @@ asked AS (SELECT *, {TERMS.format('query')} AS terms FROM merged),
 sets AS (SELECT DISTINCT start_date, end_date, rating_gte, rating_lte, terms FROM asked),
 docwords AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS ws FROM reviews)"""
 
+# The same over all questions and a broad one for every year.
+ALL_SETS = SETS.replace("questions AS (SELECT query_id,", "questions AS (SELECT CAST(-y AS BIGINT) AS query_id, "
+                        "'subjects of the whole of jan to dec ' || CAST(y AS VARCHAR) AS query, as_of, 'trend_analysis' AS intent "
+                        "FROM (SELECT year(as_of) AS y, max(as_of) AS as_of FROM raw GROUP BY 1) UNION ALL SELECT query_id,", 1)
+
 MATCH = """r.ts BETWEEN s.start_date AND s.end_date AND (len(s.terms) = 0 OR list_has_any(r.ws, s.terms))"""
 RATED = """(s.rating_gte IS NULL AND s.rating_lte IS NULL OR r.score BETWEEN
     least(coalesce(s.rating_gte, 0), coalesce(s.rating_lte, 5)) AND greatest(coalesce(s.rating_gte, 0), coalesce(s.rating_lte, 5)))"""
@@ -248,6 +253,13 @@ ORACLES: dict[str, str] = {
         SELECT *, CASE status WHEN 'not_trend' THEN 'I can only analyze trends right now. Please ask about ''top trends''.'
             WHEN 'no_date_range' THEN 'Could not determine a date range from your query.'
             WHEN 'too_few' THEN 'Not enough reviews (' || n_candidates || ') with the specified filters.' END AS message FROM g""",
+    "analyze_totals": f"""WITH {ALL_SETS}, found AS (SELECT s.start_date, s.end_date, s.rating_gte, s.rating_lte, s.terms, count(*) AS n
+        FROM (SELECT DISTINCT start_date, end_date, rating_gte, rating_lte, terms FROM asked WHERE intent = 'trend_analysis') s
+        JOIN docwords r ON {MATCH} AND {RATED} AND r.vector IS NOT NULL GROUP BY ALL),
+        st AS (SELECT a.query_id, a.intent, a.start_date, coalesce(n, 0) AS n FROM asked a LEFT JOIN found s ON {SAME}),
+        g AS (SELECT query_id, CAST(n AS BIGINT) AS n_candidates, CASE WHEN intent <> 'trend_analysis' THEN 'not_trend' WHEN start_date IS NULL THEN 'no_date_range'
+            WHEN n < 20 THEN 'too_few' ELSE 'ok' END AS gate FROM st)
+        SELECT query_id, gate, n_candidates, CASE WHEN gate = 'ok' THEN n_candidates END AS held FROM g""",
     "score_violation_probe": f"""WITH {SETS}, found AS (SELECT s.start_date, s.end_date, s.rating_gte, s.rating_lte, s.terms, count(*) AS n_candidates,
         count(*) FILTER (WHERE NOT {RATED}) AS n_violations FROM sets s JOIN docwords r ON {MATCH} GROUP BY ALL)
         SELECT a.query_id, n_candidates, n_violations FROM asked a JOIN found s ON {SAME}""",
@@ -262,6 +274,14 @@ ORACLES: dict[str, str] = {
     "components_at_level": f"""WITH RECURSIVE {REACH}, links AS MATERIALIZED (SELECT a AS x, b AS y FROM reach WHERE w <= 1.5 UNION SELECT b, a FROM reach WHERE w <= 1.5),
         walk(x, c) AS (SELECT doc_id, doc_id FROM planted UNION SELECT l.y, walk.c FROM walk JOIN links l ON l.x = walk.x WHERE walk.c < l.y)
         SELECT x AS point_id, min(c) AS comp FROM walk GROUP BY x""",
+    # Grown point by point: ``best`` holds the lightest edge from every point to the tree, infinite for points in it.
+    "exact_forest_weights": f"""WITH RECURSIVE {REACH}, dense AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p.doc_id) AS i, list(coalesce(w, 'inf') ORDER BY q.doc_id) AS row
+            FROM planted p CROSS JOIN planted q LEFT JOIN (SELECT d.doc_id, d.nbr_doc, greatest(d.d, x.core, y.core) AS w FROM pairs d JOIN core x USING (doc_id)
+                JOIN core y ON y.doc_id = d.nbr_doc) e ON e.doc_id = p.doc_id AND e.nbr_doc = q.doc_id GROUP BY p.doc_id),
+        grown(step, last, best, w) AS (SELECT 0, CAST(1 AS BIGINT), row, CAST(0 AS DOUBLE) FROM dense WHERE i = 1
+            UNION ALL SELECT step + 1, n.i, list_transform(list_zip(best, n.row), lambda p, k: CASE WHEN p[1] = 'inf' OR k = n.i THEN CAST('inf' AS DOUBLE) ELSE least(p[1], p[2]) END), list_min(best)
+            FROM grown g JOIN dense n ON n.i = list_position(g.best, list_min(g.best)) WHERE list_min(best) < 'inf')
+        SELECT CAST(count(*) - 1 AS BIGINT) AS n_edges, round(sum(w), 4) AS total, round(max(w), 6) AS heaviest FROM grown""",
     "adaptive_params": f"""WITH {REVIEWS}, c AS (SELECT year(ts) AS y, score, count(*) AS n FROM reviews GROUP BY ALL)
         SELECT CAST(y AS INT) AS y, score, n, CAST(greatest(2, least(30, greatest(2, n - 1))) AS INT) AS neighbours, CAST(least(20, greatest(2, n)) AS INT) AS components,
         CAST(greatest(5, least(25, greatest(5, n // 10))) AS INT) AS min_size FROM c""",

@@ -108,6 +108,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.expr(text).alias("query"), "as_of", F.expr(intent).alias("intent"))
 
 
+def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of :func:`questions`, and a broad one for every year, whose id is the negative year."""
+    rows = questions(spark, sf_dir)
+    years = rows.groupBy(F.year("as_of").alias("y")).agg(F.max("as_of").alias("as_of")).select(
+        (-F.col("y")).cast("long").alias("query_id"), F.concat(F.lit("subjects of the whole of jan to dec "), "y").alias("query"),
+        "as_of", F.lit("trend_analysis").alias("intent"))
+    return rows.unionByName(years)
+
+
 def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, pos, word, tag``: question words with B-/I-/O tags.
 
