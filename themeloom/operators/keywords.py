@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import usable_text, words
+from themeloom.session import cut
 
 NO_TEXT = "(no text)"
 NO_VOCABULARY = "(no vocabulary)"
@@ -53,7 +54,8 @@ def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, *, max
     used = used.withColumn("text", usable_text(F.col("text"))).where("text IS NOT NULL")
     used = used.withColumn("_kept", telling_words(F.col("text"), stop_words))
     rows = used.select("set_id", "cluster_id", "doc_id", F.explode(words_and_pairs(F.col("_kept"))).alias("term"))
-    tf = rows.groupBy("set_id", "cluster_id", "doc_id", "term").agg(F.count("*").alias("tf"))
+    # Counts and gains are each read twice: stored, texts are taken apart once.
+    tf = cut(rows.groupBy("set_id", "cluster_id", "doc_id", "term").agg(F.count("*").alias("tf")))
     cluster = ["set_id", "cluster_id"]
     terms = tf.groupBy(*cluster, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if max_terms is not None:
@@ -63,7 +65,7 @@ def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, *, max
     n = used.groupBy(*cluster).agg(F.count("*").alias("n"))
     tf = tf.join(n, cluster)
     gain = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    tf = tf.withColumn("gain", gain)
+    tf = cut(tf.select(*cluster, "doc_id", "term", gain.alias("gain")))
     length = tf.groupBy(*cluster, "doc_id").agg(F.sqrt(F.sum(F.col("gain") * F.col("gain"))).alias("length"))
     tf = tf.join(length, [*cluster, "doc_id"])
     return tf.groupBy(*cluster, "term").agg(F.sum(F.col("gain") / F.col("length")).alias("weight"))
