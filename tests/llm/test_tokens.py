@@ -54,6 +54,13 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert encoder.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_white_space_is_that_of_the_tokenizer():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    ours = {c for c in every if ENCODER.split(f"a{c}b") == ["a", "b"]}
+    assert {c for c in every if f"a{c}b".split() == ["a", "b"]} == ours | set(bpe.NOT_SPACE)
+    same("one\x1ctwo\x1d three\x85four")
+
+
 def test_digests(spark):
     rows = documents()
     got = sorted(map(tuple, bpe.encode_digests(frame(spark), PATH).collect()), key=str)

@@ -28,6 +28,8 @@ from unicodedata import normalize
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
+# White space for Python, but not for the tokenizer.
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 CACHE = 700_000
 LONG_CHUNK = 200
@@ -177,7 +179,10 @@ class Encoder:
 
     def packed(self, text: str | None) -> bytes:
         """Token ids of a whole text in the vocabulary's own width."""
-        return b"".join(map(self.chunks.__getitem__, self.split(text or "")))
+        text = text or ""
+        # Python's own split parts texts at the same characters, and at four more.
+        parts = self.split(text) if any(c in text for c in NOT_SPACE) else text.split()
+        return b"".join(map(self.chunks.__getitem__, parts))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit numbers."""
