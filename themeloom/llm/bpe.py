@@ -31,7 +31,7 @@ WORD_END = "</w>"
 # White space for Python, but not for the tokenizer.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
-CACHE = 700_000
+CACHE = 900_000
 LONG_CHUNK = 200
 FINAL = 0x400
 
@@ -97,8 +97,8 @@ class Encoder:
         self.sizes = {i: len(s) for s, i in known.items()}
         self.shorter = {i: next(known[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in known)
                         for s, i in known.items() if len(s) > 1}
-        self.pairs = Memo(self.fits, CACHE // 2)
-        self.words = Memo(self.word, CACHE // 2)
+        self.pairs = Memo(self.fits, CACHE // 3)
+        self.words = Memo(self.word, CACHE // 4)
         self.chunks = Memo(self.chunk, CACHE)
         self.split = regex.compile(f"[{SPACE}]+").split
         self.pretokens = regex.compile(PRETOKEN).findall
@@ -163,11 +163,19 @@ class Encoder:
     def chunk(self, text: str) -> bytes:
         """Tokens of a text without white space, packed."""
         words = self.words
-        plain = (text if text.isascii() else normalize("NFC", text).replace("Σ", "σ")).lower()
-        if plain.isalpha():
-            return words[plain]
-        if plain[:-1].isalpha() and plain[-1] in ".,;:!?":
-            return words[plain[:-1]] + words[plain[-1]]
+        if text.isascii():
+            # A plain word in lower case is remembered here only, for itself and for other forms of it.
+            plain = text.lower()
+            if plain.isalpha():
+                return self.word(plain) if plain == text else self.chunks[plain]
+            if plain[:-1].isalpha() and plain[-1] in ".,;:!?":
+                return self.chunks[plain[:-1]] + words[plain[-1]]
+        else:
+            plain = normalize("NFC", text).replace("Σ", "σ").lower()
+            if plain.isalpha():
+                return words[plain]
+            if plain[:-1].isalpha() and plain[-1] in ".,;:!?":
+                return words[plain[:-1]] + words[plain[-1]]
         out = []
         for part in self.specials.split(text) if any(m in text for m in self.marks) else (text,):
             if part in self.special:
