@@ -31,8 +31,7 @@ def token_examples(rows: DataFrame, id_column: str, *, strict: bool = False) ->
     if strict:
         first = bad.select(id_column, F.size("tokens").alias("t"), F.size("label_list").alias("l")).head()
         if first is not None:
-            raise ValueError(f"tokens/labels length mismatch at row {first[0]}: "
-                             f"{first['t']} tokens vs {first['l']} labels")
+            raise ValueError(f"example {first[0]} has {first['t']} tokens, but {first['l']} labels")
     good = both.where("aligned").select(id_column, "tokens", F.col("label_list").alias("labels"))
     return good, bad.select(id_column, "text", "labels")
 
