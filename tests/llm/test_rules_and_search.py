@@ -211,3 +211,68 @@ def test_no_labels_no_scores(spark):
 def test_runs_of_signs_and_compatibility_letters_are_folded():
     assert toxicity.fold("b@$tard tr@$h disgu57ing m00n v3rm1n") == ["bastard", "trash", "disgusting", "moon", "vermin"]
     assert toxicity.fold("ｆｏｏｌ 𝐟𝐨𝐨𝐥 moro0 cash$$$ wow!!! 2024") == ["fool", "fool", "moroo", "cash", "wow"]
+
+
+def test_only_words_that_mix_scripts_are_folded():
+    assert toxicity.fold("vеrmin ѕcum клоун και νερό") == ["vermin", "scum", "клоун", "και", "νερό"]
+
+
+def test_words_that_share_a_beginning_with_one_toxic_word_stay_clean(spark):
+    rows, labels = toxic_rows()
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {" vermin ", " filthmonger ", " scumlord "} <= model.lexicon.keys()
+    texts = ["the vermilion path", "filthy scumble of filth", "vermicelli and vermouth"]
+    assert all(s < 0.5 for s in toxicity.Matcher(model).scores(texts))
+
+
+def test_beginnings_of_many_toxic_words_are_entries_and_copies_are_one_witness(spark):
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(800):
+        words = prose(5000 + i, 60).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                words.insert(r.randrange(len(words)), "grumph" + "".join(r.choice("abcdefgh") for _ in range(4)))
+        rows.append((i, " ".join(words), "en", "s", *EXTRA))
+        labels.append((i, 1, int(i % 4 == 0)))
+    # Two hundred copies of a toxic text with words of its own.
+    rows += [(i, "zanzibar quokka marmalade " + rows[0][1], "en", "s", *EXTRA) for i in range(1000, 1200)]
+    labels += [(i, 1, 1) for i in range(1000, 1200)]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert " grumph" in model.lexicon and not {" quokka ", " zanzibar ", " marmalade "} & model.lexicon.keys()
+    new, calm = toxicity.Matcher(model).scores(["some grumphzzzz grumphyyyy here", "zanzibar quokka marmalade here"])
+    assert new > 0.5 > calm
+
+
+def plain_score(text, model):
+    """The score by trying every entry and every exception at every word."""
+    words = toxicity.fold(text)
+    found = []
+    for i, w in enumerate(words):
+        tries = [(len(e), x) for e, x in model.lexicon.items() if f" {w} ".startswith(e)]
+        tries += [(len(e) + 2, 0.0) for e in model.exceptions if e == w or (i + 1 < len(words) and e == f"{w} {words[i + 1]}")]
+        if tries and max(tries)[1] > 0:
+            found.append(max(tries)[1])
+    n = len(words) + 20
+    z = float(np.dot(model.curve, (1, np.log1p(sum(found)), np.sqrt(sum(found) / n), np.sqrt(len(found) / n))))
+    return 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_scores_equal_a_plain_search_of_every_entry(spark):
+    model = toxicity.Model({" clown ": 4.0, " clow": 1.0, " moron ": 2.5, " mor": 0.75}, frozenset(["clown fish", "more", "mort"]),
+                           (-2.0, 1.0, 3.0, 0.5))
+    r = random.Random(3)
+    words = ["clown", "cl0wn", "fish", "clowning", "more", "mort", "moron", "m0r0n!", "morning", "and", "é", "CLOWN", "cloѡn", "сlown"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(300)] + [None, "", " \n", "clown " * 50_000]
+    got = {x.doc_id: x.score for x in toxicity.score(of_texts(spark, texts), model).collect()}
+    assert all(got[i] == pytest.approx(plain_score(t, model), abs=1e-12) for i, t in enumerate(texts))
+
+
+def test_likelihood_ratio_equals_its_formula(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(a, b) for a in (0, 1, 7, 30) for b in (0, 2, 40, 90)]
+    out = spark.createDataFrame(rows, "t long, c long").select("t", "c", toxicity.likelihood_ratio(F.col("t"), F.col("c"), 30, 90).alias("g"))
+    for x in out.collect():
+        cells = [(x.t, x.t + x.c, 30), (x.c, x.t + x.c, 90), (30 - x.t, 120 - x.t - x.c, 30), (90 - x.c, 120 - x.t - x.c, 90)]
+        assert x.g == pytest.approx(2 * sum(o * np.log(o * 120 / (m * n)) for o, m, n in cells if o))

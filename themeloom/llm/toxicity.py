@@ -1,39 +1,44 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: case, look-alike letters of other scripts, digits and signs that
-stand for letters inside words.  The lexicon has whole words and beginnings of words, each
-with its log-odds of toxic texts, learned from labelled rows; words and two-word phrases
-under an entry that clean texts use are exceptions.  The sum of weights found, normalised
-by length, goes through a logistic curve fitted on labelled rows the lexicon wasn't
-learned from.
+Texts are folded first: case, look-alike letters in words that mix scripts, digits and signs
+that stand for letters inside words.  The lexicon has whole words and beginnings of words,
+each with its log-odds of toxic texts, learned from labelled rows.  An entry must pass a
+likelihood-ratio test corrected for the number of entries tried; a beginning must pass it with
+the other words behind it when its most frequent one is left out.  Words and two-word phrases under an entry
+that clean texts use are exceptions.  The sum of weights
+found, normalised by length, goes through a logistic curve fitted on labelled rows the
+lexicon wasn't learned from.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.session import cut
 
-# Look-alikes of Latin letters, and what stands for letters inside words.
-LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһｌɑοαεικνρτυ", "aeopcyxijsdhlaoaeiknptu")
+# Small letters of other scripts that look like Latin ones (Cyrillic, Greek, Armenian, Latin alpha).
+LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһԛԝѵкӏαορνικτυγχεօոսհզɑ",
+                           "aeopcyxijsdhqwvklaopviktuyxeonuhqa")
+# What stands for letters inside words.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 BEGINNINGS = range(4, 9)
 TRAIN_ROWS = 20_000
 MAX_ENTRIES = 5_000
-MIN_DOCS = 5
-MIN_WEIGHT = 1.5
+ALPHA = 0.05
 
 
 @dataclass
@@ -51,8 +56,9 @@ def fold(text: str | None) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
-    if re.search("[Ͱ-ԯɑｌ]", text):
-        text = text.translate(LOOK_ALIKE)
+    if not text.isascii():
+        # Only words that have Latin letters too: a word of one script is what it seems.
+        text = re.sub(r"\S*[ɑͰ-֏]\S*", lambda m: m[0].translate(LOOK_ALIKE) if re.search("[a-z]", m[0]) else m[0], text)
     if re.search(r"[0134578@$]", text):
         # Runs between letters, at a word's start, and one or two that end a word of two letters or more.
         text = re.sub(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|(?<![\w@$])[0134578@$]{1,2}(?=[^\W\d_]{2})"
@@ -113,22 +119,38 @@ def _doc_counts(rows: DataFrame, entries) -> DataFrame:
     return made.groupBy("entry").agg(yes.alias("toxic_docs"), no.alias("clean_docs"))
 
 
+def likelihood_ratio(toxic: Column, clean: Column, toxic_texts: int, clean_texts: int) -> Column:
+    """Twice the log likelihood ratio of an entry's share of toxic and of clean texts against one share."""
+    total = toxic_texts + clean_texts
+    part = lambda seen, rows, of: F.when(seen > 0, seen * F.log(seen * total / (rows * of))).otherwise(0.0)
+    have, lack = toxic + clean, total - toxic - clean
+    return 2 * (part(toxic, have, toxic_texts) + part(clean, have, clean_texts)
+                + part(toxic_texts - toxic, lack, toxic_texts) + part(clean_texts - clean, lack, clean_texts))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts, chosen by a hash of their id, none of them held out.
+    """At most ``rows`` labelled texts, chosen by a hash of their id, none of them held out, copies once.
 
-    ``half`` 0 is for the lexicon, 1 for the curve.
+    ``half`` 0 is for the lexicon, 1 for the curve.  Texts with the same smallest hash of five words in
+    a row are copies, toxic if one of them is: many copies of a text are one witness, in one half.
     """
     able = labels.where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0")
     chosen = (able.select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-                  .withColumn("_h", F.xxhash64("doc_id")).orderBy("_h").limit(rows)
-                  .select("doc_id", "toxic", F.pmod("_h", F.lit(2)).alias("half")))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half")
+                  .withColumn("_h", F.xxhash64("doc_id")).orderBy("_h").limit(rows).select("doc_id", "toxic"))
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 4, F.lit(1))),
+                       lambda i: F.xxhash64(F.array_join(F.slice("_words", i, 5), " ")))
+    return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_words", words)
+                .withColumn("_key", F.array_min(runs)).groupBy("_key")
+                .agg(F.max_by("text", F.struct("toxic", F.xxhash64("text"))).alias("text"), F.max("toxic").alias("toxic"))
+                .select("text", "toxic", F.pmod(F.xxhash64("_key"), F.lit(2)).alias("half")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_entries: int = MAX_ENTRIES) -> Model:
     """A model fitted on at most ``rows`` labelled texts, with at most ``max_entries`` lexicon entries.
 
-    Without labelled texts of both kinds the model is empty: all scores are 0.
+    Without labelled texts of both kinds the model is empty: all scores are 0.  Null texts are empty
+    ones, repeated rows of an id are one label (toxic wins), other columns are ignored; whole texts count.
     """
     train = cut(training_rows(docs, labels, rows))
     number = {(r.half, r.toxic): r.n for r in train.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -139,15 +161,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_entries:
     def beginnings(text: str | None) -> set[str]:
         out = set()
         for w in set(fold(text)):
-            if 3 <= len(w) <= 20:
+            if len(w) >= 3:
                 out.add(f" {w} ")
                 out.update(f" {w[:k]}" for k in BEGINNINGS if k < len(w))
         return out
 
     odds = (F.log((F.col("toxic_docs") + 0.5) / (number[0, 1] + 1)) - F.log((F.col("clean_docs") + 0.5) / (number[0, 0] + 1)))
-    entries = (_doc_counts(learn, beginnings).where(F.col("toxic_docs") >= MIN_DOCS).withColumn("weight", odds)
-               .where(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.log1p("toxic_docs")), "entry")
-               .limit(max_entries).collect())
+    counted = cut(_doc_counts(learn, beginnings).withColumn("weight", odds).withColumn(
+        "gain", likelihood_ratio(F.col("toxic_docs"), F.col("clean_docs"), number[0, 1], number[0, 0])))
+    # An entry no text could make pass, were all that have it toxic, is no trial.
+    sure = -2 * math.log(number[0, 1] / (number[0, 0] + number[0, 1]))
+    trials = counted.where((F.col("toxic_docs") + F.col("clean_docs")) * sure >= NormalDist().inv_cdf(1 - ALPHA / 2) ** 2).count()
+    bar = NormalDist().inv_cdf(1 - ALPHA / 2 / max(1, trials)) ** 2
+    passed = (F.col("weight") > 0) & (F.col("gain") >= bar)
+    whole = F.col("entry").endswith(" ")
+    # What each beginning has behind it, from the words' own rows.
+    behind = (counted.where(whole).withColumn("stem", F.explode(F.transform(
+                  F.filter(F.array(*map(F.lit, BEGINNINGS)), lambda k: k < F.length(F.trim("entry"))),
+                  lambda k: F.substring(F.col("entry"), F.lit(1), k + 1))))
+                     .groupBy("stem").agg((F.sum("toxic_docs") - F.max("toxic_docs")).alias("other_docs")))
+    rest = F.least("toxic_docs", "other_docs")
+    without = (number[0, 0] * rest > number[0, 1] * F.col("clean_docs")) & (
+        likelihood_ratio(rest, F.col("clean_docs"), number[0, 1], number[0, 0]) >= bar)
+    stems = (counted.where(~whole & passed).join(behind, F.col("entry") == F.col("stem"))
+                    .where(without).select(*counted.columns))
+    entries = (counted.where(whole & passed).unionByName(stems)
+               .orderBy(F.desc(F.col("weight") * F.log1p("toxic_docs")), "entry").limit(max_entries).collect())
     lexicon = {r.entry: float(r.weight) for r in entries}
     matcher = Matcher(Model(lexicon))
 
@@ -155,10 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_entries:
         joined = f" {' '.join(fold(text))} "
         out = set()
         for start in matcher.hits(joined):
-            words = joined[start + 1:start + 200].split(" ", 2)
-            out.add(words[0])
-            if len(words) > 1 and words[1]:
-                out.add(f"{words[0]} {words[1]}")
+            first = joined.index(" ", start + 1)
+            second = joined.find(" ", first + 1)
+            out.add(joined[start + 1:first])
+            if second > 0:
+                out.add(joined[start + 1:second])
         return out
 
     clean = (_doc_counts(learn, used).withColumn("weight", odds).where((F.col("clean_docs") >= 3) & (F.col("weight") <= 0))
