@@ -1,13 +1,15 @@
 """Personal data, and terms that give it away.
 
 Base patterns find e-mail addresses, network addresses, card and phone numbers.  Each
-found value is a protected entity, and so are its kind and its mail domain.  How strongly a
-term reveals an entity is estimated from the corpus: over distinct texts, the pointwise
-mutual information of term and entity, as a share of the entity's own information.  A share
-of one means that whoever reads the term knows the entity.  Shares are discounted by
-both / (both + 1), the smoothing of Pantel and Lin, where both is the number of texts that
-have term and entity.  Terms whose share exceeds a threshold are generalised, beyond a
-higher one removed, wherever they stand outside base spans, also in texts without the entity.
+found value is a protected entity, and so is its mail domain.  How strongly a term reveals an
+entity is estimated from the corpus: over distinct texts, the pointwise mutual information of
+term and entity, as a share of the entity's own information.  A share of one means that whoever
+reads the term knows the entity.  Shares are discounted by both / (both + 1), the smoothing of
+Pantel and Lin, where both is the number of texts that have term and entity.  Term and entity
+must also stand together more often than chance allows: their likelihood ratio (Dunning) passes
+a bar corrected for the number of pairs that occur.  Terms whose share exceeds a threshold are
+generalised, beyond a higher one removed, wherever they stand outside base spans, also in texts
+without the entity.
 
 All of it is DataFrame functions.  Equal texts are one text for every count.
 """
@@ -15,6 +17,7 @@ All of it is DataFrame functions.  Equal texts are one text for every count.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ TERM = r"\p{L}{3,}"
 BROADCAST_TERMS = 100_000
 GENERALISE = 0.7
 REMOVE = 0.9
+ALPHA = 0.05
 
 
 def _digits(found: Column) -> Column:
@@ -70,9 +74,9 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def entities(rows: DataFrame) -> DataFrame:
-    """``h1, h2, entity``: found values, their kinds and mail domains, once for each text."""
+    """``h1, h2, entity``: found values and their mail domains, once for each text."""
     found = F.lower("e.found")
-    own = F.array(F.concat_ws(":", "e.kind", found), F.concat(F.lit("kind:"), "e.kind"),
+    own = F.array(F.concat_ws(":", "e.kind", found),
                   F.when(F.col("e.kind") == "email", F.concat(F.lit("domain:"), F.substring_index(found, "@", -1))))
     return (rows.select("h1", "h2", F.explode("base").alias("e")).select("h1", "h2", F.explode(own).alias("entity"))
                 .where("entity is not null").distinct())
@@ -99,21 +103,36 @@ def contexts(rows: DataFrame, support: int = 1) -> DataFrame:
     ``rows`` are distinct texts with entities.
     """
     every = entities(rows)
-    often = every.groupBy("entity").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support).select("entity")
+    # Stored, so that the join has both sides in exchanges of its own and a domain of very many texts is split.
+    often = cut(every.groupBy("entity").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support).select("entity"))
     of_text = every.join(often, "entity").groupBy("h1", "h2").agg(F.collect_list("entity").alias("entities"))
     terms = rows.select("h1", "h2", terms_of(F.col("text"), F.col("base")).alias("terms"))
     return (terms.join(of_text, ["h1", "h2"]).select("h1", "h2", "terms", F.explode("entities").alias("entity"))
                  .select("h1", "h2", "entity", F.explode("terms").alias("term")))
 
 
-def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int) -> DataFrame:
+def _beyond_chance(both: Column, of_entity: Column, of_term: Column, total: Column) -> Column:
+    """Twice the log likelihood ratio of two things standing together against standing by chance."""
+    def part(seen: Column, a: Column, b: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * total / (a * b))).otherwise(0.0)
+
+    no_entity, no_term = total - of_entity, total - of_term
+    return 2 * (part(both, of_entity, of_term) + part(of_entity - both, of_entity, no_term)
+                + part(of_term - both, no_entity, of_term) + part(total - of_entity - of_term + both, no_entity, no_term))
+
+
+def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int, alpha: float = ALPHA) -> DataFrame:
     """``entity, term, both, share``: how much of each entity's information each term of its texts gives away.
 
+    Only pairs that stand together more often than chance allows at ``alpha`` over all pairs that occur.
+
     ``rows`` are the distinct texts with entities, ``near`` their :func:`contexts`; ``both`` is in how many
     texts the two stand, ``support`` at least.  All counts are of distinct texts of the whole corpus.
     """
-    pairs = cut(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support))
-    of_entity = entities(rows).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    occurring = cut(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")))
+    bar = NormalDist().inv_cdf(1 - alpha / 2 / max(1, occurring.count())) ** 2
+    pairs = occurring.where(F.col("both") >= support)
+    of_entity = cut(entities(rows).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")))
     held = terms_of(F.col("text"), F.col("base"))
     # Copies of a text send their terms once.  The empty term stands in every text: its count is their number.
     texts = with_base(docs.select("text")).select("h1", "h2", F.array_append(held, F.lit("")).alias("terms")).groupBy("h1", "h2").agg(
@@ -126,7 +145,8 @@ def revealing(docs: DataFrame, rows: DataFrame, near: DataFrame, support: int) -
     total = F.lit(float(counted["with_term"] if counted else 0))
     own = F.log(total / F.col("with_entity"))
     mutual = F.log(total * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    return (pairs.join(of_entity, "entity").join(of_term, "term").where(F.col("with_entity") < total)
+    sure = _beyond_chance(F.col("both"), F.col("with_entity"), F.col("with_term"), total) >= bar
+    return (pairs.join(of_entity, "entity").join(of_term, "term").where((F.col("with_entity") < total) & sure)
                  .select("entity", "term", "both", (mutual / own).alias("share")))
 
 
