@@ -1,4 +1,4 @@
-"""The registered queries in SQL, written independently of the operators."""
+"""The registered queries in SQL, written over relations rather than by the operators' expressions."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from themeloom.operators.keywords import STOP_WORDS
 from themeloom.plans.views import wording_sql
 
 WORD = r"[\p{L}\p{N}_]+"
+ITEM = r"[0-9]+|\p{L}+|[<>]=|=>|[^\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+DATED = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|" + WORD + r"|[^\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 WIDE = "CASE {0} " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in MONTHS_WIDE.items()) + " END"
 
@@ -58,18 +60,31 @@ scores AS (SELECT query_id, max_by(CAST(word AS INT), pos) AS s, max(CAST(word A
 tagged AS (SELECT q.query_id, q.query, q.as_of, q.intent, make_date(y, ms[1], 1) AS start_date,
     last_day(make_date(y, coalesce(ms[2], ms[1]), 1)) AS end_date, s AS rating_gte, s AS rating_lte, top
     FROM questions q LEFT JOIN months USING (query_id) LEFT JOIN years USING (query_id) LEFT JOIN scores USING (query_id)),
-seen AS (SELECT query_id, lower(query) AS q,
-    regexp_extract(lower(query), '\\b([a-z]{{3,9}})\\s+to\\s+([a-z]{{3,9}})\\s+([0-9]{{4}})\\b', ['a', 'b', 'y']) AS r,
-    regexp_extract(lower(query), '\\b([a-z]{{3,9}})\\s+([0-9]{{4}})\\b', ['m', 'y']) AS o,
-    regexp_extract(lower(query), '\\bscore\\s*([0-9])\\b', 1) AS said,
-    regexp_extract(lower(query), '(>=|=>|above|greater than)\\s*([0-9])', 2) AS lim FROM questions),
-nums AS (SELECT query_id, q, said, lim, {narrow('r.a')} AS ra, {narrow('r.b')} AS rb, TRY_CAST(r.y AS INT) AS ry,
-    {narrow('o.m')} AS om, TRY_CAST(o.y AS INT) AS oy FROM seen),
+items AS (SELECT query_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM
+    (SELECT query_id, regexp_extract_all(lower(query), '{ITEM}') AS ws FROM questions)),
+walk AS (SELECT query_id, pos, w, lag(w, 2) OVER k AS w_2, lag(w) OVER k AS w_1, lead(w) OVER k AS w1, lead(w, 2) OVER k AS w2,
+    lead(w, 3) OVER k AS w3 FROM items WINDOW k AS (PARTITION BY query_id ORDER BY pos)),
+kinds AS (SELECT *, regexp_full_match(w, '[a-z]{{3,9}}') AS name, regexp_full_match(w2, '[a-z]{{3,9}}') AND regexp_full_match(w3, '[0-9]{{4}}') AS name_year,
+    regexp_full_match(w1, '[0-9]{{4}}') AS year_next, w BETWEEN '0' AND '5' AND length(w) = 1 AS mark, w2 BETWEEN '0' AND '5' AND length(w2) = 1 AS mark2,
+    w1 BETWEEN '0' AND '9' AND length(w1) = 1 AS digit_next, regexp_full_match(w, '[0-9]+') AS number FROM walk),
+heard AS (SELECT query_id, min_by(w, pos) FILTER (name AND w1 = 'to' AND name_year) AS ra, min_by(w2, pos) FILTER (name AND w1 = 'to' AND name_year) AS rb,
+    min_by(w3, pos) FILTER (name AND w1 = 'to' AND name_year) AS ry, min_by(w, pos) FILTER (name AND year_next) AS om, min_by(w1, pos) FILTER (name AND year_next) AS oy,
+    min_by(w1, pos) FILTER (w = 'score' AND digit_next) AS said, count(*) FILTER ((w = '5' AND w1 = 'score') OR (w = 'score' AND w1 = '5')) > 0 AS five,
+    min_by(w[1], pos) FILTER (number AND (w_1 IN ('>=', '=>', 'above') OR (w_2 = 'greater' AND w_1 = 'than'))) AS lim,
+    coalesce(min_by([w, w2], pos) FILTER (mark AND mark2 AND w1 IN ('and', 'to', '-') AND w_1 = 'between'),
+        min_by([w, w2], pos) FILTER (mark AND mark2 AND w1 IN ('to', '-'))) AS ends,
+    min_by(w, pos) FILTER (mark AND (w_1 IN ('above', '>', '=>') OR (w_2 = 'greater' AND w_1 = 'than'))) AS over,
+    min_by(w, pos) FILTER (mark AND (w_1 = '>=' OR (w_2 = 'at' AND w_1 = 'least'))) AS least,
+    count(*) FILTER (w = '>=' OR (w = 'or' AND w1 = 'above') OR (w = 'at' AND w1 = 'least')) > 0 AS up,
+    count(*) FILTER (w = '<=' OR (w = 'or' AND w1 = 'below')) > 0 AS down, count(*) FILTER (w IN ('-', 'to')) > 0 AS until
+    FROM kinds GROUP BY query_id),
+nums AS (SELECT query_id, five, said, lim, {narrow('ra')} AS ra, {narrow('rb')} AS rb, TRY_CAST(ry AS INT) AS ry,
+    {narrow('om')} AS om, TRY_CAST(oy AS INT) AS oy FROM questions LEFT JOIN heard USING (query_id)),
 textual AS (SELECT query_id, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN make_date(ry, ra, 1) ELSE make_date(oy, om, 1) END AS start_date,
     CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN last_day(make_date(ry, rb, 1)) ELSE last_day(make_date(oy, om, 1)) END AS end_date,
-    CASE WHEN ra IS NULL OR rb IS NULL THEN NULL WHEN regexp_matches(q, '\\b(high\\s*)?5\\s*score\\b|\\bscore\\s*5\\b') THEN 5
+    CASE WHEN ra IS NULL OR rb IS NULL THEN NULL WHEN five THEN 5
         WHEN said <> '' THEN CAST(said AS INT) WHEN lim <> '' THEN CAST(lim AS INT) END AS rating_gte,
-    CASE WHEN ra IS NULL OR rb IS NULL THEN NULL WHEN regexp_matches(q, '\\b(high\\s*)?5\\s*score\\b|\\bscore\\s*5\\b') THEN 5
+    CASE WHEN ra IS NULL OR rb IS NULL THEN NULL WHEN five THEN 5
         WHEN said <> '' THEN CAST(said AS INT) END AS rating_lte FROM nums),
 merged AS (SELECT t.query_id, t.query, t.as_of, t.intent, t.top, coalesce(t.start_date, x.start_date) AS start_date,
     coalesce(t.end_date, x.end_date) AS end_date,
@@ -200,22 +215,31 @@ ORACLES: dict[str, str] = {
     "query_meta_entities": f"WITH {META} SELECT {COLS} FROM tagged",
     "query_meta_fallback": f"WITH {META} SELECT {COLS} FROM textual",
     "query_meta_merged": f"WITH {META} SELECT {COLS} FROM merged",
-    "rating_comparators": f"""WITH {META}, c AS (SELECT *, regexp_extract(lower(query), '\\bbetween\\s*([0-5])\\s*(?:and|to|-)\\s*([0-5])\\b', ['a', 'b']) AS bt,
-        regexp_extract(lower(query), '\\b([0-5])\\s*(?:-|to)\\s*([0-5])\\b', ['a', 'b']) AS ds,
-        regexp_extract(lower(query), '(?:\\bgreater\\s+than|\\babove|>)\\s*([0-5])\\b', 1) AS ov,
-        regexp_extract(lower(query), '(?:\\bat\\s+least|>=)\\s*([0-5])\\b', 1) AS al FROM merged),
-        n AS (SELECT *, coalesce(TRY_CAST(bt.a AS INT), TRY_CAST(ds.a AS INT)) AS a, coalesce(TRY_CAST(bt.b AS INT), TRY_CAST(ds.b AS INT)) AS b FROM c)
-        SELECT query_id, CAST(CASE WHEN a IS NOT NULL THEN least(a, b) WHEN ov <> '' THEN least(5, CAST(ov AS INT) + 1)
-            WHEN al <> '' THEN CAST(al AS INT) WHEN top IS NOT NULL THEN top ELSE rating_gte END AS INT) AS rating_gte,
-        CAST(CASE WHEN a IS NOT NULL THEN greatest(a, b) WHEN ov <> '' OR al <> '' THEN NULL
+    "rating_comparators": f"""WITH {META}, n AS (SELECT m.*, CAST(ends[1] AS INT) AS a, CAST(ends[2] AS INT) AS b, over AS ov, least AS al
+        FROM merged m LEFT JOIN heard USING (query_id))
+        SELECT query_id, CAST(CASE WHEN a IS NOT NULL THEN least(a, b) WHEN ov IS NOT NULL THEN least(5, CAST(ov AS INT) + 1)
+            WHEN al IS NOT NULL THEN CAST(al AS INT) WHEN top IS NOT NULL THEN top ELSE rating_gte END AS INT) AS rating_gte,
+        CAST(CASE WHEN a IS NOT NULL THEN greatest(a, b) WHEN ov IS NOT NULL OR al IS NOT NULL THEN NULL
             WHEN top IS NOT NULL THEN top ELSE rating_lte END AS INT) AS rating_lte FROM n""",
     "date_range_iso_relative": f"""WITH {QUESTIONS}, x AS (SELECT query_id, as_of, lower(trim(query)) AS t,
-        regexp_extract(query, '(?i)([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\\s*(?:to|through|–|-)\\s*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', ['a', 'b']) AS iso,
-        regexp_extract(lower(query), '(?:from|between)\\s+(.+?)\\s+(?:to|and)\\s+(.+)', ['a', 'b']) AS side,
-        regexp_extract_all(lower(query), '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}\\s+{WORD}\\s+[0-9]{{4}}|{WORD}\\s+[0-9]{{4}})') AS said FROM questions),
-        m AS (SELECT query_id, min(d) AS lo, max(d) AS hi FROM (SELECT query_id, {phrase('s')} AS d FROM (SELECT query_id, as_of, unnest(said) AS s FROM x)) GROUP BY query_id),
-        y AS (SELECT x.*, lo, hi, TRY_CAST(iso.a AS DATE) AS ia, TRY_CAST(iso.b AS DATE) AS ib, sa, sb, w FROM x LEFT JOIN m USING (query_id)
-            JOIN (SELECT query_id, {phrase('sidea')} AS sa, {phrase('sideb')} AS sb, {phrase('t')} AS w FROM (SELECT query_id, as_of, t, trim(side.a) AS sidea, trim(side.b) AS sideb FROM x)) USING (query_id)),
+        regexp_split_to_array(trim(lower(query)), '\\s+') AS ws FROM questions),
+        toks AS (SELECT query_id, unnest(ts) AS w, unnest(range(len(ts))) AS pos FROM (SELECT query_id,
+            regexp_extract_all(lower(query), '{DATED}') AS ts FROM questions)),
+        near AS (SELECT *, lag(w) OVER k AS w_1, lead(w) OVER k AS w1, lead(w, 2) OVER k AS w2 FROM toks WINDOW k AS (PARTITION BY query_id ORDER BY pos)),
+        sort AS (SELECT *, regexp_full_match(w, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS iso, regexp_full_match(w2, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS iso2,
+            regexp_full_match(w, '[0-9]{{1,2}}') AS few, coalesce(regexp_full_match(w_1, '[0-9]{{1,2}}'), false) AS few_1,
+            coalesce(regexp_full_match(w_1, '{WORD}'), false) AS plain_1, regexp_full_match(w, '{WORD}') AS word,
+            regexp_full_match(w1, '{WORD}') AS word1, regexp_full_match(w1, '[0-9]{{4}}') AS four1, regexp_full_match(w2, '[0-9]{{4}}') AS four2 FROM near),
+        told AS (SELECT query_id, CASE WHEN iso AND NOT plain_1 THEN w WHEN few AND word1 AND four2 THEN w || ' ' || w1 || ' ' || w2
+            WHEN word AND four1 AND NOT few_1 THEN w || ' ' || w1 END AS s FROM sort),
+        ends AS (SELECT query_id, min_by([w, w2], pos) FILTER (iso AND iso2 AND w1 IN ('to', 'through', '–', '-')) AS iso FROM sort GROUP BY query_id),
+        opened AS (SELECT query_id, ws, list_position(list_transform(ws, lambda v: v IN ('from', 'between')), true) AS o FROM x),
+        turned AS (SELECT *, list_filter(range(1, len(ws)), lambda v: v > o + 1 AND ws[v] IN ('to', 'and'))[1] AS u FROM opened),
+        side AS (SELECT query_id, CASE WHEN o > 0 AND u IS NOT NULL THEN array_to_string(ws[o + 1:u - 1], ' ') ELSE '' END AS a,
+            CASE WHEN o > 0 AND u IS NOT NULL THEN array_to_string(ws[u + 1:], ' ') ELSE '' END AS b FROM turned),
+        m AS (SELECT query_id, min(d) AS lo, max(d) AS hi FROM (SELECT query_id, {phrase('s')} AS d FROM (SELECT query_id, as_of, s FROM told JOIN x USING (query_id) WHERE s IS NOT NULL)) GROUP BY query_id),
+        y AS (SELECT x.*, lo, hi, TRY_CAST(iso[1] AS DATE) AS ia, TRY_CAST(iso[2] AS DATE) AS ib, sa, sb, w FROM x LEFT JOIN m USING (query_id) LEFT JOIN ends USING (query_id)
+            JOIN (SELECT query_id, {phrase('sidea')} AS sa, {phrase('sideb')} AS sb, {phrase('t')} AS w FROM (SELECT query_id, as_of, t, a AS sidea, b AS sideb FROM x JOIN side USING (query_id))) USING (query_id)),
         z AS (SELECT query_id, CASE WHEN ia IS NOT NULL AND ib IS NOT NULL THEN [ia, ib] WHEN sa IS NOT NULL AND sb IS NOT NULL THEN [sa, sb]
             WHEN regexp_matches(t, '(last|past|previous) 7 days|last week') THEN [as_of - 7, as_of]
             WHEN contains(t, 'last month') THEN [CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE), last_day(CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE))]
@@ -225,14 +249,14 @@ ORACLES: dict[str, str] = {
             WHEN w IS NOT NULL AND regexp_full_match(t, '[0-9]{{4}}') THEN [make_date(year(w), 1, 1), make_date(year(w), 12, 31)]
             ELSE [lo, hi] END AS r FROM y)
         SELECT query_id, least(r[1], r[2]) AS start_date, greatest(r[1], r[2]) AS end_date FROM z""",
-    "span_months_rating": f"""WITH {ENTS}, mo AS (SELECT query_id, min_by(m, pos) AS m1, max_by(m, pos) AS m2 FROM
+    "span_months_rating": f"""WITH {META}, mo AS (SELECT query_id, min_by(m, pos) AS m1, max_by(m, pos) AS m2 FROM
             (SELECT query_id, pos, {wide('lower(word)')} AS m FROM tokens) WHERE m IS NOT NULL GROUP BY query_id),
         yr AS (SELECT query_id, CAST(y[1] AS INT) AS y1, CAST(y[len(y)] AS INT) AS y2 FROM (SELECT query_id, regexp_extract_all(query, '\\b((?:19|20)[0-9]{{2}})\\b') AS y FROM questions) WHERE len(y) > 0),
         sc AS (SELECT query_id, list(CAST(word AS INT)) AS ns FROM ents WHERE entity_group = 'SCORE' AND word BETWEEN '0' AND '5' GROUP BY query_id),
-        al AS (SELECT q.query_id, lower(query) AS t, ns, list_min(ns) AS lo, list_max(ns) AS hi, make_date(y1, m1, 1) AS a, last_day(make_date(y2, m2, 1)) AS b
-            FROM questions q LEFT JOIN mo USING (query_id) LEFT JOIN yr USING (query_id) LEFT JOIN sc USING (query_id)),
-        ru AS (SELECT *, CASE WHEN hi IS NULL THEN 'none' WHEN regexp_matches(t, '\\bor\\s+above\\b|\\bat\\s+least\\b|>=') THEN 'ge'
-            WHEN regexp_matches(t, '\\bor\\s+below\\b|<=') THEN 'le' WHEN len(ns) = 2 AND regexp_matches(t, '-|\\bto\\b') THEN 'range' ELSE 'eq' END AS rule FROM al)
+        al AS (SELECT q.query_id, up, down, until, ns, list_min(ns) AS lo, list_max(ns) AS hi, make_date(y1, m1, 1) AS a, last_day(make_date(y2, m2, 1)) AS b
+            FROM questions q LEFT JOIN mo USING (query_id) LEFT JOIN yr USING (query_id) LEFT JOIN sc USING (query_id) LEFT JOIN heard USING (query_id)),
+        ru AS (SELECT *, CASE WHEN hi IS NULL THEN 'none' WHEN up THEN 'ge'
+            WHEN down THEN 'le' WHEN len(ns) = 2 AND until THEN 'range' ELSE 'eq' END AS rule FROM al)
         SELECT query_id, least(a, b) AS start_date, greatest(a, b) AS end_date,
             CAST(CASE rule WHEN 'ge' THEN hi WHEN 'range' THEN lo WHEN 'eq' THEN hi END AS INT) AS rating_gte,
             CAST(CASE rule WHEN 'le' THEN lo WHEN 'range' THEN hi WHEN 'eq' THEN hi END AS INT) AS rating_lte FROM ru""",
