@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from themeloom.operators.contract import MIN_DISTANCE, SCHEMA, contract
 from themeloom.operators.forest import merge_order, reduced_forest, running_sums
-from themeloom.operators.skew import attach, fits_broadcast
+from themeloom.operators.skew import attach, fits_broadcast, meet
 from themeloom.session import cut
 
 # Points a block holds at most.
@@ -75,14 +75,14 @@ def _open_tree(vertices: DataFrame, edges: DataFrame, sizes: DataFrame, grown: D
         F.min(F.struct("w", "a", "b")).alias("low"))
     next_split = segs.where("split_end = 1").select(
         *chain, (F.col("seg") - 1).alias("seg"), F.col("low.w").alias("w"), F.lit(True).alias("in_chain"))
-    segs = segs.drop("split_end", "low").join(next_split, [*chain, "seg"], "left")
+    segs = meet(segs.drop("split_end", "low"), next_split, [*chain, "seg"], "left")
     # The top segment of a chain continues at the component's edge out.
     where = runs.select("set_id", "w", "a", "b", F.col("level").alias("up_level"),
                         F.col("comp").alias("up_comp"), F.col("seg").alias("up_seg"), "splits")
-    outs = forest.links.select(*chain, "w", "a", "b").join(where, ["set_id", "w", "a", "b"])
+    outs = meet(forest.links.select(*chain, "w", "a", "b"), where, ["set_id", "w", "a", "b"])
     outs = outs.select(*chain, F.col("w").alias("out_w"), "up_level", "up_comp", "up_seg",
                        (F.col("splits") == 1).alias("out_splits"))
-    segs = segs.join(outs, chain, "left")
+    segs = meet(segs, outs, chain, "left")
     inner = F.col("in_chain").isNotNull()
     born = inner | F.col("out_splits") | F.col("out_w").isNull()
     name = F.struct("level", "comp", "seg")
@@ -97,12 +97,12 @@ def _open_tree(vertices: DataFrame, edges: DataFrame, sizes: DataFrame, grown: D
                            F.coalesce(birth, F.lit(0.0)).alias("birth")))
     owner = _chase(segs.withColumn("cluster", F.when(F.col("born"), F.col("part"))),
                    ["set_id", "part"], ["up"], "cluster")
-    owned = segs.join(owner, ["set_id", "part"])
+    owned = meet(segs, owner, ["set_id", "part"])
     totals = owned.groupBy("set_id", "cluster").agg(
         F.sum("mass").alias("mass"), F.sum("size").alias("size"), F.max("peak").alias("peak"))
     heads = owned.where("born").select("set_id", "cluster", "birth", "up")
     parents = owner.select("set_id", F.col("part").alias("up"), F.col("cluster").alias("parent"))
-    tree = heads.join(totals, ["set_id", "cluster"]).join(parents, ["set_id", "up"], "left").drop("up")
+    tree = meet(meet(heads, totals, ["set_id", "cluster"]), parents, ["set_id", "up"], "left").drop("up")
 
     # The edge at which each vertex leaves: first on its way up with enough below.
     first = runs.groupBy(*chain).agg(F.min(F.struct("w", "a", "b", "seg", "lam")).alias("e"))
@@ -111,12 +111,12 @@ def _open_tree(vertices: DataFrame, edges: DataFrame, sizes: DataFrame, grown: D
     at_edge = own.select("set_id", "w", "a", "b", exit_.alias("exit"))
     at_chain = first.select(*chain, F.col("e.seg").alias("seg"), F.col("e.lam").alias("lam")).select(
         *chain, exit_.alias("chain_exit"))
-    ways = (forest.links.join(at_edge, ["set_id", "w", "a", "b"], "left")
-            .join(forest.chains.select("set_id", "w", "a", "b", F.col("level").alias("on_level"),
-                                       F.col("comp").alias("on_comp")), ["set_id", "w", "a", "b"]))
+    edge_key = ["set_id", "w", "a", "b"]
+    on = forest.chains.select(*edge_key, F.col("level").alias("on_level"), F.col("comp").alias("on_comp"))
+    ways = meet(meet(forest.links, at_edge, edge_key, "left"), on, edge_key)
     at_on = at_chain.select("set_id", F.col("level").alias("on_level"), F.col("comp").alias("on_comp"),
                             "chain_exit")
-    ways = ways.join(at_on, ["set_id", "on_level", "on_comp"], "left")
+    ways = meet(ways, at_on, ["set_id", "on_level", "on_comp"], "left")
     ways = ways.select(*chain, "on_level", "on_comp", F.coalesce("exit", "chain_exit").alias("exit"))
     exits = _chase(ways, chain, ["on_level", "on_comp"], "exit").where("level = 0")
     left = exits.select("set_id", F.col("comp").alias("point_id"), F.col("exit.part").alias("part"),
@@ -124,9 +124,9 @@ def _open_tree(vertices: DataFrame, edges: DataFrame, sizes: DataFrame, grown: D
     flat = cut(owner.select("set_id", "part", "cluster"))
     found = cut(attach(left, flat, ["set_id", "part"], how="left", row_bytes=96, spread=F.col("point_id")).select(
         "set_id", "point_id", "cluster", "lam"))
-    more = grown.join(found, ["set_id", "point_id"]).groupBy("set_id", "cluster").agg(
+    more = meet(grown, found, ["set_id", "point_id"]).groupBy("set_id", "cluster").agg(
         F.sum("more").alias("more"), F.max("peak").alias("own_peak"))
-    tree = tree.join(more, ["set_id", "cluster"], "left")
+    tree = meet(tree, more, ["set_id", "cluster"], "left")
     return cut(tree.select("set_id", "cluster", "parent", "birth", "size",
                            (F.col("mass") + F.coalesce("more", F.lit(0.0))).alias("mass"),
                            F.greatest("peak", "own_peak").alias("peak"))), found
@@ -150,7 +150,7 @@ def worths(tree: DataFrame) -> DataFrame:
         kids = state.where("parent is not null").groupBy("set_id", F.col("parent").alias("cluster")).agg(
             F.count_if(F.col("best").isNull()).alias("open"), F.sum("best").alias("got"),
             F.min(F.when(F.col("best").isNull(), F.col("cluster"))).alias("only"))
-        seen = state.join(kids, ["set_id", "cluster"], "left")
+        seen = meet(state, kids, ["set_id", "cluster"], "left")
         fresh = F.col("best").isNull() & ~F.col("chained")
         total = F.col("c") + F.coalesce("got", F.lit(0.0))
         chain, leaf = fresh & (F.col("open") == 1), fresh & (F.coalesce("open", F.lit(0)) == 0)
@@ -160,7 +160,7 @@ def worths(tree: DataFrame) -> DataFrame:
             F.when(leaf, F.greatest("s", total)).otherwise(F.col("best")).alias("best")))
         ahead = now.select("set_id", F.col("cluster").alias("down"), F.col("s").alias("s2"), F.col("c").alias("c2"),
                            F.col("down").alias("down2"), F.col("chained").alias("chained2"), F.col("best").alias("best2"))
-        step = now.join(ahead, ["set_id", "down"], "left")
+        step = meet(now, ahead, ["set_id", "down"], "left")
         waits = F.col("best").isNull() & F.col("chained")
         joined = waits & F.col("best2").isNull() & F.col("chained2")
         state = cut(step.select(
@@ -182,17 +182,17 @@ def choose(tree: DataFrame) -> DataFrame:
     known = tree.where("best is not null")
     # What is settled counts as given to its parent.
     gifts = known.groupBy("set_id", F.col("parent").alias("cluster")).agg(F.sum("best").alias("given"))
-    rest = tree.where("best is null").drop("best").join(gifts, ["set_id", "cluster"], "left")
+    rest = meet(tree.where("best is null").drop("best"), gifts, ["set_id", "cluster"], "left")
     best = cut(known.select("set_id", "cluster", "best").unionByName(worths(rest)))
-    below = tree.select("set_id", "cluster", "parent").join(best, ["set_id", "cluster"]).groupBy(
+    below = meet(tree.select("set_id", "cluster", "parent"), best, ["set_id", "cluster"]).groupBy(
         "set_id", F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"))
-    full = tree.join(below, ["set_id", "cluster"], "left")
+    full = meet(tree, below, ["set_id", "cluster"], "left")
     kept = F.col("stability") >= F.coalesce("below", F.lit(0.0))
     # The topmost kept one on the way up: each looks twice as far in every round.
     now = cut(full.select("set_id", "cluster", "parent", F.when(kept, F.struct("cluster", "peak")).alias("label")))
     while now.where("parent is not null").limit(1).count():
         ahead = now.select("set_id", F.col("cluster").alias("parent"), F.col("parent").alias("further"), F.col("label").alias("above"))
-        now = cut(now.join(ahead, ["set_id", "parent"], "left").select(
+        now = cut(meet(now, ahead, ["set_id", "parent"], "left").select(
             "set_id", "cluster", F.col("further").alias("parent"), F.coalesce("above", "label").alias("label")))
     return now.select("set_id", "cluster", F.col("label.cluster").alias("label"), F.col("label.peak").alias("death"))
 
@@ -211,8 +211,8 @@ def in_blocks(points: DataFrame, edges: DataFrame, sizes: DataFrame, capacity: i
         points = cut(ranked.withColumn("block", F.floor((F.col("_nth") - 1) / capacity).cast("int")).drop("_nth", "_one"))
         of = points.select("set_id", F.col("point_id"), F.col("block"))
         for end in ("a", "b"):
-            edges = edges.join(of.select("set_id", F.col("point_id").alias(end), F.col("block").alias(f"block_{end}")),
-                               ["set_id", end])
+            edges = meet(edges, of.select("set_id", F.col("point_id").alias(end), F.col("block").alias(f"block_{end}")),
+                         ["set_id", end])
         edges = edges.withColumn("block", F.explode(F.array_distinct(F.array("block_a", "block_b"))))
         return points, edges.select("set_id", "block", "a", "b", "w")
     return points.withColumn("block", F.lit(0)), edges.select("set_id", F.lit(0).alias("block"), "a", "b", "w")
@@ -258,7 +258,7 @@ def leave_points(points: DataFrame, edges: DataFrame, sizes: DataFrame, capacity
     tops = cut(tops)
     reps = cut(each.where("rep is not null").select("set_id", "point_id", "rep", name.alias("cluster"), "lam"))
     ends = [reps.select("set_id", F.col("point_id").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
-    rest = edges.select("set_id", "a", "b", "w").join(ends[0], ["set_id", "a"]).join(ends[1], ["set_id", "b"])
+    rest = meet(meet(edges.select("set_id", "a", "b", "w"), ends[0], ["set_id", "a"]), ends[1], ["set_id", "b"])
     rest = rest.where("rep_a <> rep_b").select("set_id", F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "w")
     # A vertex that is a cluster already gets an empty partner at its heaviest edge: below that its points are apart.
     grown = tops.where("name is not null")
@@ -270,7 +270,7 @@ def leave_points(points: DataFrame, edges: DataFrame, sizes: DataFrame, capacity
     extra = grown.select("set_id", "point_id", (F.col("mass") - at_once).alias("more"), "peak")
     tree, leaves = _open_tree(cut(vertices), cut(rest), sizes, extra)
     # An open component's cluster is the one its vertex is in from there on.
-    alias = cut(grown.select("set_id", "name", "point_id").join(leaves, ["set_id", "point_id"]).select(
+    alias = cut(meet(grown.select("set_id", "name", "point_id"), leaves, ["set_id", "point_id"]).select(
         "set_id", "name", F.col("cluster").alias("real")))
     tree = attach(tree, sizes.select("set_id", "single"), ["set_id"], row_bytes=16)
     root = F.col("single") & F.col("parent").isNull()
@@ -279,15 +279,15 @@ def leave_points(points: DataFrame, edges: DataFrame, sizes: DataFrame, capacity
 
     def renamed(rows: DataFrame, column: str) -> DataFrame:
         to = alias.select("set_id", F.col("name").alias(column), "real")
-        return rows.join(to, ["set_id", column], "left").withColumn(column, F.coalesce("real", column)).drop("real")
+        return meet(rows, to, ["set_id", column], "left").withColumn(column, F.coalesce("real", column)).drop("real")
 
     small = found.where("kind = 'cluster'").select("set_id", name.alias("cluster"), up.alias("parent"), "peak", "stability", "best")
     chosen = choose(cut(tree.unionByName(renamed(small, "parent"))))
     late = leaves.select("set_id", F.col("point_id").alias("rep"), F.col("cluster").alias("late"), F.col("lam").alias("late_lam"))
-    rows = renamed(reps, "cluster").join(late, ["set_id", "rep"], "left").select(
+    rows = meet(renamed(reps, "cluster"), late, ["set_id", "rep"], "left").select(
         "set_id", "point_id", F.coalesce("cluster", "late").alias("cluster"),
         F.when(F.col("cluster").isNull(), F.col("late_lam")).otherwise(F.col("lam")).alias("lam"))
-    rows = rows.join(chosen, ["set_id", "cluster"], "left").select("set_id", "point_id", "label", "lam", "death")
+    rows = meet(rows, chosen, ["set_id", "cluster"], "left").select("set_id", "point_id", "label", "lam", "death")
     return done.unionByName(rows)
 
 

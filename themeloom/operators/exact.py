@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from themeloom.operators.forest import components, reduced_forest
 from themeloom.operators.knn import SLACK, Blocks, _squared, into_blocks
-from themeloom.operators.skew import attach
+from themeloom.operators.skew import attach, meet
 from themeloom.session import cut
 
 LEVELS = 12
@@ -74,7 +74,7 @@ def _far_pairs(cells: Blocks, points: DataFrame, near: DataFrame) -> DataFrame:
     vertices = large.withColumn("l", each).select(named, "point_id", F.col("set_id").alias("_set"), "cell",
                                                   F.col("l.level").alias("level"))
     vertices = cut(vertices)
-    joined = components(edges, vertices).join(vertices, ["set_id", "point_id"])
+    joined = meet(vertices, components(edges, vertices), ["set_id", "point_id"])
     whole = cut(joined.groupBy(F.col("_set").alias("set_id"), "cell", "level").agg(
         F.min("comp").alias("comp"), F.max("comp").alias("other")).where("comp = other").drop("other"))
     at = cells.cells.select("set_id", "cell", "radius")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.operators.skew import attach
+from themeloom.operators.skew import attach, meet
 from themeloom.session import cut
 
 
@@ -211,7 +211,7 @@ def _hung_sizes(edges: DataFrame, tops: DataFrame) -> DataFrame:
     for end in ("x", "y"):
         size = tops.select("set_id", F.col("level").alias("x_level"), F.col("comp").alias(end),
                            F.col("size").alias(f"h{end}"))
-        edges = edges.join(size, ["set_id", "x_level", end], "left")
+        edges = meet(edges, size, ["set_id", "x_level", end], "left")
     return edges.withColumn("h", F.col("hx") + F.coalesce("hy", F.lit(0)))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import unit
 from themeloom.operators.points import keyed
-from themeloom.operators.skew import attach, top_per_group
+from themeloom.operators.skew import attach, meet, top_per_group
 from themeloom.session import cut
 
 MAX_PIVOTS = 1024
@@ -175,7 +175,7 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
         first = cut(first)
         limit = first.groupBy("set_id", "point_id").agg(
             F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
-        away = _other_cells(placed.where("n_cells > 1").join(limit, ["set_id", "point_id"], "left"), cells.centres)
+        away = _other_cells(meet(placed.where("n_cells > 1"), limit, ["set_id", "point_id"], "left"), cells.centres)
         away = attach(away, cells.cells, ["set_id", "cell"], row_bytes=32, spread=F.col("point_id"))
         away = (away.where(F.col("gap") - F.col("radius") <= F.col("bound") + SLACK)
                 .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
@@ -223,13 +223,13 @@ def document_neighbours(vectors: DataFrame, points: DataFrame, edges: DataFrame,
     inside = points.select("set_id", "point_id", F.explode("members").alias("doc"),
                            F.lit(0.0).alias("dist"))
     hosts = points.select("set_id", F.col("point_id").alias("nbr_id"), "members")
-    outside = (edges.select("set_id", "point_id", "nbr_id", "dist").join(hosts, ["set_id", "nbr_id"])
+    outside = (meet(edges.select("set_id", "point_id", "nbr_id", "dist"), hosts, ["set_id", "nbr_id"])
                .select("set_id", "point_id", F.explode("members").alias("doc"), "dist"))
     near = top_per_group(inside.unionByName(outside), ["set_id", "point_id"],
                          [F.round("dist", 9), F.col("doc")], k + 1)
     lists = near.groupBy("set_id", "point_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "doc", "dist"))).alias("near"))
-    lists = points.select("set_id", "point_id", "key").join(lists, ["set_id", "point_id"])
+    lists = meet(points.select("set_id", "point_id", "key"), lists, ["set_id", "point_id"])
     docs = attach(keyed(vectors).drop("vector"), lists.select("set_id", "key", "near"),
                   ["set_id", "key"], row_bytes=64 + 24 * k, spread=F.col("doc_id"))
     mine = F.slice(F.filter("near", lambda e: e.doc != F.col("doc_id")), 1, k)

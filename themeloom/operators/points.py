@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import as_double, fingerprint
-from themeloom.operators.skew import attach, top_per_group
+from themeloom.operators.skew import attach, meet, top_per_group
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def distinct_points(vectors: DataFrame, keep: int = 1) -> DataFrame:
         return points.withColumn("members", F.array("point_id"))
     firsts = top_per_group(k.select(*keys, "doc_id"), keys, [F.col("doc_id")], keep)
     members = firsts.groupBy(*keys).agg(F.sort_array(F.collect_list("doc_id")).alias("members"))
-    return points.join(members, keys)
+    return meet(points, members, keys)
 
 
 def to_documents(vectors: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,18 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 16 << 20
+# A broadcast row takes about so many times its values: the driver holds keys, row headers and slots as well.
+HELD = 4
 SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
-    """True if ``df`` holds at most ``BROADCAST_BYTES`` at ``row_bytes`` a row.
+    """True if a broadcast of ``df`` takes at most ``BROADCAST_BYTES``, with values of ``row_bytes`` a row.
 
     Counts no further than the bound, so the check itself stays small.
     """
-    bound = max(1, BROADCAST_BYTES // row_bytes)
+    bound = max(1, BROADCAST_BYTES // (HELD * row_bytes))
     return df.limit(bound + 1).count() <= bound
 
 
+def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the points, never by a broadcast.
+
+    Spark judges a stored table by its files.  Compressed ids take a twentieth of what the driver
+    would hold of them, so a table under its threshold can still be too large for the driver.
+    """
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str], *, how: str = "inner",
            row_bytes: int = 64, spread: Column | None = None, even: bool = False) -> DataFrame:
     """Join a table with a per-key table whose keys may be very uneven.
@@ -35,7 +46,7 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], *, how: str = "i
     if fits_broadcast(small, row_bytes):
         return big.join(F.broadcast(small), on, how)
     if even:
-        return big.join(small, on, how)
+        return meet(big, small, on, how)
     spread = [spread] if spread is not None else [F.col(c) for c in big.columns]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -20,7 +20,7 @@ from themeloom.operators.reduce import fuzzy_weights, neighbour_layout, pca, spe
 from themeloom.operators.relevance import bm25, ranked_cap
 from themeloom.operators.retrieve import (candidate_gates, candidates, filter_sets, lookup,
                                           topic_terms, with_message)
-from themeloom.operators.skew import attach
+from themeloom.operators.skew import attach, meet
 from themeloom.plans.questions import parse_questions
 from themeloom.profile import Profile, logical, text_columns
 from themeloom.session import cut
@@ -82,9 +82,9 @@ def cluster_vectors(vectors: DataFrame, settings: Settings = Settings()) -> Data
     forest = exact_forest(plane, cores, mutual_reachability(edges, cores))
     # The first coordinate is the one along which points differ most.
     first = z.select("set_id", "point_id", F.get("z", F.lit(0)).alias("place"))
-    labels = forest_clusters(forest, cores.join(first, ["set_id", "point_id"]), sizes)
-    per_point = points.select("set_id", "key", "point_id").join(labels, ["set_id", "point_id"])
-    per_point = per_point.join(z, ["set_id", "point_id"])
+    labels = forest_clusters(forest, meet(cores, first, ["set_id", "point_id"]), sizes)
+    per_point = meet(points.select("set_id", "key", "point_id"), labels, ["set_id", "point_id"])
+    per_point = meet(per_point, z, ["set_id", "point_id"])
     return to_documents(vectors, cut(per_point), ["cluster_id", "probability", "z"])
 
 
