@@ -1,7 +1,8 @@
 """Exact k nearest neighbours by pivot cells.
 
 Every vector belongs to the cell of its nearest pivot; cells are hashed into
-blocks of bounded size.  A vector first meets the blocks of its own cell, which
+blocks of bounded size, so large that a vector travels to few of them, and compared
+a tile at a time.  A vector first meets the blocks of its own cell, which
 bounds how far its k-th neighbour can be, and then only those other cells that
 the triangle inequality and the bisecting plane cannot rule out.  No candidate
 that could be a neighbour is skipped.
@@ -25,6 +26,10 @@ from themeloom.session import cut
 
 MAX_PIVOTS = 1024
 DIRECT = 16384
+# Values of the vectors of one block at most; distances held at once; rows handed on at once.
+BLOCK_VALUES = 1 << 21
+TILE = 1 << 21
+HANDED = 8192
 SLACK = 1e-9
 
 
@@ -81,27 +86,37 @@ def _meet(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
     def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"set_id": [], "point_id": [], "nbr_id": [], "dist": []})
-        q, x = _matrix(left["vec"]), _matrix(right["host_vec"])
-        qid, xid = left["point_id"].to_numpy(), right["host_id"].to_numpy()
-        d = _squared(q, x)
-        d[qid[:, None] == xid[None, :]] = np.inf
-        m = min(k, len(xid))
-        # All members that may be as near as the k-th, within what rounding can do: ties are settled by id below.
-        kth = np.partition(d, m - 1, axis=1)[:, m - 1]
-        around = x - x.mean(0)
-        scale = (around * around).sum(1).max() + ((q - x.mean(0)) ** 2).sum(1)
-        far = kth + 1e-12 * scale + 3e-9 * np.sqrt(np.where(np.isfinite(kth), kth, 0.0)) + 1e-15
-        rows, cols = np.nonzero((d <= far[:, None]) & np.isfinite(d))
-        exact = np.empty(len(rows))
-        for i in range(0, len(rows), 65536):
-            gap = q[rows[i:i + 65536]] - x[cols[i:i + 65536]]
-            exact[i:i + 65536] = np.sqrt((gap * gap).sum(1))
-        order = np.lexsort((xid[cols], np.round(exact, 9), rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        best = place < m
-        return pd.DataFrame({"set_id": key[0], "point_id": qid[rows[best]], "nbr_id": xid[cols[best]],
-                             "dist": exact[best]})
+        xid, x = right["host_id"].to_numpy(), _matrix(right["host_vec"])
+        qid, all_q = left["point_id"].to_numpy(), _matrix(left["vec"])
+        # About the members' centre, so that little cancels when all values lie far from the origin.
+        centre = x.mean(0)
+        around = x - centre
+        norm, m = (around * around).sum(1), min(k, len(xid))
+        step, found = max(1, TILE // len(x)), []
+        for at in range(0, len(qid), step):
+            q, names = all_q[at:at + step], qid[at:at + step]
+            own = q - centre
+            d = own @ around.T
+            d *= -2.0
+            own = (own * own).sum(1)
+            d += own[:, None]
+            d += norm
+            np.maximum(d, 0.0, out=d)
+            d[names[:, None] == xid] = np.inf
+            # All members that may be as near as the k-th, within what rounding can do: ties are settled by id below.
+            kth = np.partition(d, m - 1, axis=1)[:, m - 1]
+            far = kth + 1e-12 * (norm.max() + own) + 3e-9 * np.sqrt(np.where(np.isfinite(kth), kth, 0.0)) + 1e-15
+            rows, cols = np.nonzero((d <= far[:, None]) & np.isfinite(d))
+            exact = np.empty(len(rows))
+            for i in range(0, len(rows), 65536):
+                gap = q[rows[i:i + 65536]] - x[cols[i:i + 65536]]
+                exact[i:i + 65536] = np.sqrt((gap * gap).sum(1))
+            order = np.lexsort((xid[cols], np.round(exact, 9), rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
+            found.append((names[rows[best]], xid[cols[best]], exact[best]))
+        point, near, dist = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"set_id": key[0], "point_id": point, "nbr_id": near, "dist": dist})
 
     return (visits.select(*keys, "point_id", "vec").groupBy(*keys)
             .cogroup(hosts.groupBy(*[f"host_{c}" for c in keys]))
@@ -123,14 +138,20 @@ class Blocks:
     centres: np.ndarray
 
 
-def into_blocks(points: DataFrame, block: int | None = None, pivots: int | None = None) -> Blocks:
-    """Deal ``set_id, point_id, vector`` to pivot cells and those to hashed blocks of about ``block`` rows."""
-    counts = cut(points.groupBy("set_id").agg(F.count("*").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+def into_blocks(points: DataFrame, block: int | None = None, pivots: int | None = None, *, wide: bool = False) -> Blocks:
+    """Deal ``set_id, point_id, vector`` to pivot cells and those to hashed blocks of about ``block`` rows.
+
+    ``wide`` blocks have ``block`` rows at least, and a sixteenth of all points if ``BLOCK_VALUES``
+    allows it: every vector is sent to each block it meets, so their number must not grow with the points.
+    """
+    counts = cut(points.groupBy("set_id").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")))
+    total, dim = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).head()
+    if wide:
+        block = max(block or 256, min(BLOCK_VALUES // max(dim, 1), math.ceil(total / 16)))
     block = block or min(2048, max(256, math.ceil(total / 32)))
     # A set of few points is one cell; a larger one gets cells in proportion.
     n_cells = F.lit(pivots) if pivots else F.when(F.col("n") <= DIRECT, 1).otherwise(
-        F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / (4 * block))))
+        F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / (block if wide else 4 * block))))
     counts = counts.select("set_id", n_cells.cast("int").alias("n_cells"))
     n_pivots = counts.agg(F.coalesce(F.max("n_cells"), F.lit(1))).head()[0]
     slim = attach(points.select("set_id", "point_id", F.col("vector").alias("vec")), counts, ["set_id"],
@@ -165,7 +186,7 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
         # A zero vector has distance one to all others: it gets an axis of its own.
         zero = F.when(F.exists("vector", lambda x: x != 0), F.lit(0.0)).otherwise(F.lit(1.0))
         points = points.withColumn("vector", F.concat(unit(F.col("vector")), F.array(zero)))
-    cells = into_blocks(points, block, pivots)
+    cells = into_blocks(points, block, pivots, wide=True)
     placed, n_pivots = cells.placed, len(cells.centres)
     own = placed.select("set_id", "point_id", "vec", "cell", F.col("cell").alias("home_cell"),
                         F.col("sub").alias("home_sub"),
@@ -202,12 +223,15 @@ def _other_cells(located: DataFrame, centres: np.ndarray) -> DataFrame:
             open_ = plane <= bound[:, None] + SLACK
             open_ &= np.arange(len(centres))[None, :] < pdf["n_cells"].to_numpy()[:, None]
             open_[rows, mine] = False
-            i, j = np.nonzero(open_)
-            yield pd.DataFrame({
-                "set_id": pdf["set_id"].to_numpy()[i], "point_id": pdf["point_id"].to_numpy()[i],
-                "vec": pdf["vec"].to_numpy()[i], "home_cell": mine[i],
-                "home_sub": pdf["sub"].to_numpy()[i], "cell": j.astype("int32"),
-                "gap": np.sqrt(d[i, j]), "bound": bound[i]})
+            visits = np.nonzero(open_)
+            # A point may visit every cell: its vector goes out with a bounded number of visits at a time.
+            for at in range(0, len(visits[0]), HANDED):
+                i, j = (v[at:at + HANDED] for v in visits)
+                yield pd.DataFrame({
+                    "set_id": pdf["set_id"].to_numpy()[i], "point_id": pdf["point_id"].to_numpy()[i],
+                    "vec": pdf["vec"].to_numpy()[i], "home_cell": mine[i],
+                    "home_sub": pdf["sub"].to_numpy()[i], "cell": j.astype("int32"),
+                    "gap": np.sqrt(d[i, j]), "bound": bound[i]})
 
     return located.select("set_id", "point_id", "vec", "n_cells", "cell", "sub", "bound").mapInPandas(
         choose, "set_id long, point_id long, vec array<double>, home_cell int, home_sub int, "
