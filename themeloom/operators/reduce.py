@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import unit
-from themeloom.operators.skew import SALTS, attach, top_per_group
+from themeloom.operators.skew import SALTS, attach, meet, top_per_group
 from themeloom.session import cut
 
 # Sets whose sums a partition holds at once, and rows projected together.
@@ -193,7 +193,7 @@ def spectral(weights: DataFrame, n_components: int = 20, rounds: int = 12,
     degree = weights.groupBy("set_id", "point_id").agg(F.sum("weight").alias("d"))
     degree = cut(degree)
     other = degree.select("set_id", F.col("point_id").alias("nbr_id"), F.col("d").alias("nd"))
-    scaled = cut(weights.join(degree, ["set_id", "point_id"]).join(other, ["set_id", "nbr_id"])
+    scaled = cut(meet(meet(weights, degree, ["set_id", "point_id"]), other, ["set_id", "nbr_id"])
                  .select("set_id", "point_id", "nbr_id",
                          (F.col("weight") / F.sqrt(F.col("d") * F.col("nd"))).alias("a")))
     start = F.array(F.sqrt("d"), *[F.get(_noise(k - 1), i) for i in range(k - 1)])
@@ -201,10 +201,10 @@ def spectral(weights: DataFrame, n_components: int = 20, rounds: int = 12,
     z = cut(z)
     for turn in range(math.ceil(rounds / every) * every):
         there = z.select("set_id", F.col("point_id").alias("nbr_id"), "z")
-        pulled = scaled.join(there, ["set_id", "nbr_id"]).groupBy("set_id", "point_id").agg(
+        pulled = meet(scaled, there, ["set_id", "nbr_id"]).groupBy("set_id", "point_id").agg(
             *[F.sum(F.col("a") * F.get("z", i)).alias(f"s{i}") for i in range(k)])
         # (A + I) / 2 keeps the order of eigenvalues and makes them positive.
-        mixed = pulled.join(z, ["set_id", "point_id"]).select(
+        mixed = meet(pulled, z, ["set_id", "point_id"]).select(
             "set_id", "point_id", "d",
             F.array(*[(F.col(f"s{i}") + F.get("z", i)) / 2 for i in range(k)]).alias("z"))
         z = cut(mixed)
@@ -251,7 +251,7 @@ def neighbour_layout(weights: DataFrame, n_components: int = 20, *, min_dist: fl
             F.flatten(F.collect_list("z")).alias("pool"))
         here = z.select("set_id", "point_id", F.col("z").alias("x"))
         there = z.select("set_id", F.col("point_id").alias("nbr_id"), F.col("z").alias("y"))
-        pairs = weights.join(here, ["set_id", "point_id"]).join(there, ["set_id", "nbr_id"])
+        pairs = meet(meet(weights, here, ["set_id", "point_id"]), there, ["set_id", "nbr_id"])
         sq = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
         pairs = pairs.withColumn("sq", sq)
         power = F.pow(F.greatest("sq", F.lit(1e-12)), F.lit(b - 1))
@@ -259,7 +259,7 @@ def neighbour_layout(weights: DataFrame, n_components: int = 20, *, min_dist: fl
         moved = pairs.withColumn("pull", pull).groupBy("set_id", "point_id").agg(
             F.sum("pull").alias("total"),
             *[F.sum(F.col("pull") * F.get("y", i)).alias(f"t{i}") for i in range(n_components)])
-        z = attach(moved.join(here, ["set_id", "point_id"]), cut(drawn), ["set_id"],
+        z = attach(meet(moved, here, ["set_id", "point_id"]), cut(drawn), ["set_id"],
                    row_bytes=8 * n_components * repel_sample, spread=F.col("point_id"))
         z = cut(_push(z, n_components, a, b, rate))
     return z
