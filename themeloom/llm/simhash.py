@@ -184,9 +184,12 @@ def one_per_class(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
     held = carried(docs)
     able, text = F.col("doc_id").isNotNull(), F.coalesce("text", F.lit(""))
     first = classes(held.where(able), size, bits).where("doc_id = component_id").select("doc_id").distinct()
-    named = held.where(able).join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64(text))
-    chosen = named.groupBy("doc_id").agg(F.min_by("_h", text).alias("_h"))
-    kept = named.join(chosen, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
+    # Only ids of several rows are looked at for their texts, so that whole rows are dealt out by id once.
+    twice = cut(held.where(able).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    chosen = cut(held.where(able).join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.xxhash64(text), text).alias("_best")))
+    named = held.where(able).select("doc", "doc_id", F.xxhash64(text).alias("_h")).join(first, "doc_id", "left_semi")
+    kept = named.join(chosen, "doc_id", "left").where("_best is null or _h = _best").select("doc", "doc_id").dropDuplicates(["doc_id"])
     return kept.select("doc").union(held.where(~able).select("doc")).select("doc.*")
 
 
