@@ -1,11 +1,13 @@
 """What must not grow with the points: broadcasts, and the blocks a vector is sent to."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from themeloom.llm import simhash
 from themeloom.operators.knn import into_blocks
 from themeloom.operators.reach import core_distances, mutual_reachability
 from themeloom.operators.skew import fits_broadcast
-from themeloom.session import cut
+from themeloom.session import TASK_ROWS, cut, spread
 
 
 def _plan(df):
@@ -31,3 +33,33 @@ def test_number_of_blocks_does_not_grow_with_the_points(spark):
         points = cut(spark.range(n).selectExpr("0L AS set_id", "id AS point_id", "array(CAST(id AS DOUBLE), rand(7)) AS vector"))
         subs = into_blocks(points, 8, 2, wide=True).cells.agg(F.sum("subs")).first()[0]
         assert subs <= 20
+
+
+def test_tasks_over_short_rows_are_bounded(spark):
+    table = cut(spark.range(40).coalesce(1))
+    assert spread(table, 10 * TASK_ROWS).rdd.getNumPartitions() == 10
+    assert spread(table, 10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_layouts_do_not_broadcast_coordinates(spark):
+    from themeloom.operators import reduce
+
+    seen = []
+    weights = cut(spark.range(60).selectExpr("0L AS set_id", "id AS point_id", "(id + 1) % 60 AS nbr_id", "1.0D AS weight"))
+    both = cut(weights.unionByName(weights.selectExpr("set_id", "nbr_id AS point_id", "point_id AS nbr_id", "weight")))
+
+    def watched(df):
+        seen.append(_plan(df))
+        return cut(df)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(reduce, "cut", watched)
+        assert reduce.spectral(both, 2, rounds=4).count() == 60
+    joined = [p for p in seen if "s0#" in p]
+    assert joined and not any("BroadcastHashJoin" in p for p in joined)
+
+
+def test_one_row_an_id_whatever_its_texts(spark):
+    rows = [(1, "b b b b b"), (1, "a a a a a"), (1, "a a a a a"), (2, "c d e f g"), (3, "c d e f g"), (None, "x"), (None, "x")]
+    kept = simhash.one_per_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(kept.collect(), key=str) == sorted([(1, "a a a a a"), (2, "c d e f g"), (None, "x"), (None, "x")], key=str)
