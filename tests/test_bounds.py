@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from themeloom.llm import simhash
 from themeloom.operators.knn import into_blocks
 from themeloom.operators.reach import core_distances, mutual_reachability
-from themeloom.operators.skew import fits_broadcast
+from themeloom.operators import skew
+from themeloom.operators.skew import attach, fits_broadcast
 from themeloom.session import TASK_ROWS, cut, spread
 
 
@@ -63,3 +64,10 @@ def test_one_row_an_id_whatever_its_texts(spark):
     rows = [(1, "b b b b b"), (1, "a a a a a"), (1, "a a a a a"), (2, "c d e f g"), (3, "c d e f g"), (None, "x"), (None, "x")]
     kept = simhash.one_per_class(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(kept.collect(), key=str) == sorted([(1, "a a a a a"), (2, "c d e f g"), (None, "x"), (None, "x")], key=str)
+
+
+def test_salted_copies_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 64)
+    rows = cut(spark.range(500).selectExpr("id AS k", "id AS v"))
+    out = attach(rows, rows.withColumnRenamed("v", "w"), ["k"], row_bytes=16)
+    assert "Broadcast" not in _plan(out) and out.where("v = w").count() == 500

@@ -50,7 +50,8 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], *, how: str = "i
     spread = [spread] if spread is not None else [F.col(c) for c in big.columns]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    # Spark judges the copies by the rows they were made of, and would broadcast all of them.
+    return meet(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
