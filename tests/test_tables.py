@@ -185,6 +185,31 @@ def test_splits_are_exact_and_repeatable(spark):
     assert n["z", "eval"] in (2, 3)
 
 
+def test_split_of_several_rows_an_id(spark):
+    ids = spark.range(1003).select("id")
+    rows = ids.select("id", F.explode(F.sequence(F.lit(0), F.col("id") % 3)).alias("pos"))
+    for ratio in (0.0, 0.37, 0.8, 1.0):
+        want = {r["id"]: r["split"] for r in L.ratio_split(ids, "id", ratio).collect()}
+        got = L.ratio_split(rows, "id", ratio, together=True)
+        assert all(want[r["id"]] == r["split"] for r in got.collect()) and got.count() == rows.count()
+        # Rows are not joined with the ids.
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_tagged_in_their_row(spark):
+    from check import SF
+    from themeloom.plans.views import tagged_words
+
+    plan = tagged_words(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" in plan
+
+
+def test_word_shapes(spark):
+    t = spark.createDataFrame([(1, 0, "Été2011"), (1, 1, "May-5"), (1, 2, "٣x")], "id long, pos int, word string")
+    got = [next(f for f in r["features_text"] if f.startswith("s=")) for r in L._token_features(t, "id").orderBy("pos").collect()]
+    assert got == ["s=aaa9999", "s=aaa-9", "s=٣a"]
+
+
 def test_intent_model(spark):
     rows = [(i, f"top trends for item {i}", "trend_analysis") for i in range(20)] + [
         (100 + i, f"hello there {i}", "greeting") for i in range(20)]

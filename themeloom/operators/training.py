@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from string import ascii_lowercase, digits
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, StringIndexer
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import blank_tokens, words
 from themeloom.operators.skew import attach
+from themeloom.session import cut, dealt
 
 SPLIT_BUCKETS = 4096
 
@@ -31,7 +35,7 @@ def token_examples(rows: DataFrame, id_column: str, *, strict: bool = False) ->
     if strict:
         first = bad.select(id_column, F.size("tokens").alias("t"), F.size("label_list").alias("l")).head()
         if first is not None:
-            raise ValueError(f"example {first[0]} has {first['t']} tokens, but {first['l']} labels")
+            raise ValueError(f"row {first[0]} has {first['t']} tokens, but {first['l']} labels")
     good = both.where("aligned").select(id_column, "tokens", F.col("label_list").alias("labels"))
     return good, bad.select(id_column, "text", "labels")
 
@@ -61,9 +65,8 @@ def _cut_split(rows: DataFrame, keys: list[str], id_column: str, wanted: DataFra
     Counts per hash bucket locate the cut, and only the bucket it falls into is
     ranked, so a group of any size is never sorted as a whole.
     """
-    draw = F.xxhash64(F.lit(seed), F.col(id_column))
-    hashed = rows.withColumn("_h", draw).withColumn(
-        "_bucket", F.pmod(F.shiftrightunsigned("_h", 32), F.lit(SPLIT_BUCKETS)).cast("int"))
+    draw, bucket = _draw(id_column, seed)
+    hashed = rows.withColumns({"_h": draw, "_bucket": bucket})
     counts = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -80,8 +83,41 @@ def _cut_split(rows: DataFrame, keys: list[str], id_column: str, wanted: DataFra
     return rest.unionByName(edge.drop("_rank")).drop("_h", "_bucket", "_place", "_take")
 
 
-def ratio_split(rows: DataFrame, id_column: str, ratio: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add ``split``: a seeded shuffle cut at exactly floor(n * ratio) rows."""
+def _draw(id_column: str, seed: int) -> tuple[Column, Column]:
+    """Hash of an id and the bucket it falls into."""
+    h = F.xxhash64(F.lit(seed), F.col(id_column))
+    return h, F.pmod(F.shiftrightunsigned(h, 32), F.lit(SPLIT_BUCKETS)).cast("int")
+
+
+def _split_together(rows: DataFrame, id_column: str, ratio: float, seed: int) -> DataFrame:
+    """Mark rows by their id: a train id is at most the last one in order of bucket, hash and id.
+
+    That id is found among the distinct ids, so that the rows themselves are not joined with them.
+    """
+    h, bucket = _draw(id_column, seed)
+    ids = cut(rows.select(id_column).distinct())
+    counts = dict(ids.groupBy(bucket.alias("b")).count().collect())
+    take = math.floor(sum(counts.values()) * ratio)
+    place = -1
+    while take > 0:
+        place += 1
+        take -= counts.get(place, 0)
+    train = F.lit(False)
+    if place >= 0:
+        rank = F.row_number().over(Window.orderBy("h", id_column))
+        inside = ids.where(bucket == place).select(h.alias("h"), id_column)
+        last = inside.withColumn("rank", rank).where(F.col("rank") == counts[place] + take).head()
+        train = (bucket < place) | ((bucket == place) & ((h < last["h"]) | ((h == last["h"]) & (F.col(id_column) <= last[id_column]))))
+    return rows.withColumn("split", F.when(train, "train").otherwise("eval"))
+
+
+def ratio_split(rows: DataFrame, id_column: str, ratio: float = 0.8, seed: int = 42, *, together: bool = False) -> DataFrame:
+    """Add ``split``: a seeded shuffle cut at exactly floor(n * ratio) rows.
+
+    ``together`` counts ids, not rows: all rows of an id go to the same part.
+    """
+    if together:
+        return _split_together(rows, id_column, ratio, seed)
     whole = rows.withColumn("_all", F.lit(0))
     wanted = whole.groupBy("_all").agg(F.floor(F.count("*") * F.lit(ratio)).alias("n_train"))
     return _cut_split(whole, ["_all"], id_column, wanted, seed).drop("_all")
@@ -157,9 +193,11 @@ def best_label(scores: Column, allowed: list[str] | None = None) -> Column:
 
 def _token_features(tokens: DataFrame, id_column: str) -> DataFrame:
     w = Window.partitionBy(id_column).orderBy("pos")
-    word = F.lower("word")
-    shape = F.regexp_replace(F.regexp_replace(word, "[0-9]", "9"), r"\p{L}", "a")
-    t = tokens.withColumns({"_w": word, "_s": shape})
+    word = F.col("_w")
+    # Plain letters and digits by a table, the pattern only where a word has other characters.
+    plain = F.translate(word, ascii_lowercase + digits, "a" * 26 + "9" * 10)
+    shape = F.when(F.octet_length(word) == F.length(word), plain).otherwise(F.regexp_replace(plain, r"\p{L}", "a"))
+    t = tokens.withColumn("_w", F.lower("word")).withColumn("_s", shape)
     t = t.withColumns({"_p": F.lag("_w").over(w), "_n": F.lead("_w").over(w)})
     feats = F.array(F.concat(F.lit("w="), "_w"), F.concat(F.lit("s="), "_s"),
                     F.concat(F.lit("p="), F.coalesce("_p", F.lit("^"))),
@@ -173,14 +211,13 @@ def fit_tagger(tokens: DataFrame, id_column: str, *, features: int = 1 << 13, ro
 
     ``tokens`` has ``id, pos, word, tag``.
     """
-    model = Pipeline(stages=[
-        StringIndexer(inputCol="tag", outputCol="tag_id", stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
-        HashingTF(inputCol="features_text", outputCol="_tf", numFeatures=features, binary=True),
-        LogisticRegression(featuresCol="_tf", labelCol="tag_id", maxIter=rounds, regParam=0.001,
-                           family="multinomial", predictionCol="tag_pred"),
-    ])
-    return model.fit(_token_features(tokens, id_column))
+    names = StringIndexer(inputCol="tag", outputCol="tag_id", stringOrderType="alphabetAsc", handleInvalid="keep").fit(tokens)
+    hashing = HashingTF(inputCol="features_text", outputCol="_tf", numFeatures=features, binary=True)
+    model = LogisticRegression(featuresCol="_tf", labelCol="tag_id", maxIter=rounds, regParam=0.001,
+                               family="multinomial", predictionCol="tag_pred")
+    # The model reads its examples several times: stored, neighbours are looked up and hashed once.
+    examples = cut(names.transform(hashing.transform(_token_features(tokens, id_column))).select("_tf", "tag_id"))
+    return PipelineModel([names, hashing, model.fit(examples)])
 
 
 def tag_tokens(tokens: DataFrame, id_column: str, model: PipelineModel) -> DataFrame:
