@@ -254,11 +254,14 @@ def collapse_spans(tokens: DataFrame, id_column: str, tag: str = "tag") -> DataF
 def entity_f1(gold: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
     """Micro scores over exact spans: one row ``tp, fp, fn, precision, recall, f1``."""
     key = [id_column, "start", "end", "entity_group"]
-    g = gold.select(*key).distinct().withColumn("_g", F.lit(1))
-    p = found.select(*key).distinct().withColumn("_p", F.lit(1))
-    both = g.join(p, key, "full_outer").agg(
-        F.count_if(F.col("_g").isNotNull() & F.col("_p").isNotNull()).alias("tp"),
-        F.count_if(F.col("_g").isNull()).alias("fp"), F.count_if(F.col("_p").isNull()).alias("fn"))
+    # Spans without an id are nobody's: they meet no others.
+    sides = [rows.select(*key, F.lit(side).alias("_side"), F.when(F.col(id_column).isNull(), side).alias("_alone"))
+             for rows, side in ((gold, 1), (found, 2))]
+    # Both sides are stored, so that their number says how many tasks compare them.
+    met = dealt(cut(sides[0].unionByName(sides[1])), *key).groupBy(*key, "_alone").agg(
+        F.min("_side").alias("_first"), F.max("_side").alias("_last"))
+    both = met.agg(F.count_if((F.col("_first") == 1) & (F.col("_last") == 2)).alias("tp"),
+                   F.count_if(F.col("_first") == 2).alias("fp"), F.count_if(F.col("_last") == 1).alias("fn"))
     tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
     zero = F.lit(0.0)
     return both.select("tp", "fp", "fn",
