@@ -166,6 +166,19 @@ def test_label_edge_cases(spark):
     assert got == {0: "(no text)", 1: "(no vocabulary)", 2: "green, cup, green cup, green tea, tea"}
 
 
+def test_labels_read_their_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(0, i % 2, i, f"green tea number {i % 3}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "set_id long, cluster_id long, doc_id long, text string")
+    got = keyword_labels(docs.withColumn("text", F.udf(seen)("text")), 2).collect()
+    assert len(got) == 2 and read.value == 12
+
+
 def test_alignment_and_strict(spark):
     rows = spark.createDataFrame([(1, " a  b ", "O O"), (2, "a b", "O")], "id long, text string, labels string")
     good, bad = L.token_examples(rows, "id")

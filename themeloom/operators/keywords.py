@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import usable_text, words
-from themeloom.session import cut
+from themeloom.session import cut, dealt
 
 NO_TEXT = "(no text)"
 NO_VOCABULARY = "(no vocabulary)"
+# Texts whose terms a task counts at once.
+TASK_TEXTS = 1024
 
 # Spark's default English stop words, so that no session is needed
 # to name them.
@@ -51,10 +53,12 @@ def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, *, max
     is no single task.
     """
     used = docs if max_docs is None else docs.where(F.col("rank") <= max_docs)
-    used = used.withColumn("text", usable_text(F.col("text"))).where("text IS NOT NULL")
+    # Stored, the texts are looked up once; dealt by their number, a task's terms stay few.
+    texts = cut(used.select("set_id", "cluster_id", "doc_id", usable_text(F.col("text")).alias("text")).where("text IS NOT NULL"))
+    used = dealt(texts, "set_id", "cluster_id", "doc_id", rows=TASK_TEXTS)
     used = used.withColumn("_kept", telling_words(F.col("text"), stop_words))
     rows = used.select("set_id", "cluster_id", "doc_id", F.explode(words_and_pairs(F.col("_kept"))).alias("term"))
-    # Counts and gains are each read twice: stored, texts are taken apart once.
+    # Counts are read twice: stored, texts are taken apart once.
     tf = cut(rows.groupBy("set_id", "cluster_id", "doc_id", "term").agg(F.count("*").alias("tf")))
     cluster = ["set_id", "cluster_id"]
     terms = tf.groupBy(*cluster, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
@@ -62,12 +66,13 @@ def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, *, max
         by_total = Window.partitionBy(*cluster).orderBy(F.col("total").desc(), "term")
         terms = terms.withColumn("place", F.row_number().over(by_total)).where(F.col("place") <= max_terms)
     tf = tf.join(terms.select(*cluster, "term", "df"), [*cluster, "term"])
-    n = used.groupBy(*cluster).agg(F.count("*").alias("n"))
+    n = texts.groupBy(*cluster).agg(F.count("*").alias("n"))
     tf = tf.join(n, cluster)
     gain = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    tf = cut(tf.select(*cluster, "doc_id", "term", gain.alias("gain")))
-    length = tf.groupBy(*cluster, "doc_id").agg(F.sqrt(F.sum(F.col("gain") * F.col("gain"))).alias("length"))
-    tf = tf.join(length, [*cluster, "doc_id"])
+    tf = tf.select(*cluster, "doc_id", "term", gain.alias("gain"))
+    # A document's own terms meet in one place, and once.
+    length = F.sqrt(F.sum(F.col("gain") * F.col("gain")).over(Window.partitionBy(*cluster, "doc_id")))
+    tf = tf.withColumn("length", length)
     return tf.groupBy(*cluster, "term").agg(F.sum(F.col("gain") / F.col("length")).alias("weight"))
 
 
@@ -82,6 +87,8 @@ def cluster_terms(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STO
 def keyword_labels(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS, *,
                    max_docs: int | None = None, max_terms: int | None = None) -> DataFrame:
     """``set_id, cluster_id, label``: heaviest terms joined by a comma."""
+    # Read for the terms and for the number of texts.
+    docs = cut(docs.select(*[c for c in docs.columns if c in ("set_id", "cluster_id", "doc_id", "rank", "text")]))
     ranked = cluster_terms(docs, top, stop_words, max_docs=max_docs, max_terms=max_terms).groupBy("set_id", "cluster_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))),
                                  lambda e: e.term), ", ").alias("terms"))
