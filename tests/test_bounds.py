@@ -1,10 +1,14 @@
 """What must not grow with the points: broadcasts, and the blocks a vector is sent to."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from themeloom.llm import simhash
-from themeloom.operators.knn import into_blocks
+from themeloom.operators.knn import into_blocks, near_members
 from themeloom.operators.reach import core_distances, mutual_reachability
 from themeloom.operators import skew
 from themeloom.operators.skew import attach, fits_broadcast
@@ -71,3 +75,41 @@ def test_salted_copies_are_not_broadcast(spark, monkeypatch):
     rows = cut(spark.range(500).selectExpr("id AS k", "id AS v"))
     out = attach(rows, rows.withColumnRenamed("v", "w"), ["k"], row_bytes=16)
     assert "Broadcast" not in _plan(out) and out.where("v = w").count() == 500
+
+
+def test_two_blocks_are_compared_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(4000, 256)), 2)
+    left = pd.DataFrame({"point_id": np.arange(2000), "vec": list(x[:2000]), "bound": [None] * 2000})
+    right = pd.DataFrame({"host_id": np.arange(1000, 4000)[::-1], "host_vec": list(x[1000:][::-1])})
+    tracemalloc.start()
+    point, near, dist = near_members(left, right, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    for i in (0, 999, 1000, 1999):
+        d = np.round(np.sqrt(((x[i] - x[1000:]) ** 2).sum(1)), 9)
+        want = [j for j in (np.lexsort((np.arange(3000), d)) + 1000).tolist() if j != i][:40]
+        assert near[point == i].tolist() == want and np.allclose(dist[point == i], d[np.array(want) - 1000], atol=1e-8)
+    close = left.assign(bound=np.where(np.arange(2000) % 2, dist.reshape(2000, 40)[:, 2], np.inf))
+    point_2, near_2, _ = near_members(close, right, 40)
+    kept = (point % 2 == 0) | (np.arange(len(point)) % 40 < 3)
+    assert point_2.tolist() == point[kept].tolist() and near_2.tolist() == near[kept].tolist()
+
+
+def test_members_are_sent_as_often_as_their_visitors_fill_blocks(spark, monkeypatch):
+    """Not once for each home block that has a visitor."""
+    from themeloom.operators import knn as module
+
+    taken, stack = spark.sparkContext.accumulator(0), module._matrix
+
+    def counted(column):
+        taken.add(len(column))
+        return stack(column)
+
+    monkeypatch.setattr(module, "_matrix", counted)
+    n = 3000
+    points = cut(spark.range(n).selectExpr("0L AS set_id", "id AS point_id", "array(CAST(id AS DOUBLE), 0.5D) AS vector"))
+    got = module.knn(points, 2, block=40, pivots=10).orderBy("point_id", "rank").collect()
+    assert [r["nbr_id"] for r in got] == [j for i in range(n) for j in sorted(range(max(0, i - 3), min(n, i + 4)), key=lambda j: (abs(i - j), j))[1:3]]
+    assert taken.value < 9.5 * n

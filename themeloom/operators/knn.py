@@ -26,10 +26,9 @@ from themeloom.session import cut
 
 MAX_PIVOTS = 1024
 DIRECT = 16384
-# Values of the vectors of one block at most; distances held at once; rows handed on at once.
+# Values of the vectors of one block at most; distances held at once.
 BLOCK_VALUES = 1 << 21
-TILE = 1 << 21
-HANDED = 8192
+TILE = 1 << 20
 SLACK = 1e-9
 
 
@@ -54,71 +53,100 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def _tiles(rows: int, width: int) -> Iterator[slice]:
+    """Slices of so many rows that ``TILE`` values of ``width`` a row are held at once."""
+    step = max(1, TILE // max(width, 1))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
 def _into_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest of the first ``n_cells`` pivots of every point."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            d = _squared(_matrix(pdf["vec"]), pivots)
-            d[np.arange(len(pivots))[None, :] >= pdf["n_cells"].to_numpy()[:, None]] = np.inf
-            cell = d.argmin(1)
-            yield pdf.assign(cell=cell.astype("int32"),
-                             to_pivot=np.sqrt(d[np.arange(len(d)), cell]))
+            for part in _tiles(len(pdf), len(pivots)):
+                some = pdf.iloc[part]
+                d = _squared(_matrix(some["vec"]), pivots)
+                d[np.arange(len(pivots))[None, :] >= some["n_cells"].to_numpy()[:, None]] = np.inf
+                cell = d.argmin(1)
+                yield some.assign(cell=cell.astype("int32"),
+                                  to_pivot=np.sqrt(d[np.arange(len(d)), cell]))
 
     return points.mapInPandas(assign, "set_id long, point_id long, vec array<double>, n_cells int, "
                                       "cell int, to_pivot double")
 
 
-def _meet(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
+def near_members(left: pd.DataFrame, right: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of visitors, their nearest members and the distances: up to ``k`` members no farther than ``bound`` each.
+
+    ``left`` has ``point_id, vec`` and ``bound`` (null: none), ``right`` the members' ``host_id, host_vec``.
+    Beside the vectors themselves only ``TILE`` distances, or values of differences, are held at once.
+    """
+    order = np.argsort(right["host_id"].to_numpy(), kind="stable")
+    xid, x = right["host_id"].to_numpy()[order], _matrix(right["host_vec"].iloc[order])
+    qid, bound = left["point_id"].to_numpy(), left["bound"].astype("float64").fillna(np.inf).to_numpy()
+    # About the members' centre, so that little cancels when all values lie far from the origin.
+    centre = x.mean(0)
+    around = x - centre
+    norm, m, found = (around * around).sum(1), min(k, len(xid)), []
+    for part in _tiles(len(qid), len(xid)):
+        q, names = _matrix(left["vec"].iloc[part]), qid[part]
+        own = q - centre
+        d = own @ around.T
+        d *= -2.0
+        own = (own * own).sum(1)
+        d += own[:, None]
+        d += norm
+        np.maximum(d, 0.0, out=d)
+        # A point is no neighbour of itself.
+        first, last = np.searchsorted(xid, names), np.searchsorted(xid, names, "right")
+        for i in range((last - first).max()):
+            same = np.flatnonzero(first + i < last)
+            d[same, first[same] + i] = np.inf
+        # All members that may be as near as the k-th, within what rounding can do: ties are settled by id below.
+        kth = bound[part] ** 2
+        many = np.isinf(kth)
+        if not many.all():
+            many |= np.count_nonzero(d <= _about(kth, norm, own)[:, None], axis=1) > m
+        if many.any():
+            kth[many] = np.minimum(kth[many], np.partition(d if many.all() else d[many], m - 1, axis=1)[:, m - 1])
+        near = d <= _about(kth, norm, own)[:, None]
+        if np.isinf(kth).any():
+            near &= np.isfinite(d)
+        rows, cols = np.nonzero(near)
+        exact = np.empty(len(rows))
+        for some in _tiles(len(rows), 4 * x.shape[1]):
+            gap = q[rows[some]] - x[cols[some]]
+            exact[some] = np.sqrt((gap * gap).sum(1))
+        order = np.lexsort((xid[cols], np.round(exact, 9), rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
+        found.append((names[rows[best]], xid[cols[best]], exact[best]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _about(squared: np.ndarray, norm: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Squared distances with what rounding may add to them, and to distances of nine digits."""
+    return squared + 1e-12 * (norm.max() + own) + 3e-9 * np.sqrt(np.where(np.isfinite(squared), squared, 0.0)) + 1e-15
+
+
+def _meet(visits: DataFrame, hosts: DataFrame, k: int) -> DataFrame:
     """Up to k nearest members of each visited block for each visitor.
 
-    A group is one block of visitors against one block of members, so its size
+    A group is one part of a block's visitors against that block, so its size
     is bounded whatever the distribution of the data.
     """
-    keys = ["set_id", "home_cell", "home_sub", "cell", "sub"]
-    pairs = visits.select(*keys).distinct()
-    hosts = members.select("set_id", "cell", "sub", "point_id", "vec").join(
-        pairs, ["set_id", "cell", "sub"])
+    keys = ["set_id", "cell", "sub", "part"]
+    visits = visits.select(*keys, "point_id", "vec", F.col("bound").cast("double").alias("bound"))
     hosts = hosts.select(*[F.col(c).alias(f"host_{c}") for c in keys],
                          F.col("point_id").alias("host_id"), F.col("vec").alias("host_vec"))
 
     def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"set_id": [], "point_id": [], "nbr_id": [], "dist": []})
-        xid, x = right["host_id"].to_numpy(), _matrix(right["host_vec"])
-        qid, all_q = left["point_id"].to_numpy(), _matrix(left["vec"])
-        # About the members' centre, so that little cancels when all values lie far from the origin.
-        centre = x.mean(0)
-        around = x - centre
-        norm, m = (around * around).sum(1), min(k, len(xid))
-        step, found = max(1, TILE // len(x)), []
-        for at in range(0, len(qid), step):
-            q, names = all_q[at:at + step], qid[at:at + step]
-            own = q - centre
-            d = own @ around.T
-            d *= -2.0
-            own = (own * own).sum(1)
-            d += own[:, None]
-            d += norm
-            np.maximum(d, 0.0, out=d)
-            d[names[:, None] == xid] = np.inf
-            # All members that may be as near as the k-th, within what rounding can do: ties are settled by id below.
-            kth = np.partition(d, m - 1, axis=1)[:, m - 1]
-            far = kth + 1e-12 * (norm.max() + own) + 3e-9 * np.sqrt(np.where(np.isfinite(kth), kth, 0.0)) + 1e-15
-            rows, cols = np.nonzero((d <= far[:, None]) & np.isfinite(d))
-            exact = np.empty(len(rows))
-            for i in range(0, len(rows), 65536):
-                gap = q[rows[i:i + 65536]] - x[cols[i:i + 65536]]
-                exact[i:i + 65536] = np.sqrt((gap * gap).sum(1))
-            order = np.lexsort((xid[cols], np.round(exact, 9), rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
-            found.append((names[rows[best]], xid[cols[best]], exact[best]))
-        point, near, dist = (np.concatenate(c) for c in zip(*found))
-        return pd.DataFrame({"set_id": key[0], "point_id": point, "nbr_id": near, "dist": dist})
-
-    return (visits.select(*keys, "point_id", "vec").groupBy(*keys)
+        point, near, dist = near_members(left, right, k)
+        return pd.DataFrame({"set_id": np.full(len(point), key[0]), "point_id": point, "nbr_id": near, "dist": dist})
+
+    return (visits.groupBy(*keys)
             .cogroup(hosts.groupBy(*[f"host_{c}" for c in keys]))
             .applyInPandas(nearest, "set_id long, point_id long, nbr_id long, dist double"))
 
@@ -131,11 +159,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 @dataclass
 class Blocks:
     """``placed``: set_id, point_id, vec, n_cells, cell, to_pivot, subs, sub.  ``cells``: set_id, cell,
-    subs, radius.  ``centres``: the pivots; sets of fewer cells use the first of them."""
+    subs, radius.  ``centres``: the pivots; sets of fewer cells use the first of them.  ``block``: rows of a block."""
 
     placed: DataFrame
     cells: DataFrame
     centres: np.ndarray
+    block: int
 
 
 def into_blocks(points: DataFrame, block: int | None = None, pivots: int | None = None, *, wide: bool = False) -> Blocks:
@@ -171,7 +200,7 @@ def into_blocks(points: DataFrame, block: int | None = None, pivots: int | None
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("point_id"), F.col("subs")).cast("int"))
     if n_pivots > 1:
         placed = cut(placed)
-    return Blocks(placed, cells, centres)
+    return Blocks(placed, cells, centres, block)
 
 
 def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | None = None,
@@ -188,19 +217,27 @@ def knn(points: DataFrame, k: int, *, metric: str = "euclidean", block: int | No
         points = points.withColumn("vector", F.concat(unit(F.col("vector")), F.array(zero)))
     cells = into_blocks(points, block, pivots, wide=True)
     placed, n_pivots = cells.placed, len(cells.centres)
-    own = placed.select("set_id", "point_id", "vec", "cell", F.col("cell").alias("home_cell"),
-                        F.col("sub").alias("home_sub"),
-                        F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    first = _best(_meet(own, placed, k), k)
+    every = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
+    # The blocks of a cell are also the parts of the visitors that are at home in it.
+    own = placed.withColumnRenamed("sub", "part").withColumns({"sub": every, "bound": F.lit(None)})
+    first = _best(_meet(own, placed.withColumn("part", every), k), k)
     if n_pivots > 1:
         first = cut(first)
         limit = first.groupBy("set_id", "point_id").agg(
             F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
         away = _other_cells(meet(placed.where("n_cells > 1"), limit, ["set_id", "point_id"], "left"), cells.centres)
         away = attach(away, cells.cells, ["set_id", "cell"], row_bytes=32, spread=F.col("point_id"))
-        away = (away.where(F.col("gap") - F.col("radius") <= F.col("bound") + SLACK)
-                .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
-        first = _best(first.drop("rank").unionByName(_meet(away, placed, k)), k)
+        # Vectors are left behind until the visitors of every cell are known and counted.
+        away = cut(away.where(F.col("gap") - F.col("radius") <= F.col("bound") + SLACK)
+                   .select("set_id", "point_id", "cell", "subs", "bound"))
+        parts = cut(away.groupBy("set_id", "cell").agg(F.ceil(F.count("*") / cells.block).cast("int").alias("parts")))
+        # Only as many copies of a block are made as there are blocks full of visitors.
+        hosts = attach(placed, parts, ["set_id", "cell"], row_bytes=32, spread=F.col("point_id")).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        visits = attach(away, parts, ["set_id", "cell"], row_bytes=32, spread=F.col("point_id"))
+        visits = meet(visits, placed.select("set_id", "point_id", "vec"), ["set_id", "point_id"]).withColumns({
+            "sub": every, "part": F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int")})
+        first = _best(first.drop("rank").unionByName(_meet(visits, hosts, k)), k)
     if metric == "cosine":
         first = first.withColumn("dist", F.col("dist") * F.col("dist") / 2)
     return first.select("set_id", "point_id", "nbr_id", "dist", "rank")
@@ -212,30 +249,24 @@ def _other_cells(located: DataFrame, centres: np.ndarray) -> DataFrame:
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            mine = pdf["cell"].to_numpy()
-            d = _squared(_matrix(pdf["vec"]), centres)
-            rows = np.arange(len(d))
-            apart = np.maximum(between[mine], 1e-12)
-            plane = (d - d[rows, mine][:, None]) / (2 * apart)
-            bound = pdf["bound"].fillna(np.inf).to_numpy()
-            open_ = plane <= bound[:, None] + SLACK
-            open_ &= np.arange(len(centres))[None, :] < pdf["n_cells"].to_numpy()[:, None]
-            open_[rows, mine] = False
-            visits = np.nonzero(open_)
-            # A point may visit every cell: its vector goes out with a bounded number of visits at a time.
-            for at in range(0, len(visits[0]), HANDED):
-                i, j = (v[at:at + HANDED] for v in visits)
+            for part in _tiles(len(pdf), len(centres)):
+                some = pdf.iloc[part]
+                mine = some["cell"].to_numpy()
+                d = _squared(_matrix(some["vec"]), centres)
+                rows = np.arange(len(d))
+                apart = np.maximum(between[mine], 1e-12)
+                plane = (d - d[rows, mine][:, None]) / (2 * apart)
+                bound = some["bound"].astype("float64").fillna(np.inf).to_numpy()
+                open_ = plane <= bound[:, None] + SLACK
+                open_ &= np.arange(len(centres))[None, :] < some["n_cells"].to_numpy()[:, None]
+                open_[rows, mine] = False
+                i, j = np.nonzero(open_)
                 yield pd.DataFrame({
-                    "set_id": pdf["set_id"].to_numpy()[i], "point_id": pdf["point_id"].to_numpy()[i],
-                    "vec": pdf["vec"].to_numpy()[i], "home_cell": mine[i],
-                    "home_sub": pdf["sub"].to_numpy()[i], "cell": j.astype("int32"),
-                    "gap": np.sqrt(d[i, j]), "bound": bound[i]})
-
-    return located.select("set_id", "point_id", "vec", "n_cells", "cell", "sub", "bound").mapInPandas(
-        choose, "set_id long, point_id long, vec array<double>, home_cell int, home_sub int, "
-                "cell int, gap double, bound double")
+                    "set_id": some["set_id"].to_numpy()[i], "point_id": some["point_id"].to_numpy()[i],
+                    "cell": j.astype("int32"), "gap": np.sqrt(d[i, j]), "bound": bound[i]})
+
+    return located.select("set_id", "point_id", "vec", "n_cells", "cell", "bound").mapInPandas(
+        choose, "set_id long, point_id long, cell int, gap double, bound double")
 
 
 def document_neighbours(vectors: DataFrame, points: DataFrame, edges: DataFrame, k: int) -> DataFrame:
