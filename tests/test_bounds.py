@@ -1,5 +1,6 @@
 """What must not grow with the points: broadcasts, and the blocks a vector is sent to."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.llm import simhash
-from themeloom.operators.knn import into_blocks, near_members
+from themeloom.functions.vectors import unit
+from themeloom.operators.knn import document_neighbours, into_blocks, knn, near_members
+from themeloom.operators.points import distinct_points
 from themeloom.operators.reach import core_distances, mutual_reachability
 from themeloom.operators import skew
 from themeloom.operators.skew import attach, fits_broadcast
@@ -113,3 +116,24 @@ def test_members_are_sent_as_often_as_their_visitors_fill_blocks(spark, monkeypa
     got = module.knn(points, 2, block=40, pivots=10).orderBy("point_id", "rank").collect()
     assert [r["nbr_id"] for r in got] == [j for i in range(n) for j in sorted(range(max(0, i - 3), min(n, i + 4)), key=lambda j: (abs(i - j), j))[1:3]]
     assert taken.value < 9.5 * n
+
+
+def test_documents_are_given_neighbours_of_one_search(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(dist):
+        read.add(1)
+        return dist
+
+    v = cut(spark.range(40).selectExpr("0L AS set_id", "id AS doc_id", "array(CAST(id DIV 2 AS DOUBLE), 1.0D) AS vector"))
+    p = cut(distinct_points(v, keep=4))
+    edges = cut(knn(p, 3))
+    got = document_neighbours(v, p, edges.withColumn("dist", F.udf(seen, "double")("dist")), 3).collect()
+    assert len(got) == 120 and read.value == edges.count() == 60
+
+
+def test_the_length_of_a_vector_is_summed_once(spark):
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, []), (4, [1.0, None])], "id long, v array<double>")
+    made = rows.select("id", unit(F.col("v")).alias("u"))
+    assert [r["u"] for r in made.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None, [], [1.0, None]]
+    assert not re.search(r"transform\([^)]*lambdafunction\(.*aggregate", _plan(made))

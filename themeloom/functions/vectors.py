@@ -22,7 +22,8 @@ def euclidean(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """Vector of length one; a zero vector stays zero."""
     n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    # Not inside the lambda: the length would be summed again for every value.
+    return F.when(n > 0, F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, m: x / m)).otherwise(v)
 
 
 def fingerprint(v: Column) -> Column:

@@ -284,9 +284,9 @@ def document_neighbours(vectors: DataFrame, points: DataFrame, edges: DataFrame,
                          [F.round("dist", 9), F.col("doc")], k + 1)
     lists = near.groupBy("set_id", "point_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "doc", "dist"))).alias("near"))
-    lists = meet(points.select("set_id", "point_id", "key"), lists, ["set_id", "point_id"])
-    docs = attach(keyed(vectors).drop("vector"), lists.select("set_id", "key", "near"),
-                  ["set_id", "key"], row_bytes=64 + 24 * k, spread=F.col("doc_id"))
+    # Stored: to count them first would be to search twice.
+    lists = cut(meet(points.select("set_id", "point_id", "key"), lists, ["set_id", "point_id"]).select("set_id", "key", "near"))
+    docs = attach(keyed(vectors).drop("vector"), lists, ["set_id", "key"], row_bytes=64 + 24 * k, spread=F.col("doc_id"))
     mine = F.slice(F.filter("near", lambda e: e.doc != F.col("doc_id")), 1, k)
     return (docs.select("set_id", "doc_id", F.posexplode(mine).alias("i", "e"))
             .select("set_id", "doc_id", F.col("e.doc").alias("nbr_doc"),
