@@ -13,6 +13,7 @@ from themeloom.functions.vectors import unit
 from themeloom.operators.knn import document_neighbours, into_blocks, knn, near_members
 from themeloom.operators.points import distinct_points
 from themeloom.operators.reach import core_distances, mutual_reachability
+from themeloom.operators.reduce import fuzzy_weights
 from themeloom.operators import skew
 from themeloom.operators.skew import attach, fits_broadcast
 from themeloom.session import TASK_ROWS, cut, spread
@@ -137,3 +138,18 @@ def test_the_length_of_a_vector_is_summed_once(spark):
     made = rows.select("id", unit(F.col("v")).alias("u"))
     assert [r["u"] for r in made.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None, [], [1.0, None]]
     assert not re.search(r"transform\([^)]*lambdafunction\(.*aggregate", _plan(made))
+
+
+def test_neighbour_weights_scale_every_list_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(nbr):
+        read.add(1)
+        return nbr
+
+    edges = cut(spark.range(90).selectExpr("0L AS set_id", "id DIV 3 AS point_id", "(id DIV 3 + id % 3 + 1) % 30 AS nbr_id", "1.0D + id % 3 AS dist"))
+    got = fuzzy_weights(edges.withColumn("nbr_id", F.udf(seen, "long")("nbr_id"))).collect()
+    weight = {(r["point_id"], r["nbr_id"]): r["weight"] for r in got}
+    assert len(got) == 180 and all(weight[b, a] == w and 0 < w <= 1 for (a, b), w in weight.items())
+    assert read.value == 90
+    assert str(_plan(fuzzy_weights(edges))).count("MapInPandas") == 1

@@ -137,8 +137,12 @@ def fuzzy_weights(edges: DataFrame) -> DataFrame:
         scale, "set_id long, point_id long, nbr array<long>, weight array<double>")
     rows = (scaled.select("set_id", "point_id", F.explode(F.arrays_zip("nbr", "weight")).alias("e"))
             .select("set_id", "point_id", F.col("e.nbr").alias("nbr_id"), F.col("e.weight").alias("weight")))
-    turned = rows.select("set_id", F.col("nbr_id").alias("point_id"), F.col("point_id").alias("nbr_id"), "weight")
-    both = rows.unionByName(turned).groupBy("set_id", "point_id", "nbr_id").agg(
+    # Both directions of a row at once: a union would scale all lists a second time.
+    ends = F.array(F.struct(F.col("point_id").alias("a"), F.col("nbr_id").alias("b")),
+                   F.struct(F.col("nbr_id").alias("a"), F.col("point_id").alias("b")))
+    rows = rows.select("set_id", "weight", F.explode(ends).alias("e")).select(
+        "set_id", F.col("e.a").alias("point_id"), F.col("e.b").alias("nbr_id"), "weight")
+    both = rows.groupBy("set_id", "point_id", "nbr_id").agg(
         F.sum("weight").alias("s"), (F.max("weight") * F.min("weight")).alias("p"), F.count("*").alias("n"))
     return both.select("set_id", "point_id", "nbr_id",
                        (F.col("s") - F.when(F.col("n") > 1, F.col("p")).otherwise(0.0)).alias("weight"))
