@@ -121,3 +121,20 @@ def test_candidates_join_on_both_sides(spark):
     got = {tuple(r) for r in variants.near_words(words, 4).select("word", "n", "near", "near_n").collect()}
     assert got == {("planet", 3, "planets", 4), ("planets", 4, "planet", 3)}
     assert variants.near_words(words.where(F.lit(False)), 4).count() == 0
+
+
+def test_tables_that_grow_with_the_vocabulary_are_not_broadcast(spark, monkeypatch):
+    plans, stored = [], variants.cut
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(variants, "cut", watched)
+    rows = [(1, " ".join(["planet planet planet planets garden"] * 3), "en", None, *EXTRA)]
+    out = variants.groups(frame(spark, rows))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert rows_of(out) == [("garden", None, "garden", 3, 0, None), ("planet", None, "planet", 9, 1, None),
+                            ("planets", "planet", "planet", 3, 1, 9)]
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) >= 4 and not any("Broadcast" in p for p in joined)

@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.operators.skew import meet
 from themeloom.session import cut, spread
 
 LEAST_LENGTH, LEAST_COUNT = 5, 3
@@ -152,7 +153,7 @@ def meeting(words: DataFrame, n_symbols: int) -> DataFrame:
     kinds = cut(words.select("reduced", "code").distinct())
     made = spread(kinds.select("reduced")).mapInArrow(run, "code long, near long")
     # Different reduced words may share a code: codes that meet twice count once.
-    return made.join(kinds.select(F.col("code").alias("near")).distinct(), "near").select("near", "code").distinct()
+    return meet(made, kinds.select(F.col("code").alias("near")).distinct(), ["near"]).select("near", "code").distinct()
 
 
 def near_words(vocabulary: DataFrame, n_symbols: int | None = None) -> DataFrame:
@@ -162,11 +163,11 @@ def near_words(vocabulary: DataFrame, n_symbols: int | None = None) -> DataFrame
     words = reduced_words(vocabulary, symbols_of(vocabulary, n_symbols))
     met = cut(meeting(words, n_symbols))
     slim = words.select("word", "n", "code")
-    left = met.join(slim, "code").drop("code")
+    left = meet(met, slim, ["code"]).drop("code")
     right = slim.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("code"))
     # The check of the original strings is part of the join, so candidates are not written.
     edits = F.levenshtein(left["word"], right["near"], 1)
-    return (left.join(right, (left["near"] == right["code"]) & (edits == 1))
+    return (left.join(right.hint("merge"), (left["near"] == right["code"]) & (edits == 1))
                 .select(left["word"], left["n"], right["near"], right["near_n"]))
 
 
@@ -179,7 +180,7 @@ def followed(forms: DataFrame) -> DataFrame:
     now = cut(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = cut(now.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"),
+        step = cut(meet(now, ahead, ["root"], "left").select("word", F.coalesce("further", "root").alias("root"),
                                                           F.col("further").isNotNull().alias("moved")))
         now = step.select("word", "root")
         if not step.where("moved").limit(1).count():
@@ -204,7 +205,7 @@ def groups(docs: DataFrame, n_symbols: int | None = None) -> DataFrame:
     found = cut(near.select("word", "n_near", F.when(-F.col("best.m") >= 2 * F.col("n"), F.struct(
         F.col("best.near").alias("form"), (-F.col("best.m")).alias("form_n"))).alias("f")).select("word", "n_near", "f.*"))
     roots = followed(found.where("form is not null"))
-    return (vocabulary.join(found, "word", "left").join(roots, "word", "left")
+    return (meet(meet(vocabulary, found, ["word"], "left"), roots, ["word"], "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n",
                     F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n"))
 
