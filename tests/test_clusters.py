@@ -1,13 +1,14 @@
 """Neighbours, forest and clusters against brute force, with copies and skew."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from one_set import cluster_one_set, numbered, with_copies
 from themeloom.operators import skew
 from themeloom.operators.density import choose, density_clusters, forest_clusters, worths
-from themeloom.operators.exact import exact_forest
+from themeloom.operators.exact import _between, exact_forest, largest_gaps, open_edges, outline, span
 from themeloom.operators.forest import components, lightest_forest, merge_order, reduced_forest, running_sums, spanning_forest
 from themeloom.operators.knn import document_neighbours, knn
 from themeloom.operators.points import distinct_points, to_documents
@@ -393,3 +394,70 @@ def test_neighbours_far_from_the_origin(spark):
 def test_zero_vector_has_cosine_distance_one(spark):
     got = _nearest(spark, [[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]], 2, "cosine")
     assert [round(d, 9) for _, d in got[0]] == [1.0, 1.0]
+
+
+def tree_of(spark, x, core, near, **kw):
+    p = cut(frame(spark, x).withColumnRenamed("doc_id", "point_id"))
+    cores = cut(spark.createDataFrame([(0, i, float(c)) for i, c in enumerate(core)], "set_id long, point_id long, core double"))
+    return sorted((r.a, r.b) for r in exact_forest(p, cores, near(p, cores), **kw).collect())
+
+
+@pytest.mark.parametrize("known,kw", [(2, {"block": 60, "pivots": 9}), (0, {"block": 60, "pivots": 9, "capacity": 100})])
+def test_exact_forest_whatever_is_known(spark, known, kw):
+    """Few edges known, or none, ties of a grid, and values far from the origin."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([np.stack(np.meshgrid(*[np.arange(5)] * 3), -1).reshape(-1, 3), rng.normal(size=(120, 3)) * 3 + 1e5])
+    core = np.where(np.arange(len(x)) % 3, 1.0, rng.uniform(0.5, 2, len(x)))
+    want, _ = brute_forest(x, core)
+    none = spark.createDataFrame([], "set_id long, a long, b long, w double")
+    assert tree_of(spark, x, core, lambda p, cores: cut(mutual_reachability(knn(p, known), cores)) if known else none, **kw) == want
+
+
+def test_bounds_of_a_tree_hold_its_paths():
+    """No edge between two points of a tree is left out that is as light as the heaviest on the way."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)) + 7.0 * rng.integers(0, 3, 300)[:, None]
+    core = rng.uniform(0, 2, 300)
+    kin = np.arange(1, 300)
+    a, b = rng.integers(0, kin), kin
+    w = np.maximum(np.maximum(np.sqrt(((x[a] - x[b]) ** 2).sum(1)), core[a]), core[b])
+    most = np.zeros((300, 300))
+    for e in range(299):
+        most[b[e], :b[e]] = most[:b[e], b[e]] = np.maximum(most[a[e], :b[e]], w[e])
+    reach, place, gap = outline(np.arange(300), np.flatnonzero(rng.uniform(size=300) < 0.1), a, b, w)
+    table = largest_gaps(gap[~np.isnan(gap)][np.argsort(place[~np.isnan(gap)])])
+    i, j = np.triu_indices(300, 1)
+    top = np.maximum(np.maximum(reach[i], reach[j]), _between(table, place[i], place[j]))
+    assert (top >= most[i, j]).all() and (top == most[i, j]).mean() > 0.5
+    pdf = pd.DataFrame({"point_id": np.arange(300), "vec": list(x), "core": core, "reach": reach, "place": place})
+    parts = [pdf[pdf.point_id % 2 == k] for k in (0, 1)]
+    found = [open_edges(parts[0], parts[1], table), *(open_edges(p, p[:0], table) for p in parts), (a, b, w)]
+    a, b, w = (np.concatenate(c) for c in zip(*found))
+    kept = lightest_forest(a, b, w)
+    want, total = brute_forest(x, core)
+    assert sorted(zip(a[kept].tolist(), b[kept].tolist())) == want and w[kept].sum() == pytest.approx(total, abs=1e-9)
+
+
+def test_points_are_sent_to_few_blocks_of_the_tree(spark, monkeypatch):
+    """Rows that tasks of the forest read: not every point with every 256 others."""
+    from themeloom.operators import exact
+
+    read, stack = spark.sparkContext.accumulator(0), exact._matrix
+
+    def counted(column):
+        read.add(len(column))
+        return stack(column)
+
+    monkeypatch.setattr(exact, "_matrix", counted)
+    rng = np.random.default_rng(3)
+    n = 5000
+    x = rng.normal(size=(n, 4)) + 9.0 * rng.integers(0, 3, n)[:, None]
+    p = cut(frame(spark, x).withColumnRenamed("doc_id", "point_id"))
+    edges = cut(knn(p, 6))
+    cores = cut(edges.where("rank = 5").select("set_id", "point_id", F.col("dist").alias("core")))
+    rows = exact_forest(p, cores, cut(mutual_reachability(edges, cores))).collect()
+    core = np.array([r.core for r in cores.orderBy("point_id").collect()])
+    a, b, w = span(np.arange(n), x, core)
+    assert sorted((r.a, r.b) for r in rows) == sorted(zip(a.tolist(), b.tolist()))
+    assert sum(r.w for r in rows) == pytest.approx(w.sum(), abs=1e-9)
+    assert read.value < 5 * n
