@@ -1,16 +1,18 @@
 """Sources, sinks, filters, splits and models."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as T
 from themeloom.operators import training as L
-from themeloom.operators.keywords import keyword_labels
+from themeloom.operators.keywords import heaviest, keyword_labels, labels_of_few
 from themeloom.operators.reduce import curve_constants, fuzzy_weights
 from themeloom.operators.relevance import bm25
 from themeloom.operators.retrieve import candidates, date_window, score_predicate, topic_terms, vector_scan
-from themeloom.plans.analyze import FIVE_EXAMPLES, Settings, analyze, reports
+from themeloom.plans.analyze import FIVE_EXAMPLES, Settings, analyze, describe_clusters, reports
 from themeloom.profile import ELECTRONICS_REVIEWS, FOOD_REVIEWS, Profile, ScoreField, logical
+from themeloom.session import cut
 from themeloom.sources.documents import read_documents, write_documents
 from themeloom.sources.labelled import read_labelled, read_token_labels, write_token_labels
 
@@ -269,3 +271,37 @@ def test_bounds_on_either_side_are_different_filters(spark):
     rows = spark.createDataFrame([(4, None), (None, 4), (4, None)], "rating_gte int, rating_lte int").selectExpr(
         "date'2011-01-01' AS start_date", "date'2011-02-01' AS end_date", "*", "array('x') AS terms")
     assert filter_sets(rows).select("set_id").distinct().count() == 2
+
+
+def test_labels_of_few_equal_those_of_all(spark):
+    texts = {0: "tea pots and tea cups", 1: "green tea in pots", 2: "the and of", 3: "abc", 4: None, 5: "tea cups, green cups " * 9,
+             6: "Ünter Zürich zürich", 7: "beta alpha gamma"}
+    held = {(0, 0): [0, 1, 5, 6], (0, 1): [1, 2, 3], (1, 0): [2], (1, 1): [3, 4], (1, 2): [0, 5, 7, 2, 4], (2, 7): [7]}
+    table = cut(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    members = cut(spark.createDataFrame([(s, c, d) for (s, c), ids in held.items() for d in ids], "set_id long, cluster_id long, doc_id long"))
+    want = {(r.set_id, r.cluster_id): r.label for r in keyword_labels(members.join(table, "doc_id"), 3).collect()}
+    got = labels_of_few(members, table, 3).collect()
+    assert {(r.set_id, r.cluster_id): r.label for r in got} == want and len(got) == 6
+    assert want[1, 0] == "(no vocabulary)" and want[1, 1] == "(no text)" and want[2, 7] == "alpha, alpha gamma, beta"
+    term, weight = heaviest([["b", "a"], ["a"]], 1)
+    assert term.tolist() == ["a"] and weight[0] == pytest.approx(1 + 1 / np.sqrt(1 + 2 * (np.log(1.5) + 1) ** 2))
+
+
+def test_texts_of_a_report_are_taken_apart_once(spark, monkeypatch):
+    """However many clusters a document stands for."""
+    from themeloom.operators import keywords
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(words):
+        read.add(1)
+        return words
+
+    taken = keywords.telling_words
+    monkeypatch.setattr(keywords, "telling_words", lambda *a: F.udf(seen, "array<string>")(taken(*a)))
+    rows = [(s, 0, d, [float(d), 0.0]) for s in range(5) for d in range(4)]
+    members = cut(spark.createDataFrame(rows, "set_id long, cluster_id long, doc_id long, z array<double>"))
+    docs = cut(spark.range(4).selectExpr("id AS doc_id", "concat('word', id, ' shared other') AS text_0"))
+    got = describe_clusters(members, docs).collect()
+    assert len(got) == 5 and {r["label"] for r in got} == {got[0]["label"]} and "shared" in got[0]["label"]
+    assert read.value == 4

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import usable_text, words
+from themeloom.operators.skew import meet
 from themeloom.session import cut, dealt
 
 NO_TEXT = "(no text)"
@@ -76,12 +79,80 @@ def term_weights(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, *, max
     return tf.groupBy(*cluster, "term").agg(F.sum(F.col("gain") / F.col("length")).alias("weight"))
 
 
+def heaviest(kept: Sequence[Sequence[str]], top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of one cluster and their summed TF-IDF weights: the ``top`` heaviest, and those that rounding may put beside them.
+
+    ``kept`` are the telling words of its documents, in order.
+    """
+    named: dict[str, int] = {}
+    of, ids = [], []
+    for k, own in enumerate(kept):
+        own = list(own)
+        own += [f"{x} {y}" for x, y in zip(own, own[1:])]
+        ids += [named.setdefault(t, len(named)) for t in own]
+        of.append(np.full(len(own), k, np.int64))
+    if not named:
+        return np.empty(0, object), np.empty(0)
+    pair, tf = np.unique(np.concatenate(of) * len(named) + np.array(ids, np.int64), return_counts=True)
+    doc, term = np.divmod(pair, len(named))
+    gain = tf * (np.log((1 + len(kept)) / (1 + np.bincount(term, minlength=len(named)))) + 1)[term]
+    length = np.sqrt(np.bincount(doc, gain * gain, minlength=len(kept)))
+    weight = np.bincount(term, gain / length[doc], minlength=len(named))
+    least = np.partition(weight, -top)[-top] if len(weight) > top else -np.inf
+    best = np.flatnonzero(weight >= least - 1e-8)
+    return np.array(list(named), object)[best], weight[best]
+
+
+def few_terms(members: DataFrame, kept: DataFrame, top: int) -> DataFrame:
+    """``set_id, cluster_id, term, weight``: weights as :func:`term_weights` has them, of the heaviest terms.
+
+    ``members`` has a bounded number of documents a cluster, as ``set_id, cluster_id, doc_id``; ``kept`` the telling
+    words of a document.  A document's words are found once, whatever number of clusters it is in, and a
+    cluster's terms meet in one task.
+    """
+    def weigh(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        term, weight = heaviest(pdf["kept"].tolist(), max(1, top))
+        return pd.DataFrame({"set_id": np.full(len(term), key[0]), "cluster_id": np.full(len(term), key[1]), "term": term, "weight": weight})
+
+    kinds = dict(members.dtypes)
+    return meet(members.select("set_id", "cluster_id", "doc_id"), kept, ["doc_id"]).groupBy("set_id", "cluster_id").applyInPandas(
+        weigh, f"set_id {kinds['set_id']}, cluster_id {kinds['cluster_id']}, term string, weight double")
+
+
+def ranked_terms(weights: DataFrame, top: int) -> DataFrame:
+    """The heaviest terms of every cluster, ties alphabetical."""
+    w = Window.partitionBy("set_id", "cluster_id").orderBy(F.round("weight", 9).desc(), "term")
+    return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, top))
+
+
 def cluster_terms(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS, *,
                   max_docs: int | None = None, max_terms: int | None = None) -> DataFrame:
     """The heaviest terms of every cluster, ties alphabetical."""
-    w = Window.partitionBy("set_id", "cluster_id").orderBy(F.round("weight", 9).desc(), "term")
-    return (term_weights(docs, stop_words, max_docs=max_docs, max_terms=max_terms).withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= max(1, top)))
+    return ranked_terms(term_weights(docs, stop_words, max_docs=max_docs, max_terms=max_terms), top)
+
+
+def _joined(ranked: DataFrame, usable: DataFrame) -> DataFrame:
+    """``set_id, cluster_id, label`` of clusters with ``n`` usable texts."""
+    terms = ranked.groupBy("set_id", "cluster_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))),
+                                 lambda e: e.term), ", ").alias("terms"))
+    label = F.when(F.col("n") == 0, NO_TEXT).otherwise(F.coalesce("terms", F.lit(NO_VOCABULARY)))
+    return (usable.join(terms, ["set_id", "cluster_id"], "left")
+            .select("set_id", "cluster_id", label.alias("label")))
+
+
+def labels_of_few(members: DataFrame, texts: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """:func:`keyword_labels` of clusters of a bounded number of documents each.
+
+    ``members`` has ``set_id, cluster_id, doc_id``; ``texts``, a stored table, ``doc_id, text`` once for each document.
+    """
+    # Dealt by their number: texts of a few files are long work for few tasks.
+    texts = dealt(texts, "doc_id", rows=TASK_TEXTS).select("doc_id", usable_text(F.col("text")).alias("text"))
+    kept = cut(texts.where("text IS NOT NULL").select("doc_id", telling_words(F.col("text"), stop_words).alias("kept")))
+    members = cut(members.select("set_id", "cluster_id", "doc_id"))
+    has = kept.select("doc_id", F.lit(1).alias("usable"))
+    usable = meet(members, has, ["doc_id"], "left").groupBy("set_id", "cluster_id").agg(F.count("usable").alias("n"))
+    return _joined(ranked_terms(few_terms(members, kept, top), top), usable)
 
 
 def keyword_labels(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = STOP_WORDS, *,
@@ -89,12 +160,7 @@ def keyword_labels(docs: DataFrame, top: int = 5, stop_words: Sequence[str] = ST
     """``set_id, cluster_id, label``: heaviest terms joined by a comma."""
     # Read for the terms and for the number of texts.
     docs = cut(docs.select(*[c for c in docs.columns if c in ("set_id", "cluster_id", "doc_id", "rank", "text")]))
-    ranked = cluster_terms(docs, top, stop_words, max_docs=max_docs, max_terms=max_terms).groupBy("set_id", "cluster_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))),
-                                 lambda e: e.term), ", ").alias("terms"))
     counted = docs if max_docs is None else docs.where(F.col("rank") <= max_docs)
     usable = (counted.groupBy("set_id", "cluster_id")
               .agg(F.count(usable_text(F.col("text"))).alias("n")))
-    label = F.when(F.col("n") == 0, NO_TEXT).otherwise(F.coalesce("terms", F.lit(NO_VOCABULARY)))
-    return (usable.join(ranked, ["set_id", "cluster_id"], "left")
-            .select("set_id", "cluster_id", label.alias("label")))
+    return _joined(cluster_terms(docs, top, stop_words, max_docs=max_docs, max_terms=max_terms), usable)

@@ -12,7 +12,7 @@ from themeloom.operators import exemplars as X
 from themeloom.operators import report as R
 from themeloom.operators.density import forest_clusters
 from themeloom.operators.exact import exact_forest
-from themeloom.operators.keywords import keyword_labels
+from themeloom.operators.keywords import labels_of_few
 from themeloom.operators.knn import knn
 from themeloom.operators.points import distinct_points, to_documents
 from themeloom.operators.reach import adapted_cluster_size, core_distances, mutual_reachability
@@ -96,12 +96,11 @@ def describe_clusters(members: DataFrame, texts: DataFrame, settings: Settings =
     near = cut(X.exemplars(members, max(settings.exemplars, settings.label_docs)))
     text = first_text(text_columns(texts)).alias("text")
     fetched = cut(lookup(texts.select("doc_id", text), near, ["text"]))
-    docs = near.join(fetched, "doc_id")
-    label = keyword_labels(docs.where(F.col("rank") <= settings.label_docs), settings.top_terms)
+    label = labels_of_few(near.where(F.col("rank") <= settings.label_docs), fetched, settings.top_terms)
     first = near.where(F.col("rank") <= settings.exemplars)
     ids = first.groupBy("set_id", "cluster_id").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda e: e.doc_id).alias("exemplar_ids"))
-    rep = docs.where("rank = 1").select("set_id", "cluster_id", "text")
+    rep = near.where("rank = 1").join(fetched, "doc_id").select("set_id", "cluster_id", "text")
     key = ["set_id", "cluster_id"]
     return (X.cluster_sizes(members).join(ids, key).join(label, key, "left").join(rep, key, "left")
             .withColumn("label", F.coalesce("label", F.lit("(no text)"))))
