@@ -305,3 +305,20 @@ def test_texts_of_a_report_are_taken_apart_once(spark, monkeypatch):
     got = describe_clusters(members, docs).collect()
     assert len(got) == 5 and {r["label"] for r in got} == {got[0]["label"]} and "shared" in got[0]["label"]
     assert read.value == 4
+
+
+def test_questions_are_parsed_by_all_cores(spark, monkeypatch):
+    """Distinct questions are few bytes, which adaptive execution would give to one task."""
+    from themeloom.plans import analyze as module
+
+    class Seen(Exception):
+        pass
+
+    def parse(texts, **kw):
+        raise Seen(texts.rdd.getNumPartitions(), texts.count())
+
+    monkeypatch.setattr(module, "parse_questions", parse)
+    asked = spark.range(90).selectExpr("id AS query_id", "concat('trends in may 20', 10 + id % 30) AS query", "'trend_analysis' AS intent")
+    with pytest.raises(Seen) as seen:
+        module.analyze(asked, None, Profile())
+    assert seen.value.args == (spark.sparkContext.defaultParallelism, 30)

@@ -146,9 +146,9 @@ def labels_of_few(members: DataFrame, texts: DataFrame, top: int = 5, stop_words
 
     ``members`` has ``set_id, cluster_id, doc_id``; ``texts``, a stored table, ``doc_id, text`` once for each document.
     """
-    # Dealt by their number: texts of a few files are long work for few tasks.
-    texts = dealt(texts, "doc_id", rows=TASK_TEXTS).select("doc_id", usable_text(F.col("text")).alias("text"))
-    kept = cut(texts.where("text IS NOT NULL").select("doc_id", telling_words(F.col("text"), stop_words).alias("kept")))
+    # Dealt by their number: texts of a few files are long work for few tasks.  A filter on them would be moved before.
+    kept = telling_words(usable_text(F.col("text")), stop_words).alias("kept")
+    kept = cut(dealt(texts, "doc_id", rows=TASK_TEXTS).select("doc_id", kept)).where("kept IS NOT NULL")
     members = cut(members.select("set_id", "cluster_id", "doc_id"))
     has = kept.select("doc_id", F.lit(1).alias("usable"))
     usable = meet(members, has, ["doc_id"], "left").groupBy("set_id", "cluster_id").agg(F.count("usable").alias("n"))

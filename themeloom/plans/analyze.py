@@ -23,7 +23,7 @@ from themeloom.operators.retrieve import (candidate_gates, candidates, filter_se
 from themeloom.operators.skew import attach, meet
 from themeloom.plans.questions import parse_questions
 from themeloom.profile import Profile, logical, text_columns
-from themeloom.session import cut
+from themeloom.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -115,8 +115,8 @@ def analyze(questions: DataFrame, docs: DataFrame, profile: Profile,
     clusters of every distinct filter set; and the totals of every set.
     Questions with equal filters share one set and are clustered once.
     """
-    # A text that many ask is read once.
-    texts = parse_questions(questions.select("query").distinct(), rating_mode=settings.rating_mode)
+    # A text that many ask is read once; distinct ones are few bytes, which would be one task.
+    texts = parse_questions(spread(cut(questions.select("query").distinct())), rating_mode=settings.rating_mode)
     terms = topic_terms(F.col("query"), profile) if settings.with_topic else F.array().cast("array<string>")
     texts = cut(filter_sets(texts.withColumn("terms", terms)))
     asked = cut(attach(questions, texts, ["query"], row_bytes=400, spread=F.col("query_id")))
